@@ -145,10 +145,13 @@ def community_distance(
     replicate: str | None = None,
     name: str = "distance",
     feature_buckets: int = 1,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Bray-Curtis or Jaccard dissimilarity of every pair, averaged over replicates when there are any.
 
-    ``cells`` has one row per sample, feature (and replicate).  With the default a
+    ``cells`` has one row per sample, feature (and replicate).  The number of
+    blocks follows from the samples and cells in ``sizing``; pass the counts that
+    replicates were drawn from, so that the draws are not made twice.  With the default a
     tile holds all features of its samples and finishes its pairs on its own.
     Where single samples have millions of features, ``feature_buckets`` splits
     tiles by feature as well and adds the partial amounts per pair.
@@ -159,7 +162,7 @@ def community_distance(
     rows = cells.where(F.col(value) > 0).select(*keep)
     if replicate:
         rows = rows.withColumnRenamed(replicate, "__iter")
-    per_sample = rows.groupBy(sample).agg(F.count("*").alias("n"))
+    per_sample = (rows if sizing is None else sizing).groupBy(sample).agg(F.count("*").alias("n"))
     needed = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SAMPLES)), F.ceil(F.sum("n") / F.lit(BLOCK_CELLS)), F.lit(1))
     blocks = per_sample.agg(needed.alias("b")).scalar()
     rows = rows.withColumn("__blocks", blocks).withColumn("__block", block_of(F.col(sample), F.col("__blocks")))
