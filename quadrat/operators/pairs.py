@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.functions.scalars import ratio
-from quadrat.functions.special import with_geodesic
+from quadrat.functions.special import geodesic
 
 BLOCK_SAMPLES = 256
 BLOCK_CELLS = 500_000
@@ -69,7 +69,7 @@ def scalar_distance(df: DataFrame, key: str, value: str, name: str = "distance")
 def geographic_distance(df: DataFrame, key: str, lat: str, lon: str, name: str = "metres") -> DataFrame:
     """Geodesic distance in metres for every pair."""
     pairs = all_pairs(df, key, [lat, lon])
-    return with_geodesic(pairs, f"{lat}_a", f"{lon}_a", f"{lat}_b", f"{lon}_b", name).select("id_a", "id_b", name)
+    return pairs.select("id_a", "id_b", geodesic(f"{lat}_a", f"{lon}_a", f"{lat}_b", f"{lon}_b").alias(name))
 
 
 def _shared(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
