@@ -19,12 +19,14 @@ from quadrat.functions.scalars import ratio
 from quadrat.operators.grouping import kth_row
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of, tiles_of
 from quadrat.operators.resample import at_least_as_large, permutations
+from quadrat.session import cut_lineage
 
 
-def label_arrays(perms: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """One array per key with the value in each permutation, permutation 0 first."""
-    pairs = F.array_sort(F.collect_list(F.struct("perm", column)))
-    return perms.groupBy(key).agg(F.transform(pairs, lambda s: s[column]).alias(name))
+def label_arrays(perms: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """One array per key and column with the value in each permutation, permutation 0 first."""
+    drawn = F.array_sort(F.collect_list(F.struct("perm", *columns)))
+    packed = perms.groupBy(key).agg(drawn.alias("__drawn"))
+    return packed.select(key, *[F.col(f"__drawn.{c}").alias(name) for c, name in columns.items()])
 
 
 def _group_codes(members: DataFrame, group: str) -> DataFrame:
@@ -44,7 +46,7 @@ def permanova(
     pairs: DataFrame, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
 ) -> DataFrame:
     """Permutational analysis of variance on a pair table: one row with df, R2, pseudo-F and p."""
-    stats = permanova_statistics(pairs, members, key, group, distance, count, seed)
+    stats = cut_lineage(permanova_statistics(pairs, members, key, group, distance, count, seed))
     p = at_least_as_large(stats, [], "f")
     observed = stats.where("perm = 0").select("df1", "df2", "ss_total", "ss_within", "r2", "f").withColumn("__one", F.lit(1))
     return observed.join(p.select("permutations", "p_value").withColumn("__one", F.lit(1)), "__one").drop("__one")
@@ -54,13 +56,13 @@ def permanova_statistics(
     pairs: DataFrame, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
 ) -> DataFrame:
     """Pseudo-F of the table itself (``perm`` 0) and of every permutation."""
-    members = members.select(key, group)
+    members = cut_lineage(members.select(key, group))
     codes = _group_codes(members, group)
     coded = members.join(codes.select(group, "__code"), group).select(key, "__code")
     perms = permutations(coded, key, ["__code"], count, seed)
     sizes = codes.agg(F.transform(F.array_sort(F.collect_list(F.struct("__code", "__n"))), lambda s: s["__n"])).scalar()
     blocks = _blocks(members)
-    labels = label_arrays(perms, key, "__code", "__codes").withColumn("__blocks", blocks)
+    labels = label_arrays(perms, key, {"__code": "__codes"}).withColumn("__blocks", blocks)
     labels = labels.withColumn("__sizes", sizes).withColumn("__block", block_of(F.col(key), F.col("__blocks")))
     tile = F.explode(tiles_of(F.col("__block"), F.col("__blocks")))
     labels = labels.withColumn("__tile", tile).select(
@@ -111,8 +113,9 @@ def permanova_statistics(
 def permuted_sums(
     cells: DataFrame, sample: str, feature: str, value: str, design: DataFrame, columns: list[str]
 ) -> DataFrame:
-    """``sum(design * value)`` per feature, design column and permutation.
+    """``sum(design * value)`` per feature, design column and permutation, as ``total``.
 
+    ``seen`` is the same sum for presence instead of the value.
     ``design`` has one row per sample and one array of doubles per column, indexed by
     permutation.  A task holds one block of samples: its cells and its arrays.
     """
@@ -122,12 +125,13 @@ def permuted_sums(
     )
     right = design.select(sample, *columns).withColumn("__block", block_of(F.col(sample), blocks))
     schema = T.StructType(
-        [cells.schema[feature], T.StructField("design", T.StringType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]
+        [cells.schema[feature], T.StructField("design", T.StringType())]
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("sums", "seen")]
     )
 
     def multiply(rows: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or arrays.empty:
-            return pd.DataFrame({feature: [], "design": [], "sums": []})
+            return pd.DataFrame({feature: [], "design": [], "sums": [], "seen": []})
         ids = pd.Index(arrays[sample].to_numpy())
         at = ids.get_indexer(rows[sample])
         rows, at = rows[at >= 0], at[at >= 0]
@@ -140,12 +144,15 @@ def permuted_sums(
             dense = np.zeros((len(names), len(ids)))
             dense[taxon[part] - start, at[part]] = rows["__y"].to_numpy()[part]
             for c, matrix in matrices.items():
-                frames.append(pd.DataFrame({feature: names, "design": c, "sums": list(dense @ matrix)}))
+                seen = (dense != 0).astype(float) @ matrix
+                frames.append(pd.DataFrame({feature: names, "design": c, "sums": list(dense @ matrix), "seen": list(seen)}))
         return pd.concat(frames)
 
     partial = left.groupBy("__block").cogroup(right.groupBy("__block")).applyInPandas(multiply, schema)
-    rows = partial.select(feature, "design", F.posexplode("sums").alias("perm", "__s"))
-    return rows.groupBy("perm", feature, "design").agg(F.sum("__s").alias("total"))
+    rows = partial.select(feature, "design", F.posexplode(F.arrays_zip("sums", "seen")).alias("perm", "__z"))
+    return rows.groupBy("perm", feature, "design").agg(
+        F.sum("__z.sums").alias("total"), F.sum("__z.seen").alias("seen")
+    )
 
 
 BLOCK_FEATURES = 1024
@@ -182,12 +189,12 @@ def indicator_test(
     prevalence); where it wins the group is null and no p-value is given.
     ``levels`` declares the groups.
     """
-    members = members.select(sample, group).where(F.col(group).isin(levels))
+    members = cut_lineage(members.select(sample, group).where(F.col(group).isin(levels)))
     code = F.lit(0)
     for i, level in enumerate(levels):
         code = F.when(F.col(group) == level, F.lit(i)).otherwise(code)
     coded = members.select(sample, code.cast("int").alias("__code"))
-    arrays = label_arrays(permutations(coded, sample, ["__code"], count, seed), sample, "__code", "__codes")
+    arrays = label_arrays(permutations(coded, sample, ["__code"], count, seed), sample, {"__code": "__codes"})
     columns = [f"g{i}" for i in range(len(levels))]
 
     def member_of(i: int):
@@ -195,13 +202,11 @@ def indicator_test(
 
     design = arrays.select(sample, *[member_of(i) for i in range(len(levels))])
     here = cells.where(F.col(value) > 0)
-    amount = permuted_sums(here, sample, feature, value, design, columns)
-    seen = permuted_sums(here.withColumn("__one", F.lit(1.0)), sample, feature, "__one", design, columns)
+    both = permuted_sums(here, sample, feature, value, design, columns)
     sizes = members.groupBy(group).agg(F.count("*").alias("__n")).select(
         F.concat(F.lit("g"), F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group)) - 1).alias("design"), "__n"
     )
-    both = amount.join(seen.withColumnRenamed("total", "seen"), ["perm", feature, "design"]).join(sizes, "design")
-    per = both.withColumn("mean", F.col("total") / F.col("__n"))
+    per = both.join(sizes, "design").withColumn("mean", F.col("total") / F.col("__n"))
     totals = per.groupBy("perm", feature).agg(
         F.sum("mean").alias("__means"),
         F.sum("seen").alias("__seen"),
@@ -215,6 +220,7 @@ def indicator_test(
         F.col("__best.d").alias("design"),
         F.sqrt(F.col("__seen") / total_samples).alias("stat_all"),
     )
+    best = cut_lineage(best)
     p = at_least_as_large(best.select("perm", feature, "stat"), [feature], "stat")
     name = F.lit(None).cast("string")
     for i, level in enumerate(levels):
@@ -271,7 +277,7 @@ def redundancy(
     permutations p.  ``response`` is long and may leave out zeros: sums of cross
     products do not need them.  ``members`` holds the samples with complete regressors.
     """
-    x = orthogonal_terms(members, sample, terms)
+    x = cut_lineage(orthogonal_terms(members, sample, terms))
     cells = response.join(x.select(sample), sample, "left_semi").select(sample, feature, F.col(value).alias("__v"))
     n = x.agg(F.count("*")).scalar()
     # total sum of squares about the feature means, zeros included through n
@@ -279,11 +285,9 @@ def redundancy(
         F.sum(F.col("__v") * F.col("__v")).alias("__yy"), F.sum("__v").alias("__y")
     )
     total = per_feature.agg(F.sum(F.col("__yy") - F.col("__y") * F.col("__y") / n)).scalar()
+    # the sample table is one checkpointed row per sample, so its many uses below are cheap scans
     perms = permutations(x, sample, terms, count, seed) if count else x.withColumn("perm", F.lit(0))
-    arrays = None
-    for t in terms:
-        one = label_arrays(perms, sample, t, t)
-        arrays = one if arrays is None else arrays.join(one, sample)
+    arrays = label_arrays(perms, sample, {t: t for t in terms})
     cross = permuted_sums(cells, sample, feature, "__v", arrays, terms)
     norms = x.agg(F.struct(*[F.sum(F.col(t) * F.col(t)).alias(t) for t in terms])).scalar()
     explained = cross.groupBy("perm").agg(
@@ -313,9 +317,10 @@ def redundancy(
     adjusted = 1 - (1 - F.col("r2")) * (F.col("n") - 1) / F.col("df_residual")
     stats = stats.withColumn("r2_adjusted", F.when(F.col("term") == "model", adjusted))
     columns = ["term", "df", "df_residual", "variance", "total_variance", "r2", "r2_adjusted", "f"]
-    observed = stats.where("perm = 0").select(*columns)
     if not count:
-        return observed
+        return stats.where("perm = 0").select(*columns)
+    stats = cut_lineage(stats)
+    observed = stats.where("perm = 0").select(*columns)
     p = at_least_as_large(stats.select("perm", "term", "f"), ["term"], "f")
     return observed.join(p.select("term", "p_value"), "term")
 
@@ -343,8 +348,8 @@ def permuted_pairs(
     Both ends of a pair move together.  Rows grow by the number of permutations
     only after the per-sample arrays have been joined on.
     """
-    ids = members.select(key, F.col(key).alias("__to"))
-    arrays = label_arrays(permutations(ids, key, ["__to"], count, seed), key, "__to", "__ids")
+    ids = cut_lineage(members.select(key, F.col(key).alias("__to")))
+    arrays = label_arrays(permutations(ids, key, ["__to"], count, seed), key, {"__to": "__ids"})
     a = arrays.select(F.col(key).alias("id_a"), F.col("__ids").alias("__pa"))
     b = arrays.select(F.col(key).alias("id_b"), F.col("__ids").alias("__pb"))
     moved = x.select("id_a", "id_b", F.col(x_value).alias("x")).join(a, "id_a").join(b, "id_b")
@@ -390,7 +395,7 @@ def mantel(
         stats = both.groupBy("perm").agg(F.corr("x", "y").alias("statistic"))
     else:
         raise ValueError(f"unknown method {method}")
-    return at_least_as_large(stats, [], "statistic").withColumnRenamed("observed", "statistic")
+    return at_least_as_large(cut_lineage(stats), [], "statistic").withColumnRenamed("observed", "statistic")
 
 
 def best_group(indicator: DataFrame, feature: str, group: str) -> DataFrame:

@@ -149,8 +149,9 @@ def relative_abundance_check(spark, d):
 _TAXA = ["feature", "phylum", "family"]
 
 
-def _with_taxonomy(spark, d):
-    cells = grouping.share_of_group(views.reads(spark, d), ["sample"], "reads", "rel_abund")
+def _with_taxonomy(spark, d, counts=None):
+    cells = views.reads(spark, d) if counts is None else counts
+    cells = grouping.share_of_group(cells, ["sample"], "reads", "rel_abund")
     taxa = views.taxonomy(spark, d).withColumn("family", F.coalesce("family", F.lit("Unknown")))
     return cells.join(taxa, "feature")
 

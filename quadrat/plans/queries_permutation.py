@@ -19,7 +19,7 @@ GROUPS = ["even", "odd"]
 
 # ---------------------------------------------------------------- indicator values
 
-_IND = f"""{views.READS}, {views.META}, sizes as (select species, count(*) as n from meta group by 1),
+_IND = f"""{views.BIG_READS}, {views.META}, sizes as (select species, count(*) as n from meta group by 1),
 means as (select feature, m.species, any_value(s.n) as n, sum(reads) / any_value(s.n)::double as mean, count(*) / any_value(s.n)::double as fidelity
   from reads r join meta m on r.sample = m.sample join sizes s on m.species = s.species group by 1, 2)"""
 
@@ -30,11 +30,11 @@ means as (select feature, m.species, any_value(s.n) as n, sum(reads) / any_value
         {rsql('sqrt(mean / sum(mean) over (partition by feature) * fidelity)')} as stat from means""",
 )
 def indval_stat(spark, d):
-    out = permutation.indicator_value(views.reads(spark, d), views.meta(spark, d), "sample", "feature", "species", "reads")
+    out = permutation.indicator_value(views.big_reads(spark, d), views.meta(spark, d), "sample", "feature", "species", "reads")
     return out.select("feature", "species", *[rounded(c).alias(c) for c in ("specificity", "fidelity", "stat")])
 
 
-_IND_TEST = f"""{views.READS}, {views.META}, {views.TAXONOMY},
+_IND_TEST = f"""{views.BIG_READS}, {views.META}, {views.TAXONOMY},
 rel as (select r.sample, r.feature, t.phylum, coalesce(t.family, 'Unknown') as family, reads / sum(reads) over (partition by sample) as p
         from reads r join taxonomy t on r.feature = t.feature),
 cells as (select sample, 'feature:' || feature as taxon, sum(p) as v from rel group by 1, 2
@@ -55,7 +55,8 @@ result as (select taxon, case when stat_all > stat + 1e-9 then null else who end
 
 def _levels(spark, d):
     """Relative abundance of every taxon at every level, the level in front of the name."""
-    cells = reshape.roll_up(_with_taxonomy(spark, d), ["sample"], ["feature", "phylum", "family"], {"v": F.sum("rel_abund")})
+    rows = _with_taxonomy(spark, d, views.big_reads(spark, d))
+    cells = reshape.roll_up(rows, ["sample"], ["feature", "phylum", "family"], {"v": F.sum("rel_abund")})
     return cells.select("sample", F.concat_ws(":", "level", "taxon").alias("taxon"), "v")
 
 
