@@ -59,14 +59,14 @@ def one_way(df: DataFrame, keys: Iterable[str], group: str, y: str) -> DataFrame
     """One-way analysis of variance."""
     df, by = _keyed(df, keys)
     groups = df.where(F.col(y).isNotNull()).groupBy(*by, group).agg(
-        F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
+        F.count(y).alias("__n"), F.avg(y).alias("__m"), F.var_pop(y).alias("__v")
     )
-    centred = with_group(groups, by, {"grand": F.sum(F.col("n") * F.col("m")) / F.sum("n")})
+    centred = with_group(groups, by, {"__grand": F.sum(F.col("__n") * F.col("__m")) / F.sum("__n")})
     out = centred.groupBy(*by).agg(
         (F.count("*") - 1).alias("df1"),
-        (F.sum("n") - F.count("*")).alias("df2"),
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2))).alias("ss_between"),
-        F.sum(F.col("n") * F.col("v")).alias("ss_within"),
+        (F.sum("__n") - F.count("*")).alias("df2"),
+        F.sum(F.col("__n") * F.pow(F.col("__m") - F.col("__grand"), F.lit(2))).alias("ss_between"),
+        F.sum(F.col("__n") * F.col("__v")).alias("ss_within"),
     )
     f = F.try_divide(F.try_divide("ss_between", "df1"), F.try_divide("ss_within", "df2"))
     return out.withColumn("f", f).withColumn("p_value", f_tail("f", "df1", "df2")).drop(_ALL)
@@ -83,12 +83,12 @@ def _group_moments(df: DataFrame, by: list[str], group: str, x: str, y: str) ->
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(group).isNotNull())
     n = F.count(y)
     return complete.groupBy(*by, group).agg(
-        n.alias("n"),
-        F.avg(x).alias("mx"),
-        F.avg(y).alias("my"),
-        (F.var_pop(x) * n).alias("sxx"),
-        (F.var_pop(y) * n).alias("syy"),
-        (F.covar_pop(x, y) * n).alias("sxy"),
+        n.alias("__n"),
+        F.avg(x).alias("__mx"),
+        F.avg(y).alias("__my"),
+        (F.var_pop(x) * n).alias("__sxx"),
+        (F.var_pop(y) * n).alias("__syy"),
+        (F.covar_pop(x, y) * n).alias("__sxy"),
     )
 
 
@@ -97,19 +97,19 @@ def linear_model(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str)
     df, by = _keyed(df, keys)
     moments = _group_moments(df, by, group, x, y)
     fit = moments.groupBy(*by).agg(
-        F.sum("sxx").alias("wxx"),
-        F.try_divide(F.sum("sxy"), F.sum("sxx")).alias("slope"),
-        (F.sum("syy") - F.try_divide(F.sum("sxy") * F.sum("sxy"), F.sum("sxx"))).alias("rss"),
-        (F.sum("n") - F.count("*") - 1).alias("df"),
+        F.sum("__sxx").alias("__wxx"),
+        F.try_divide(F.sum("__sxy"), F.sum("__sxx")).alias("__slope"),
+        (F.sum("__syy") - F.try_divide(F.sum("__sxy") * F.sum("__sxy"), F.sum("__sxx"))).alias("__rss"),
+        (F.sum("__n") - F.count("*") - 1).alias("__df"),
     )
-    line = moments.join(fit, by).select(*by, group, "n", "mx", "my", "wxx", "slope", "rss", "df")
+    line = moments.join(fit, by).select(*by, group, "__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df")
     out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(line, [*by, group])
-    away = F.col(x) - F.col("mx")
-    out = out.withColumn("fitted", F.col("my") + F.col("slope") * away).withColumn("resid", F.col(y) - F.col("fitted"))
-    leverage = 1 / F.col("n") + away * away / F.col("wxx")
-    scale = F.sqrt(F.try_divide("rss", "df") * (1 - leverage))
+    away = F.col(x) - F.col("__mx")
+    out = out.withColumn("fitted", F.col("__my") + F.col("__slope") * away).withColumn("resid", F.col(y) - F.col("fitted"))
+    leverage = 1 / F.col("__n") + away * away / F.col("__wxx")
+    scale = F.sqrt(F.try_divide("__rss", "__df") * (1 - leverage))
     out = out.withColumn("std_resid", F.try_divide(F.col("resid"), scale))
-    return out.drop("n", "mx", "my", "wxx", "slope", "rss", "df", _ALL)
+    return out.drop("__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df", _ALL)
 
 
 def outliers(model: DataFrame, beyond: float = 3.0) -> DataFrame:
@@ -127,29 +127,29 @@ def ancova(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str) -> Da
     centred = with_group(
         moments,
         by,
-        {"gx": F.sum(F.col("n") * F.col("mx")) / F.sum("n"), "gy": F.sum(F.col("n") * F.col("my")) / F.sum("n")},
+        {"__gx": F.sum(F.col("__n") * F.col("__mx")) / F.sum("__n"), "__gy": F.sum(F.col("__n") * F.col("__my")) / F.sum("__n")},
     )
-    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
+    dx, dy = F.col("__mx") - F.col("__gx"), F.col("__my") - F.col("__gy")
     sums = centred.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.count("*").alias("k"),
-        F.sum("sxx").alias("wxx"),
-        F.sum("sxy").alias("wxy"),
-        F.sum("syy").alias("wyy"),
-        F.sum(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))).alias("separate"),
-        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("txx"),
-        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("txy"),
-        F.sum(F.col("syy") + F.col("n") * dy * dy).alias("tyy"),
+        F.sum("__n").alias("__n"),
+        F.count("*").alias("__k"),
+        F.sum("__sxx").alias("__wxx"),
+        F.sum("__sxy").alias("__wxy"),
+        F.sum("__syy").alias("__wyy"),
+        F.sum(F.col("__syy") - F.try_divide(F.col("__sxy") * F.col("__sxy"), F.col("__sxx"))).alias("__separate"),
+        F.sum(F.col("__sxx") + F.col("__n") * dx * dx).alias("__txx"),
+        F.sum(F.col("__sxy") + F.col("__n") * dx * dy).alias("__txy"),
+        F.sum(F.col("__syy") + F.col("__n") * dy * dy).alias("__tyy"),
     )
     col = F.col
-    parallel = col("wyy") - F.try_divide(col("wxy") * col("wxy"), col("wxx"))
-    common = col("tyy") - F.try_divide(col("txy") * col("txy"), col("txx"))
+    parallel = col("__wyy") - F.try_divide(col("__wxy") * col("__wxy"), col("__wxx"))
+    common = col("__tyy") - F.try_divide(col("__txy") * col("__txy"), col("__txx"))
     effects = F.array(
-        F.struct(F.lit("group").alias("effect"), (common - parallel).alias("ss"), (col("k") - 1).alias("dfn")),
-        F.struct(F.lit("covariate").alias("effect"), (col("wyy") - parallel).alias("ss"), F.lit(1).cast("long").alias("dfn")),
-        F.struct(F.lit("group:covariate").alias("effect"), (parallel - col("separate")).alias("ss"), (col("k") - 1).alias("dfn")),
+        F.struct(F.lit("group").alias("effect"), (common - parallel).alias("ss"), (col("__k") - 1).alias("dfn")),
+        F.struct(F.lit("covariate").alias("effect"), (col("__wyy") - parallel).alias("ss"), F.lit(1).cast("long").alias("dfn")),
+        F.struct(F.lit("group:covariate").alias("effect"), (parallel - col("__separate")).alias("ss"), (col("__k") - 1).alias("dfn")),
     )
-    out = sums.select(*by, (col("n") - 2 * col("k")).alias("dfd"), col("separate").alias("ss_error"), F.inline(effects))
+    out = sums.select(*by, (col("__n") - 2 * col("__k")).alias("dfd"), col("__separate").alias("ss_error"), F.inline(effects))
     f = F.try_divide(F.try_divide("ss", "dfn"), F.try_divide("ss_error", "dfd"))
     out = out.withColumns({"f": f, "ges": F.try_divide(col("ss"), col("ss") + col("ss_error"))})
     return out.withColumn("p_value", f_tail("f", "dfn", "dfd")).drop(_ALL)

@@ -182,12 +182,13 @@ def indicator_test(
     levels: list[str],
     count: int,
     seed: int = 1,
+    all_groups: bool = True,
 ) -> DataFrame:
     """Best group of every feature with a permutation p-value.
 
     The combination of all groups competes too (specificity 1, fidelity the overall
-    prevalence); where it wins the group is null and no p-value is given.
-    ``levels`` declares the groups.
+    prevalence) unless ``all_groups`` is off; where it wins the group is null and no
+    p-value is given.  ``levels`` declares the groups.
     """
     members = cut_lineage(members.select(sample, group).where(F.col(group).isin(levels)))
     code = F.lit(0)
@@ -226,7 +227,7 @@ def indicator_test(
     for i, level in enumerate(levels):
         name = F.when(F.col("design") == f"g{i}", F.lit(level)).otherwise(name)
     observed = best.where("perm = 0").join(p.select(feature, "p_value"), feature)
-    everywhere = F.col("stat_all") > F.col("stat") + 1e-9
+    everywhere = (F.col("stat_all") > F.col("stat") + 1e-9) if all_groups else F.lit(False)
     return observed.select(
         feature,
         F.when(~everywhere, name).alias("indicator_for"),
@@ -401,3 +402,30 @@ def mantel(
 def best_group(indicator: DataFrame, feature: str, group: str) -> DataFrame:
     """The group with the largest indicator value; ties go to the first name."""
     return kth_row(indicator, [feature], [F.col("stat").desc(), F.col(group)], 1)
+
+
+def constrained_axes(
+    response: DataFrame, members: DataFrame, sample: str, feature: str, value: str, terms: list[str]
+) -> DataFrame:
+    """Eigenvalues of the fitted part of a redundancy analysis, one row per axis.
+
+    Fitted values live in the space of the terms, so the eigenvalues are those of a
+    matrix as wide as the number of terms: sums over features of products of the
+    coefficients, scaled by the lengths of the orthogonal terms.
+    """
+    x = cut_lineage(orthogonal_terms(members, sample, terms))
+    slopes = cut_lineage(coefficients(response, members, sample, feature, value, terms))
+    lengths = x.agg(F.count("*").alias("n"), *[F.sum(F.col(t) * F.col(t)).alias(t) for t in terms]).first()
+    products = slopes.agg(
+        *[
+            F.sum(F.coalesce(F.col(a), F.lit(0.0)) * F.coalesce(F.col(b), F.lit(0.0))).alias(f"{i}_{j}")
+            for i, a in enumerate(terms)
+            for j, b in enumerate(terms)
+        ]
+    ).first()
+    size = len(terms)
+    scale = np.sqrt([max(lengths[t], 0.0) for t in terms])
+    square = np.array([[products[f"{i}_{j}"] for j in range(size)] for i in range(size)]) * np.outer(scale, scale)
+    values = np.linalg.eigvalsh(square)[::-1] / (lengths["n"] - 1)
+    rows = [(i + 1, float(v), float(v / values.sum())) for i, v in enumerate(values)]
+    return response.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")

@@ -60,9 +60,9 @@ def _levels(spark, d):
     return cells.select("sample", F.concat_ws(":", "level", "taxon").alias("taxon"), "v")
 
 
-def _indicators(spark, d):
+def _indicators(spark, d, all_groups=True):
     return permutation.indicator_test(
-        _levels(spark, d), views.meta(spark, d), "sample", "taxon", "species", "v", GROUPS, N_PERM, SEED
+        _levels(spark, d), views.meta(spark, d), "sample", "taxon", "species", "v", GROUPS, N_PERM, SEED, all_groups
     )
 
 
@@ -77,16 +77,16 @@ def indval_perm(spark, d):
 @query(
     "indval_report",
     f"""with {_IND_TEST}, g as (select c.taxon, m.species, sum(v) as s from cells c join labels m on c.sample = m.sample group by 1, 2)
-        select split_part(r.taxon, ':', 1) as level, split_part(r.taxon, ':', 2) as taxon, indicator_for, {rsql('stat')} as stat, {rsql('p_value')} as p_value,
+        select split_part(r.taxon, ':', 1) as level, split_part(r.taxon, ':', 2) as taxon, who as indicator_for, {rsql('stat')} as stat, {rsql('p')} as p_value,
                {rsql("max(case when g.species = 'even' then s / (select n from sizes where species = 'even') end)", 5)} as even,
                {rsql("max(case when g.species = 'odd' then s / (select n from sizes where species = 'odd') end)", 5)} as odd
-        from result r join g on r.taxon = g.taxon where p_value <= 0.1 group by 1, 2, 3, r.stat, r.p_value""",
+        from tested r join g on r.taxon = g.taxon where p <= 0.05 group by 1, 2, 3, r.stat, r.p""",
 )
 def indval_report(spark, d):
     cells, meta = _levels(spark, d), views.meta(spark, d)
     means = composition.group_means(cells, meta, "sample", "taxon", "species", "v")
     wide = reshape.to_wide(means, ["taxon"], "species", "mean", GROUPS)
-    report = _indicators(spark, d).where("p_value <= 0.1").join(wide, "taxon")
+    report = _indicators(spark, d, all_groups=False).where("p_value <= 0.05").join(wide, "taxon")
     parts = F.split("taxon", ":")
     return report.select(
         parts[0].alias("level"),
