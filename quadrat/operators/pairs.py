@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quadrat.functions.scalars import ratio
 from quadrat.functions.special import geodesic
+from quadrat.session import spread
 
 BLOCK_SAMPLES = 256
 BLOCK_CELLS = 500_000
@@ -50,7 +51,7 @@ def all_pairs(df: DataFrame, key: str, columns: Iterable[str], block_rows: int =
         return here.select("__p", "__q", F.col(key).alias(f"__{s}"), *[F.col(c).alias(f"__{s}_{c}") for c in columns])
 
     left, right = side("l", "__p"), side("r", "__q")
-    met = left.join(right, ["__p", "__q"]).where((F.col("__p") < F.col("__q")) | (F.col("__l") < F.col("__r")))
+    met = spread(left, "__p", "__q").join(spread(right, "__p", "__q"), ["__p", "__q"]).where((F.col("__p") < F.col("__q")) | (F.col("__l") < F.col("__r")))
     ordered = F.col("__l") < F.col("__r")
     out = [F.least("__l", "__r").alias("id_a"), F.greatest("__l", "__r").alias("id_b")]
     for c in columns:
@@ -184,7 +185,7 @@ def community_distance(
 
         tiled = rows.withColumn("__tile", F.explode(tiles_of(F.col("__block"), F.col("__blocks"))))
         tiled = tiled.select(*names, *iter_column, "__block", F.col("__tile.p").alias("__p"), F.col("__tile.q").alias("__q"))
-        return tiled.groupBy("__p", "__q").applyInPandas(finish, T.StructType([*pair_fields, T.StructField(name, double)]))
+        return spread(tiled, "__p", "__q").groupBy("__p", "__q").applyInPandas(finish, T.StructType([*pair_fields, T.StructField(name, double)]))
 
     # a marker row per sample and bucket keeps pairs that never meet inside one bucket
     weight = F.lit(1.0) if kind == "jaccard" else F.col(value).cast("double")
@@ -219,7 +220,8 @@ def community_distance(
             sums[f"total_{end}"] = total.reindex(where).to_numpy()
         return sums
 
-    partial = tiled.groupBy("__p", "__q", "__bucket").applyInPandas(part, partial_schema)
+    where = ["__p", "__q", "__bucket"]
+    partial = spread(tiled, *where).groupBy(*where).applyInPandas(part, partial_schema)
     merged = partial.groupBy("id_a", "id_b", "__iter").agg(
         F.sum("shared").alias("shared"), F.max("total_a").alias("total_a"), F.max("total_b").alias("total_b")
     )

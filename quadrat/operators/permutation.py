@@ -19,7 +19,7 @@ from quadrat.functions.scalars import ratio
 from quadrat.operators.grouping import kth_row
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of, tiles_of
 from quadrat.operators.resample import at_least_as_large, permutations
-from quadrat.session import cut_lineage
+from quadrat.session import cut_lineage, spread
 
 
 def label_arrays(perms: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -93,6 +93,7 @@ def permanova_statistics(
         total = np.full(code.shape[1], square.sum() / n.sum())
         return pd.DataFrame({"perm": np.arange(code.shape[1], dtype="int32"), "total": total, "within": within})
 
+    placed, labels = spread(placed, "__p", "__q"), spread(labels, "__p", "__q")
     by_tile = placed.groupBy("__p", "__q").cogroup(labels.groupBy("__p", "__q")).applyInPandas(sums, schema)
     added = by_tile.groupBy("perm").agg(F.sum("total").alias("ss_total"), F.sum("within").alias("ss_within"))
     shape = codes.agg(F.struct(F.count("*").alias("k"), F.sum("__n").alias("n"))).scalar()
@@ -148,6 +149,7 @@ def permuted_sums(
                 frames.append(pd.DataFrame({feature: names, "design": c, "sums": list(dense @ matrix), "seen": list(seen)}))
         return pd.concat(frames)
 
+    left, right = spread(left, "__block"), spread(right, "__block")
     partial = left.groupBy("__block").cogroup(right.groupBy("__block")).applyInPandas(multiply, schema)
     rows = partial.select(feature, "design", F.posexplode(F.arrays_zip("sums", "seen")).alias("perm", "__z"))
     return rows.groupBy("perm", feature, "design").agg(
@@ -382,8 +384,9 @@ def mantel(
     """
     from quadrat.operators import correlation
 
-    x = x.where(F.col(x_value).isNotNull())
-    y = y.where(F.col(y_value).isNotNull())
+    # both tables are read several times: for split points, ranks and the permutations
+    x = cut_lineage(x.where(F.col(x_value).isNotNull()).select("id_a", "id_b", x_value))
+    y = cut_lineage(y.where(F.col(y_value).isNotNull()).select("id_a", "id_b", y_value))
     if method == "spearman":
         x, y = correlation.with_rank(x, x_value), correlation.with_rank(y, y_value)
     if method == "kendall":

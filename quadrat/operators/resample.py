@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.operators.rank import hash_rank, slice_digits
+from quadrat.session import spread
 
 
 def digest(seed: int, *parts: Column | str) -> Column:
@@ -24,6 +25,8 @@ def digest(seed: int, *parts: Column | str) -> Column:
 
 # ---------------------------------------------------------------- rarefaction
 
+CHUNK_READS = 100_000
+
 
 def rarefy(
     cells: DataFrame, sample: str, feature: str, value: str, depth: Column, iterations: int, seed: int = 1
@@ -42,8 +45,15 @@ def rarefy(
     base = cells.where(F.col(value) > 0).join(deep, sample)
 
     def reads_of(rows: DataFrame) -> DataFrame:
-        units = rows.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-        units = units.withColumn("__unit", F.explode(F.sequence(F.lit(1).cast("long"), F.col(value).cast("long"))))
+        # one row per iteration and stretch of reads, spread out, so that a cell with
+        # very many reads is unfolded by many tasks
+        last = F.floor((F.col(value) - 1) / F.lit(CHUNK_READS))
+        pieces = rows.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+        pieces = pieces.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        pieces = spread(pieces, sample, feature, "iter", "__piece")
+        first = F.col("__piece") * CHUNK_READS + 1
+        until = F.least(first + CHUNK_READS - 1, F.col(value).cast("long"))
+        units = pieces.withColumn("__unit", F.explode(F.sequence(first, until)))
         units = units.withColumn("__digest", digest(seed, "iter", sample, feature, "__unit"))
         return units.withColumn("__slice", F.substring(F.col("__digest"), F.lit(1), F.col("__digits")))
 
@@ -151,22 +161,14 @@ def rarefy_draw(
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(feature)
         name, bucket = rows[sample].iloc[0], rows["__bucket"].iloc[0]
-        counts = rows[value].to_numpy()
+        counts, taxa = rows[value].to_numpy(), rows[feature].to_numpy()
         takes = rows["__take"].iloc[0]
-        drawn = [draw(counts, int(takes[i - 1]), ("pick", i, name, bucket)) for i in range(1, iterations + 1)]
-        return pd.concat(
-            [
-                pd.DataFrame({"iter": i + 1, sample: name, feature: rows[feature].to_numpy()[got > 0], value: got[got > 0]})
-                for i, got in enumerate(drawn)
-            ]
-        )
+        drawn = np.stack([draw(counts, int(takes[i - 1]), ("pick", i, name, bucket)) for i in range(1, iterations + 1)])
+        i, j = np.nonzero(drawn)
+        return pd.DataFrame({"iter": (i + 1).astype("int32"), sample: name, feature: taxa[j], value: drawn[i, j]})
 
-    return (
-        base.select(sample, feature, value, "__bucket")
-        .join(shares, [sample, "__bucket"])
-        .groupBy(sample, "__bucket")
-        .applyInPandas(pick, out_schema)
-    )
+    together = base.select(sample, feature, value, "__bucket").join(shares, [sample, "__bucket"])
+    return spread(together, sample, "__bucket").groupBy(sample, "__bucket").applyInPandas(pick, out_schema)
 
 
 def replicate_mean(drawn: DataFrame, sample: str, feature: str, value: str, iterations: int, distinct_values: bool = False):

@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by the keys, as many as the session's shuffle partitions.
+
+    For steps that do much work per byte (exploding counts, Python on groups): the
+    adaptive planner merges partitions by their size, which would leave such a step to
+    a handful of tasks.  A grouping by the same keys that follows needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
