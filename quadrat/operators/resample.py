@@ -42,14 +42,15 @@ def rarefy(
     totals = cells.groupBy(sample).agg(F.sum(value).alias("__total"))
     deep = totals.withColumn("__depth", depth.cast("long")).where(F.col("__total") >= F.col("__depth"))
     deep = deep.withColumn("__digits", slice_digits(F.col("__total")))
-    base = cells.where(F.col(value) > 0).join(deep, sample)
+    base = cells.where(F.col(value) > 0).select(sample, feature, value).join(deep.drop("__total"), sample)
 
-    def reads_of(rows: DataFrame) -> DataFrame:
+    def reads_of(rows: DataFrame, *carried: Column) -> DataFrame:
         # one row per iteration and stretch of reads, spread out, so that a cell with
         # very many reads is unfolded by many tasks
         last = F.floor((F.col(value) - 1) / F.lit(CHUNK_READS))
         pieces = rows.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
         pieces = pieces.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        pieces = pieces.select("iter", sample, feature, value, "__piece", "__digits", *carried)
         pieces = spread(pieces, sample, feature, "iter", "__piece")
         first = F.col("__piece") * CHUNK_READS + 1
         until = F.least(first + CHUNK_READS - 1, F.col(value).cast("long"))
@@ -57,7 +58,7 @@ def rarefy(
         units = units.withColumn("__digest", digest(seed, "iter", sample, feature, "__unit"))
         return units.withColumn("__slice", F.substring(F.col("__digest"), F.lit(1), F.col("__digits")))
 
-    sizes = reads_of(base).groupBy(sample, "__depth", "iter", "__slice").agg(F.count("*").alias("__rows"))
+    sizes = reads_of(base, F.col("__depth")).groupBy(sample, "__depth", "iter", "__slice").agg(F.count("*").alias("__rows"))
     upto = F.sum("__rows").over(
         W.partitionBy(sample, "iter").orderBy("__slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -79,19 +80,20 @@ def rarefy(
             ).alias("__last")
         )
     )
-    units = reads_of(base.join(last, sample)).withColumn("__end", F.col("__last")[F.col("iter")])
-    keys = ["iter", sample, feature]
-    sure = units.where(F.col("__slice") < F.col("__end.slice")).groupBy(*keys).agg(F.count("*").alias("__n"))
-    order = W.partitionBy("iter", sample).orderBy("__digest", feature, "__unit")
-    edge = (
-        units.where(F.col("__slice") == F.col("__end.slice"))
-        .select(*keys, "__unit", "__digest", F.col("__end.missing").alias("__missing"))
-        .withColumn("__rank", F.row_number().over(order))
-        .where(F.col("__rank") <= F.col("__missing"))
-        .groupBy(*keys)
+    end = F.col("__last")[F.col("iter")]
+    units = reads_of(base.join(last, sample), end["slice"].alias("__end"), end["missing"].alias("__missing"))
+    # reads of earlier slices fold into one row per feature; only reads of the last slice keep their digest
+    edge = F.when(F.col("__slice") == F.col("__end"), F.col("__digest"))
+    folded = (
+        units.where(F.col("__slice") <= F.col("__end"))
+        .groupBy("iter", sample, feature, "__missing", edge.alias("__edge"))
         .agg(F.count("*").alias("__n"))
     )
-    return sure.unionByName(edge).groupBy(*keys).agg(F.sum("__n").alias(value))
+    order = W.partitionBy("iter", sample, F.col("__edge").isNull()).orderBy("__edge", feature)
+    kept = folded.withColumn("__rank", F.row_number().over(order)).where(
+        F.col("__edge").isNull() | (F.col("__rank") <= F.col("__missing"))
+    )
+    return kept.groupBy("iter", sample, feature).agg(F.sum("__n").alias(value))
 
 
 def _seed_of(*parts) -> int:
@@ -143,12 +145,8 @@ def rarefy_draw(
         takes = np.stack([draw(counts, want, ("share", i, name)) for i in range(1, iterations + 1)], axis=1)
         return pd.DataFrame({sample: rows[sample].to_numpy(), "__bucket": rows["__bucket"].to_numpy(), "__take": list(takes)})
 
-    shares = (
-        base.groupBy(sample, "__depth", "__bucket")
-        .agg(F.sum(value).alias("__reads"))
-        .groupBy(sample)
-        .applyInPandas(share, share_schema)
-    )
+    bucket_totals = base.groupBy(sample, "__depth", "__bucket").agg(F.sum(value).alias("__reads"))
+    shares = spread(bucket_totals, sample).groupBy(sample).applyInPandas(share, share_schema)
     out_schema = T.StructType(
         [
             T.StructField("iter", T.IntegerType()),

@@ -170,7 +170,8 @@ def test_kendall_with_ties_and_a_hot_value(spark, splits):
         data += [(k, float(a), float(b)) for a, b in zip(x, y, strict=True)]
     df = spark.createDataFrame(data, "k int, x double, y double")
     xs, ys = (correlation.split_points(df, c, splits) for c in "xy")
-    got = dict(rows(correlation.kendall(df, ["k"], "x", "y", xs, ys)))
+    df = df.withColumns({"p": correlation.bucket("x", xs), "q": correlation.bucket("y", ys)})
+    got = dict(rows(correlation.kendall(df, ["k"], "x", "y", "p", "q")))
     for k in range(2):
         part = np.array([(a, b) for i, a, b in data if i == k])
         assert got[k] == pytest.approx(tau_b(part[:, 0], part[:, 1]))
