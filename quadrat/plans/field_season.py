@@ -9,6 +9,7 @@ from quadrat.functions import scalars
 from quadrat.functions.scalars import recode, text_rules, yes_no
 from quadrat.operators import grouping, joins, panel, rank
 from quadrat.plans import field_rules as rules
+from quadrat.session import cut_lineage
 from quadrat.sources.tables import literal_table
 
 NEST = "nest_id"
@@ -155,6 +156,8 @@ def observations(log: DataFrame, nests: DataFrame, year: int) -> DataFrame:
             "nest_damage": text_rules(note, rules.DAMAGE, "no"),
         }
     )
+    # seven aggregates and the final join read the panel, so it is written once
+    near = cut_lineage(near)
     flags = near.groupBy(NEST).agg(
         *[
             F.max(F.coalesce(c, F.lit(False))).alias(n)

@@ -48,7 +48,21 @@ def _season(spark, d):
     return field_season.field_season(_nests(spark, d).drop("entity"), _log(spark, d), 2024)
 
 
-@query("season_nest_list")
+_SITE = "case when nest_id in ('e6') then 'dwf' when nest_id in ('a1', 'a2', 'j2') then 'pcc' when nest_id in ('j6', 'e5', 'a4') then 'outside study area' when nest_id like 'a%' or nest_id like 'j%' then 'dwf' when nest_id like 'e%' then 'pcc' end"
+
+
+@query(
+    "season_nest_list",
+    f"""with {views.DIM}, {views.VISITS}, nests as (
+          select entity, (case when site like 'A%' then 'a' when site like 'E%' then 'e' else 'j' end) || entity as nest_id, lower(name) as tree_species,
+                 case species when 'AUTOMOBILE' then 'AMRO' when 'BUILDING' then 'GRCA' when 'FURNITURE' then 'YEWA' when 'HOUSEHOLD' then 'RWBL' when 'MACHINERY' then 'MODO' end as host_species
+          from dim),
+        out as (select n.nest_id from visits v join nests n on v.entity = n.entity
+                where regexp_matches(note, '(?i)old nest|(?i)outside search area|(?i)ladder')),
+        kept as (select nest_id, host_species, tree_species, {_SITE} as site, 'yes' as target_species from nests
+                 where host_species <> 'MODO' and {_SITE} <> 'outside study area' and nest_id not in (select nest_id from out))
+        select cast(row_number() over (order by nest_id) as bigint) as master_number, * from kept""",
+)
 def season_nest_list(spark, d):
     return _season(spark, d)["master_nest_list"]
 
