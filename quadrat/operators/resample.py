@@ -145,8 +145,14 @@ def rarefy_draw(
         takes = np.stack([draw(counts, want, ("share", i, name)) for i in range(1, iterations + 1)], axis=1)
         return pd.DataFrame({sample: rows[sample].to_numpy(), "__bucket": rows["__bucket"].to_numpy(), "__take": list(takes)})
 
-    bucket_totals = base.groupBy(sample, "__depth", "__bucket").agg(F.sum(value).alias("__reads"))
+    # most samples fit one bucket, which takes the whole depth; only the others need a draw among buckets
+    split = base.where(F.col("__buckets") > 1)
+    bucket_totals = split.groupBy(sample, "__depth", "__bucket").agg(F.sum(value).alias("__reads"))
     shares = spread(bucket_totals, sample).groupBy(sample).applyInPandas(share, share_schema)
+    whole = deep.where(buckets == 1).select(
+        sample, F.lit(0).cast("long").alias("__bucket"), F.array_repeat("__depth", F.lit(iterations)).alias("__take")
+    )
+    shares = shares.unionByName(whole)
     out_schema = T.StructType(
         [
             T.StructField("iter", T.IntegerType()),

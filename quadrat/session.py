@@ -14,6 +14,8 @@ def local_session(cores: int | str = 8, app: str = "quadrat", **conf: str) -> Sp
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # there are only as many shuffle partitions as cores; merging them by size would idle cores
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
