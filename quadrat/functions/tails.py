@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def incomplete_beta(a, b, x) -> np.ndarray:
