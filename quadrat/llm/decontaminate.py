@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,23 +47,20 @@ def _rolling(ids: np.ndarray, length: int) -> np.ndarray:
 def tiles(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in a, place in b, length) of two number sequences.
 
-    For falling lengths, all unmarked runs of a are hashed and looked up among the unmarked runs
-    of b; equal ones are compared word by word, extended to their full length, and marked if
-    still free.  When a longer match than the length looked for turns up, the search starts anew
-    from it, so matches are always marked longest first; ties go to the first place in a, then b.
+    For falling lengths, all unmarked runs of b are hashed and looked up with those of a; equal ones
+    are compared word by word and extended.  Of the matches found only the longest are marked
+    before the search at that length starts anew, so matches are marked strictly longest first;
+    ties go to the first place in a, then in b.
     """
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     found: list[tuple[int, int, int]] = []
-    length = min(len(a), len(b))
-    if length < shortest:
-        return found
-    length = min(length, max(shortest, 20))
+    length = min(len(a), len(b), max(shortest, 20))
     while length >= shortest:
         runs = _free_runs(free_b, length)
         places = defaultdict(list)
         for value, at in zip(_rolling(b, length)[runs].tolist(), runs.tolist(), strict=True):
             places[value].append(at)
-        matches, longest = [], 0
+        matches = []
         own = _free_runs(free_a, length)
         for value, i in zip(_rolling(a, length)[own].tolist(), own.tolist(), strict=True):
             for j in places.get(value, ()):
@@ -70,19 +68,16 @@ def tiles(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
                     n += 1
                 if n >= length:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
-            if longest > 2 * length:
-                break
-        if longest > 2 * length:  # so much longer that hashing at that length comes first
-            length = longest
+                    matches.append((-n, i, j))
+        if not matches:
+            length = length // 2 if length // 2 > shortest else shortest if length > shortest else 0
             continue
-        for n, i, j in sorted(matches, key=lambda x: (-x[0], x[1], x[2])):
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = False
-                free_b[j : j + n] = False
-                found.append((i, j, n))
-        length = min(length - 1, max(shortest, length // 2)) if length > shortest else 0
+        longest = -min(matches)[0]
+        for _, i, j in sorted(m for m in matches if m[0] == -longest):
+            if free_a[i : i + longest].all() and free_b[j : j + longest].all():
+                free_a[i : i + longest] = False
+                free_b[j : j + longest] = False
+                found.append((i, j, longest))
     return found
 
 
@@ -200,11 +195,17 @@ def keep(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     for block in blocks_of(benchmark, item, item_text, BLOCK_BYTES):
         sent = df.sparkSession.sparkContext.broadcast([tuple(r) for r in block.orderBy(item, item_text).collect()])
 
-        @F.pandas_udf(T.BooleanType())
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            seeds = Block(sent.value, SHORTEST)
-            for texts in batches:
-                yield texts.map(lambda value: next(seeds.leaks(value, coverage), None) is None).astype(bool)
-
-        df = df.filter(clean(F.col(text)))
+        df = df.filter(_clean(sent, coverage)(F.col(text)))
     return df
+
+
+def _clean(sent: Broadcast, coverage: float) -> Callable[[Column], Column]:
+    """Whether a text leaks no item of the block."""
+
+    @F.pandas_udf(T.BooleanType())
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds = Block(sent.value, SHORTEST)
+        for texts in batches:
+            yield texts.map(lambda value: next(seeds.leaks(value, coverage), None) is None).astype(bool)
+
+    return clean

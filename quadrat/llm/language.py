@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,7 +215,7 @@ def keep(df: DataFrame, model: Model, text: str = "text", least: float = 0.4) ->
     sent = df.sparkSession.sparkContext.broadcast(model.parts())
 
     @F.pandas_udf(T.BooleanType())
-    def told(texts):
+    def told(texts: pd.Series) -> pd.Series:
         frozen = Model(*sent.value)
         return texts.map(lambda value: best_of(value, frozen)[1] >= least).astype(bool)
 

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +151,7 @@ def mask(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame
     All other columns, whatever their names, stay as they are; a null text stays null.
     """
     @F.pandas_udf(T.StringType())
-    def masked(texts):
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda value: value if value is None else _masked(value, mark))
 
     return df.withColumn(text, masked(F.col(text)))
