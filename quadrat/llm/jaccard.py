@@ -250,9 +250,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | No
     more = verified(rest, about, df, key, text, rule, load)
     final = connected(links.union(more))
 
-    labelled = rows.select(key, "n", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "cls"))
-    smallest = labelled.filter("n > 0").groupBy("label").agg(F.min(key).alias("component_id"))
-    with_words = labelled.filter("n > 0").join(smallest, "label").select(key, F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
-    return with_words.unionByName(alone)
+    # by class first, so that the rows meet a table with one row for each class and a group of copies can be split
+    member = about.select("cls", key).join(final.withColumnRenamed("node", "cls"), "cls", "left")
+    member = member.select("cls", key, F.coalesce("label", "cls").alias("label"))
+    smallest = cut_lineage(member.groupBy("label").agg(F.min(key).alias("component_id")))
+    component = cut_lineage(member.select("cls", "label").join(smallest, "label").select("cls", "component_id"))
+    out = rows.select(key, "n", "cls").join(component, "cls", "left")
+    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
