@@ -19,12 +19,53 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
+#: From this first parameter on, with a second one up to MANY, the incomplete gamma function gives the incomplete beta function.
+HUGE, MANY = 5e5, 1e3
+#: Steps after which a series that hasn't converged is an error instead of an answer.
+STEPS = 1_000_000
+
+
+def upper_gamma(s: float, z: float) -> float:
+    """Regularised upper incomplete gamma function: series below s + 1, continued fraction above."""
+    if z <= 0:
+        return 1.0
+    front = math.exp(s * math.log(z) - z - math.lgamma(s))
+    if z < s + 1:
+        term = total = 1 / s
+        for n in range(1, STEPS):
+            term *= z / (s + n)
+            total += term
+            if term < total * 1e-16:
+                return 1 - front * total
+    else:
+        b = z + 1 - s
+        c, d = 1e300, 1 / b
+        value = d
+        for n in range(1, STEPS):
+            step = -n * (n - s)
+            b += 2
+            d = 1 / (step * d + b)
+            c = b + step / c
+            value *= c * d
+            if abs(c * d - 1) < 1e-15:
+                return front * value
+    raise ArithmeticError(f"no convergence for s={s}, z={z}")
+
+
 def incomplete_beta(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction."""
+    """Regularised incomplete beta function.
+
+    By its continued fraction, which needs about sqrt(a + b) steps and loses digits to
+    cancellation as a grows.  For a huge a and a moderate b it is the upper incomplete gamma
+    function of b at -(a + (b - 1) / 2) ln x, with an error of order (b / a) ** 2.
+    """
     a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
     out = np.full(x.shape, np.nan)
     out[x <= 0], out[x >= 1] = 0.0, 1.0
     inner = (x > 0) & (x < 1) & (a > 0) & (b > 0)
+    huge = inner & (a >= HUGE) & (b <= MANY)
+    out[huge] = [upper_gamma(s, -(r + (s - 1) / 2) * math.log(v)) for r, s, v in zip(a[huge], b[huge], x[huge], strict=True)]
+    inner = inner & ~huge
     if not inner.any():
         return out
     a, b, x = a[inner], b[inner], x[inner]
@@ -36,7 +77,7 @@ def incomplete_beta(a, b, x) -> np.ndarray:
     d = 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     value = d.copy()
-    for m in range(1, 500):
+    for m in range(1, STEPS):
         even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
         odd = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
         for term in (even, odd):
@@ -48,6 +89,8 @@ def incomplete_beta(a, b, x) -> np.ndarray:
             value = value * change
         if np.all(np.abs(change - 1) < 1e-15):
             break
+    else:
+        raise ArithmeticError("the continued fraction did not converge")
     tail = front * value
     out[inner] = np.where(swap, 1 - tail, tail)
     return out
@@ -57,7 +100,9 @@ def f_upper(f, df1, df2) -> np.ndarray:
     """P(F > f)."""
     f, df1, df2 = (np.asarray(v, dtype=float) for v in (f, df1, df2))
     with np.errstate(invalid="ignore", divide="ignore"):
-        return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+        swap = (df1 >= 2 * HUGE) & (df2 <= 2 * MANY)  # the same tail seen from the other side
+        low = 1 - incomplete_beta(np.where(swap, df1 / 2, 1.0), np.where(swap, df2 / 2, 1.0), np.where(swap, df1 * f / (df2 + df1 * f), 0.5))
+        return np.where(swap, low, incomplete_beta(np.where(swap, 1.0, df2 / 2), df1 / 2, np.where(swap, 0.5, df2 / (df2 + df1 * f))))
 
 
 def t_two_sided(t, df) -> np.ndarray:

@@ -31,7 +31,7 @@ def decode_labels(df: DataFrame, label: str, entity: str = "entity", control: st
         {
             entity: F.when(~text.rlike(CONTROL_PREFIXES), F.regexp_replace(text, RUN_SUFFIX, "")),
             control: F.when(text.rlike(ENTITY_PREFIXES), F.lit(None).cast("string"))
-            .when(text.rlike(CLOACAL_PREFIX), F.lit("cloacal"))
+            .when(text.rlike(CLOACAL_PREFIX), F.when(~text.contains("_cou"), F.lit("cloacal")))
             .otherwise(F.regexp_replace(text, CONTROL_SUFFIX, "")),
         }
     )

@@ -69,15 +69,15 @@ def densify(visits: DataFrame, entity: str, date: str, gap_note: str = GAP_NOTE)
 def with_neighbours(panel: DataFrame, entity: str, date: str, columns: Iterable[str]) -> DataFrame:
     """``prev_x`` and ``next_x``: the value on the calendar day before and after.
 
-    Null when that day has no row, also in a panel that was not densified.
+    Null when that day has no row, also in a panel that was not densified.  With several rows
+    on that day the largest value counts, for each row of the day that looks.
     """
-    window = W.partitionBy(entity).orderBy(date)
-    has_prev = F.lag(date, 1).over(window) == F.date_sub(F.col(date), 1)
-    has_next = F.lead(date, 1).over(window) == F.date_add(F.col(date), 1)
+    by_day = W.partitionBy(entity).orderBy(F.unix_date(F.col(date).cast("date")))
+    before, after = by_day.rangeBetween(-1, -1), by_day.rangeBetween(1, 1)
     added = {}
     for c in columns:
-        added[f"prev_{c}"] = F.when(has_prev, F.lag(c, 1).over(window))
-        added[f"next_{c}"] = F.when(has_next, F.lead(c, 1).over(window))
+        added[f"prev_{c}"] = F.max(c).over(before)
+        added[f"next_{c}"] = F.max(c).over(after)
     return panel.withColumns(added)
 
 
@@ -231,9 +231,7 @@ def start_estimate(facts: DataFrame, incubation: Column, who: str = "host") -> D
         F.when(known & (F.col("start_rule") == 2), LAYING_REASON.format(who=who))
         .when(known & F.col("start_estimated"), INCUBATION_REASON.format(who=who))
         .when(~known & (F.col("max_egg") == 0), NOT_INITIATED.format(who=who))
-        .when(
-            ~known & unseen & (F.col("max_hatch") > 0) & ~F.col("first_hatch_witnessed"), HATCH_UNSEEN.format(who=who)
-        )
+        .when(~known & unseen & ~F.col("first_hatch_witnessed"), HATCH_UNSEEN.format(who=who))
         .when(~known & unseen & (F.col("max_hatch") == 0), NEVER_HATCHED.format(who=who))
     )
     return out.withColumn("start_reason", reason)

@@ -141,14 +141,14 @@ MAX_HOST_HATCH = [("a92", 5, "5 eggs hatched with 3 hatchlings predated")]
 UNKNOWN_PROPORTION = ["a11"]
 UNKNOWN_OUTCOME = ["e128", "j42", "j44", "j58"]
 
-# Average days of incubation.
+# Average days of incubation and the publication they are taken from, as the output column has it.
 INCUBATION = [
-    ("AMRO", 12, "Ospina et al. 2018"),
-    ("GRCA", 13, "Johnson and Best 1980"),
-    ("YEWA", 11, "McMaster and Sealy 1998"),
-    ("RWBL", 12, "Yasukawa and Searcy 2020"),
-]
-BHCO_INCUBATION = (12, "McMaster and Sealy 1998")
+    ("AMRO", 12, "Ospina, E. A., Merrill, L., &amp; Benson, T. J. (2018). Incubation temperature impacts nestling growth and survival in an open-cup nesting passerine. Ecology and Evolution, 8(6), 3270–3279. https://doi.org/10.1002/ece3.3911"),
+    ("GRCA", 13, "Johnson, E. J. and L. B. Best. (1980). Breeding biology of the Gray Catbird in Iowa. Iowa State J. Res. 55:171-183."),
+    ("YEWA", 11, "McMaster, D. G., & Sealy, S. G. (1998). Short incubation periods of Brown-headed Cowbirds: How do cowbird eggs hatch before Yellow Warbler eggs?. The Condor, 100(1), 102-111."),
+    ("RWBL", 12, "Birds of the world: Yasukawa, K. and W. A. Searcy (2020). Red-winged Blackbird (Agelaius phoeniceus), version 1.0. In Birds of the World (P. G. Rodewald, Editor). Cornell Lab of Ornithology, Ithaca, NY, USA. https://doi-org.proxy1.lib.uwo.ca/10.2173/bow.rewbla.01"),
+]
+BHCO_INCUBATION = (12, "McMaster, D. G., & Sealy, S. G. (1998). Short incubation periods of Brown-headed Cowbirds: How do cowbird eggs hatch before Yellow Warbler eggs?. The Condor, 100(1), 102-111.")
 
 # Host eggs counted in a sample of the pilot, and its replacement for a missing taxon.
 MAX_COHORT_EGGS = 3

@@ -152,6 +152,7 @@ _TAXA = ["feature", "phylum", "family"]
 def _with_taxonomy(spark, d, counts=None):
     cells = views.reads(spark, d) if counts is None else counts
     cells = grouping.share_of_group(cells, ["sample"], "reads", "rel_abund")
+    cells = grouping.with_group(cells, ["sample"], {"total": F.sum("reads")})
     taxa = views.taxonomy(spark, d).withColumn("family", F.coalesce("family", F.lit("Unknown")))
     return cells.join(taxa, "feature")
 
@@ -159,17 +160,16 @@ def _with_taxonomy(spark, d, counts=None):
 @query(
     "hierarchy_rollup",
     f"with {views.READS}, {views.TAXONOMY}, full_rows as (select sample, r.feature, phylum, coalesce(family, 'Unknown') as family, reads, "
-    "reads / sum(reads) over (partition by sample) as p from reads r join taxonomy t on r.feature = t.feature) "
+    "total from (select *, sum(reads) over (partition by sample) as total from reads) r join taxonomy t on r.feature = t.feature) "
     + " union all ".join(
-        f"select sample, '{c}' as level, {c} as taxon, cast(sum(reads) as bigint) as reads, {rsql('sum(p)')} as rel_abund from full_rows group by 1, 3"
+        f"select sample, '{c}' as level, {c} as taxon, cast(sum(reads) as bigint) as reads, {rsql('sum(reads) / max(total)')} as rel_abund from full_rows group by 1, 3"
         for c in _TAXA
     ),
 )
 def hierarchy_rollup(spark, d):
-    rows = _with_taxonomy(spark, d)
-    return roll_up(
-        rows, ["sample"], _TAXA, {"reads": F.sum("reads"), "rel_abund": rounded(F.sum("rel_abund"))}
-    )
+    # whole reads are summed and divided once, so the order of a sum of fractions can't matter
+    share = F.sum("reads") / F.max("total")
+    return roll_up(_with_taxonomy(spark, d), ["sample"], _TAXA, {"reads": F.sum("reads"), "rel_abund": rounded(share)})
 
 
 @query(

@@ -236,3 +236,17 @@ def test_hull_in_parts_equals_whole(spark):
         if (cross >= -1e-12).all():
             edges |= {i, j}
     assert edges == got
+
+
+def test_tails_at_very_many_degrees_of_freedom():
+    from quadrat.functions import tails
+
+    for df in (1e6, 1e8, 1e10, 1e12):
+        # with one and infinitely many degrees of freedom F is the square of a normal variable
+        assert abs(float(tails.f_upper(3.841458820694124, 1, df)) - 0.05) < 1e-6
+        assert abs(float(tails.f_upper(2.6049, 3, df)) - 0.05) < 1e-4
+        assert abs(float(tails.t_two_sided(1.959963984540054, df)) - 0.05) < 1e-6
+    assert abs(float(tails.f_upper(1 / 3.841458820694124, 1e8, 1)) - 0.95) < 1e-6
+    # both sides of the switch agree
+    a, b = (float(tails.f_upper(2.6049, 3, d)) for d in (0.999e6, 1.001e6))
+    assert abs(a - b) < 1e-8

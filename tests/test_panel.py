@@ -125,3 +125,9 @@ def test_override_and_kth(spark, visits):
 def test_first_event(near):
     out = panel.first_event(near, "e", "doy", "eggs", "first").where("first_found").collect()
     assert {(r["e"], r["doy"]) for r in out} == {("a3", 122), ("a35", 121), ("e1", 140)}
+
+
+def test_neighbours_look_up_the_calendar_day(spark):
+    visits = spark.createDataFrame([("n", "2022-05-01", 1), ("n", "2022-05-02", 2), ("n", "2022-05-02", 3), ("n", "2022-05-03", 4), ("n", "2022-05-05", 5)], "e string, d string, eggs int")
+    out = panel.with_neighbours(visits.selectExpr("e", "to_date(d) as d", "eggs"), "e", "d", ["eggs"]).orderBy("d", "eggs").collect()
+    assert [(r.eggs, r.prev_eggs, r.next_eggs) for r in out] == [(1, None, 3), (2, 1, 4), (3, 1, 4), (4, 3, None), (5, None, None)]
