@@ -106,6 +106,7 @@ def test_longest_span_equals_brute_force():
         match = rng.random(40) < 0.9
         centre = int(rng.integers(40))
         begin, end = substring.longest_span(match, centre, 80)
+        assert substring.reachable(match, 20, 80)[centre] or end - begin < 20
         good = [(j - i) for i in range(centre + 1) for j in range(centre + 1, 41) if match[i] and match[j - 1] and 9 * match[i:j].sum() >= 8 * (j - i) + 1e-6]
         assert end - begin == max(good, default=0) or 9 * match[begin:end].sum() >= 8 * (end - begin) - 1e-6
 
