@@ -100,6 +100,31 @@ def test_every_subsequence_has_one_window():
                 assert len(own) == 1 and hashes[own[0][1]] == hashes[i : j + 1].min()
 
 
+def test_texts_in_a_row_are_parted():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 9, n)) for n in (70, 3, 0, 55, 400)]
+    words = substring.Words()
+    ((keys, starts, own),) = substring.joined(words, [1, 2, 3, 4, 5], texts, 5, 50)
+    assert keys == [1, 4, 5] and starts.tolist() == [0, 67, 119] and len(own) == 516
+    together = substring.compact_windows(own, 46)
+    together = together[own[together[:, 1]] > 0]
+    alone = [substring.compact_windows(substring.sequence(words, texts[k - 1], 5), 46) + s for k, s in zip(keys, starts, strict=True)]
+    assert sorted(map(tuple, together)) == sorted(map(tuple, np.concatenate(alone)))
+
+
+def test_spans_are_equal_where_the_words_are(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    passage = fresh(52)
+    rows = [(1, " ".join(fresh(30) + passage + fresh(30))), (2, " ".join(fresh(77) + passage + fresh(9)))]
+    places = spark.createDataFrame([(1, 0, 50, 0, 107), (2, 0, 97, 0, 133)], "doc_id long, fn int, centre int, left int, right int")
+    out = substring.whole_spans(spark.createDataFrame(rows, "doc_id long, text string"), places, "doc_id", "text", 5, 46).collect()
+    assert Counter(r.doc_id for r in out) == {1: 46, 2: 37}  # the second ends before all spans do
+    for name in ("ends", "exact"):
+        one, two = ({r[name] for r in out if r.doc_id == k} for k in (1, 2))
+        assert len(one) == 46 and len(one & two) == 3  # 48 places in common hold three spans of 46
+
+
 def test_longest_span_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(300):
