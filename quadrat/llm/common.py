@@ -27,7 +27,7 @@ def schema_of(df: DataFrame, *columns: str, **added: T.DataType) -> T.StructType
 def map_rows(
     df: DataFrame, columns: list[str], schema: T.StructType, fn: Callable[[Iterator[list[list]]], Iterator[list[list]]]
 ) -> DataFrame:
-    """``fn`` turns lists of column values, batch after batch, into lists of the schema's columns.
+    """``fn`` turns lists of column values, batch after batch, into lists (or Arrow arrays) of the schema's columns.
 
     Only ``columns`` are read, so other columns, whatever their names, never reach the task.
     """
@@ -37,7 +37,7 @@ def map_rows(
         values = ([batch.column(c).to_pylist() for c in columns] for batch in batches)
         for out in fn(values):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow
+                [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow
             )
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 
 from quadrat.llm.common import map_rows, schema_of
 from quadrat.llm.components import connected
-from quadrat.llm.shingles import Words, mix, sequence
+from quadrat.llm.shingles import mix, sequence
 from quadrat.session import cut_lineage, written
 
 #: Bytes of a slice of the table of loads as it travels.
@@ -74,10 +74,10 @@ def loads(df: DataFrame, text: str, rule: Rule) -> np.ndarray:
     kind = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def count(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        words, total = Words(), np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for (texts,) in batches:
             for value in texts:
-                own = np.unique(sequence(words, value, rule.words))
+                own = np.unique(sequence(value, rule.words))
                 np.add.at(total, (own >> np.uint64(64 - bits)).astype(np.int64), 1)
         slices = [s for s in range(len(total) // per) if total[s * per : (s + 1) * per].any()]
         yield [slices, [np.minimum(total[s * per : (s + 1) * per], 2**31 - 1).astype(np.int32).tobytes() for s in slices]]
@@ -124,11 +124,11 @@ def describe(df: DataFrame, key: str, text: str, rule: Rule, load: np.ndarray) -
     added = {"n": T.LongType(), "cls": T.LongType(), "cells": T.ArrayType(T.IntegerType()), "prefix": T.ArrayType(T.LongType())}
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        words, own_load = Words(), sent.value
+        own_load = sent.value
         for keys, texts in batches:
             out: list[list] = [[], [], [], []]
             for value in texts:
-                own = np.unique(sequence(words, value, rule.words))
+                own = np.unique(sequence(value, rule.words))
                 out[0].append(len(own))
                 out[1].append(_class_of(own))
                 out[2].append(np.bincount((mix(own, 8) >> np.uint64(58)).astype(np.int64), minlength=CELLS).tolist())
@@ -138,19 +138,26 @@ def describe(df: DataFrame, key: str, text: str, rule: Rule, load: np.ndarray) -
     return map_rows(df, [key, text], schema_of(df, key, **added), run)
 
 
-def wanted(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (a column of distinct keys named like it).
-
-    Only rows that pass a map of hashed keys, of fixed size whatever the data, are shuffled.
-    """
+def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` with ``__near``: the hashed key is on a map, of fixed size whatever the data, of the keys in ``ids``."""
     spot = F.xxhash64(F.col(key).cast("string"), F.lit("wanted"))
     word = F.pmod(spot, F.lit(WANTED_WORDS)).alias("__word")
     bit = F.pmod(F.shiftright(spot, 20), F.lit(64)).cast("int")
     marks = ids.select(word, F.expr("1L").alias("one"), bit.alias("bit")).select("__word", F.call_function("shiftleft", "one", "bit").alias("mark"))
     marks = F.broadcast(marks.groupBy("__word").agg(F.bit_or("mark").alias("__marks")))
-    near = df.withColumn("__word", word).join(marks, "__word")
-    near = near.filter(F.call_function("shiftright", F.col("__marks"), bit).bitwiseAND(F.lit(1)) == 1).drop("__word", "__marks")
-    return near.join(ids, key)
+    near = F.call_function("shiftright", F.col("__marks"), bit).bitwiseAND(F.lit(1)) == 1
+    return df.withColumn("__word", word).join(marks, "__word", "left").withColumn("__near", F.coalesce(near, F.lit(False))).drop("__word", "__marks")
+
+
+def wanted(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (a column of distinct keys named like it); only rows near them are shuffled."""
+    return _marked(df, key, ids).filter("__near").drop("__near").join(ids, key)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; only rows near them are shuffled."""
+    marked = _marked(df, key, ids)
+    return marked.filter("not __near").drop("__near").unionByName(marked.filter("__near").drop("__near").join(ids, key, "left_anti"))
 
 
 def sets_of(df: DataFrame, key: str, text: str, rule: Rule, load: np.ndarray, classes: DataFrame) -> DataFrame:
@@ -161,11 +168,11 @@ def sets_of(df: DataFrame, key: str, text: str, rule: Rule, load: np.ndarray, cl
     kind = T.StructType([T.StructField("cls", T.LongType()), T.StructField("members", longs), T.StructField("second", longs), T.StructField("third", longs)])
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        words, own_load = Words(), sent.value
+        own_load = sent.value
         for (texts,) in batches:
             out: list[list] = [[], [], [], []]
             for value in texts:
-                own = np.unique(sequence(words, value, rule.words))
+                own = np.unique(sequence(value, rule.words))
                 if not len(own):
                     continue
                 out[0].append(_class_of(own))

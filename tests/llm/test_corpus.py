@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from quadrat.llm import jaccard, ranking, shards, substring, toxicity
+from quadrat.llm import shingles as shingles_of
 from quadrat.llm.components import connected
 from tests.llm.conftest import PROSE, crc
 
@@ -103,15 +104,31 @@ def test_every_subsequence_has_one_window():
 def test_texts_in_a_row_are_parted():
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 9, n)) for n in (70, 3, 0, 55, 400)]
-    words = substring.Words()
-    ((keys, starts, own),) = substring.joined(words, [1, 2, 3, 4, 5], texts, 5, 50)
+    ((keys, starts, own),) = substring.joined([1, 2, 3, 4, 5], texts, 5, 50)
     assert keys == [1, 4, 5] and starts.tolist() == [0, 67, 119] and len(own) == 516
     together = substring.compact_windows(own, 46)
     together = together[own[together[:, 1]] > 0]
-    alone = [substring.compact_windows(substring.sequence(words, texts[k - 1], 5), 46) + s for k, s in zip(keys, starts, strict=True)]
+    alone = [substring.compact_windows(substring.sequence(texts[k - 1], 5), 46) + s for k, s in zip(keys, starts, strict=True)]
     assert sorted(map(tuple, together)) == sorted(map(tuple, np.concatenate(alone)))
 
 
+def test_words_are_equal_where_the_bytes_are():
+    rng = np.random.default_rng(8)
+    texts = [None, "", " \t ", "É é", *("".join(rng.choice(list("abAB \n\x0b\u00e9\u3000"), n)) for n in range(1, 200))]
+    numbers, begins = shingles_of.words_in_a_row(texts)
+    own = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert len({*zip(numbers.tolist(), own, strict=True)}) == len(set(own)) == len(set(numbers.tolist()))
+    assert np.diff(begins).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert [len(substring.sequence(t, 3)) for t in ("", "a", "a b c", "a b c d")] == [0, 1, 1, 2]
+
+
+def test_a_passage_stretches_one_way_or_another():
+    for least in (2, 3, 17, 46):
+        for steps in range(4):
+            for behind in range(least):
+                assert any(b <= behind and a <= least - 1 - behind for b, a in substring.reaches(least, steps))
+
+
 def test_spans_are_equal_where_the_words_are(spark):
     rnd = random.Random(9)
     fresh = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
