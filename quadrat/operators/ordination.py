@@ -13,20 +13,23 @@ from pyspark.sql import types as T
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of
 from quadrat.session import cut_lineage
 
-HULL_SALTS = 64
+#: Points that one task takes a hull of at once.
+HULL_POINTS = 100_000
 
 
 def gower_center(pairs: DataFrame, members: DataFrame, key: str, distance: str) -> DataFrame:
     """Doubly centred inner products for ``id_a <= id_b``, the diagonal included.
 
     Row means come from one aggregate over the pair table; the centred value of a
-    pair then needs only its two row means and the grand mean.
+    pair then needs only its two row means and the grand mean.  Members without any pair
+    have no place among the others and are left out; a pair without a distance is an error.
     """
-    squared = pairs.select("id_a", "id_b", (F.col(distance) * F.col(distance)).alias("d2"))
+    known = F.when(F.col(distance).isNull(), F.raise_error(F.lit("a pair has no distance"))).otherwise(F.col(distance))
+    squared = pairs.select("id_a", "id_b", (known * known).alias("d2"))
     ends = squared.select(F.explode(F.array("id_a", "id_b")).alias(key), "d2")
-    n = members.agg(F.count("*")).scalar()
-    means = members.select(key).join(ends.groupBy(key).agg(F.sum("d2").alias("__s")), key, "left")
-    means = means.select(key, (F.coalesce(F.col("__s"), F.lit(0.0)) / n).alias("__m"))
+    sums = members.select(key).join(ends.groupBy(key).agg(F.sum("d2").alias("__s")), key)
+    n = sums.agg(F.count("*")).scalar()
+    means = sums.select(key, (F.col("__s") / n).alias("__m"))
     grand = means.agg(F.avg("__m")).scalar()
     a = means.select(F.col(key).alias("id_a"), F.col("__m").alias("__ma"))
     b = means.select(F.col(key).alias("id_b"), F.col("__m").alias("__mb"))
@@ -48,8 +51,10 @@ def pcoa(
     (the square root of Bray-Curtis is one): axes with a negative eigenvalue are dropped.
     """
     width = axes + 4
-    blocks = members.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SAMPLES)), F.lit(1)).alias("b")).scalar()
     pairs = cut_lineage(pairs.select("id_a", "id_b", distance))
+    paired = pairs.select(F.explode(F.array("id_a", "id_b")).alias(key)).distinct()
+    members = members.select(key).join(paired, key, "left_semi")
+    blocks = members.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SAMPLES)), F.lit(1)).alias("b")).scalar()
     centred = gower_center(pairs, members, key, distance)
     here, there = F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
     ways = F.when(F.col("id_a") == F.col("id_b"), F.array(here)).otherwise(F.array(here, there))
@@ -171,6 +176,7 @@ def kmeans(points: DataFrame, columns: list[str], k: int = 2, restarts: int = 10
         for i in range(restarts)
     ]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     return best.transform(data).drop("__x")
 
 
@@ -218,23 +224,32 @@ def hull_points(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
-def group_hull(points: DataFrame, group: str, key: str, x: str, y: str, salts: int = HULL_SALTS) -> DataFrame:
-    """Corners of the convex hull of every group, numbered counter-clockwise.
+def group_hull(points: DataFrame, group: str, key: str, x: str, y: str, size: int = HULL_POINTS) -> DataFrame:
+    """Corners of the convex hull of every group, numbered counter-clockwise; a corner that several keys share has the smallest.
 
-    A corner of the whole is a corner of any part that has it, so hulls are first
-    taken of hash parts of a group and then of the corners that are left.
+    A corner of the whole is a corner of any part that has it.  So hulls are first taken
+    of the batches in which the points are read, then of parts of about ``size`` of the
+    corners that are left, and last of each group.
     """
     schema = T.StructType([points.schema[c] for c in (group, key, x, y)])
     final = T.StructType([*schema.fields, T.StructField("corner", T.IntegerType())])
-    distinct = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, x, y).agg(F.min(key).alias(key))
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, key, x, y)
 
     def part(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key).drop_duplicates([x, y])
         return rows.iloc[hull_points(rows[x].to_numpy(), rows[y].to_numpy())][[group, key, x, y]]
 
+    def batches(frames):
+        for frame in frames:
+            parts = [part(rows) for _, rows in frame.groupby(group, dropna=False)]
+            if parts:
+                yield pd.concat(parts)
+
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         out = part(rows)
         return out.assign(corner=np.arange(1, len(out) + 1, dtype="int32"))
 
-    salted = distinct.withColumn("__salt", F.pmod(F.xxhash64(x, y), F.lit(salts)))
-    corners = salted.groupBy(group, "__salt").applyInPandas(part, schema)
-    return corners.groupBy(group).applyInPandas(whole, final)
+    corners = known.mapInPandas(batches, schema)
+    sizes = corners.groupBy(group).agg(F.ceil(F.count("*") / F.lit(size)).alias("__parts")).withColumnRenamed(group, "__group")
+    salted = corners.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).withColumn("__salt", F.pmod(F.xxhash64(x, y), F.col("__parts")))
+    return salted.groupBy(group, "__salt").applyInPandas(part, schema).groupBy(group).applyInPandas(whole, final)

@@ -50,4 +50,4 @@ def hash_rank(
 
 def slice_digits(rows: Column) -> Column:
     """Hex digits that cut ``rows`` rows into about sqrt(rows) slices."""
-    return F.least(F.lit(5), F.floor(F.log(F.greatest(rows, F.lit(1)).cast("double")) / F.log(F.lit(256.0)))).cast("int")
+    return F.floor(F.log(F.greatest(rows, F.lit(1)).cast("double")) / F.log(F.lit(256.0))).cast("int")

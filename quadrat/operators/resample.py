@@ -102,6 +102,31 @@ def _seed_of(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
 
+#: The sampler of numpy takes totals below this; larger ones are drawn by the position of single reads.
+SAMPLER_TOTAL = 1_000_000_000
+#: Single reads drawn at once.
+DRAWN_READS = 1_000_000
+
+
+def draw_counts(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` reads drawn without replacement are of each feature; exact for any total.
+
+    Beyond the total that numpy takes, distinct positions among all reads are drawn
+    piece by piece, each from what the pieces before left.
+    """
+    left = np.asarray(counts, dtype=np.int64).copy()
+    total = int(left.sum())
+    if 2 * take > total and total >= SAMPLER_TOTAL:
+        return left - draw_counts(rng, left, total - take)  # what stays behind is the smaller draw
+    out = np.zeros_like(left)
+    while take > 0 and total >= SAMPLER_TOTAL:
+        size = min(take, DRAWN_READS)
+        at = rng.choice(total, size, replace=False, shuffle=False)
+        got = np.bincount(np.searchsorted(np.cumsum(left), at, side="right"), minlength=len(left))
+        out, left, take, total = out + got, left - got, take - size, total - size
+    return out + rng.multivariate_hypergeometric(left, take, method="marginals") if take > 0 else out
+
+
 def rarefy_draw(
     cells: DataFrame,
     sample: str,
@@ -135,8 +160,7 @@ def rarefy_draw(
     )
 
     def draw(counts: np.ndarray, take: int, key: tuple) -> np.ndarray:
-        rng = np.random.default_rng(_seed_of(seed, *key))
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+        return draw_counts(np.random.default_rng(_seed_of(seed, *key)), counts, take)
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__bucket")

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,19 @@ def test_group_means_count_absent_samples(spark, cells):
     out = composition.group_means(cells, members, "sample", "feature", "grp", "reads")
     got = {(r["feature"], r["grp"]): (r["mean"], r["fidelity"]) for r in out.collect()}
     assert got["c", "x"] == (0.5, 0.5) and got["f", "y"] == (7.0, 1.0) and got["zero", "x"] == (0.0, 0.0)
+
+
+def test_draw_of_any_size():
+    rng = np.random.default_rng(2)
+    counts = np.array([3 * 10**12, 10**12, 0, 5, 2 * 10**12])
+    for take in (0, 7, 2_500_000, int(counts.sum()) - 9):
+        got = resample.draw_counts(rng, counts, take)
+        assert got.sum() == take and (got <= counts).all() and (got >= 0).all()
+    share = resample.draw_counts(rng, counts, 2_500_000) / 2_500_000
+    assert np.abs(share - counts / counts.sum()).max() < 0.003
+
+
+def test_geodesic_of_far_points():
+    series = lambda *v: pd.Series(v, dtype=float)
+    far = geodesic.func(series(0, 0, 90, 30), series(0, 0, 0, 0), series(0.5, 0, -90, -30), series(179.7, 180, 0, 180))
+    assert far.astype(float).to_numpy() == pytest.approx([19944127.421, 20003931.4586, 20003931.4586, 20003931.4586], abs=1e-3)

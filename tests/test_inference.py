@@ -227,7 +227,7 @@ def test_hull_in_parts_equals_whole(spark):
     rng = np.random.default_rng(2)
     xy = rng.normal(size=(500, 2))
     df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "g string, id long, x double, y double")
-    got = {r["id"] for r in ordination.group_hull(df, "g", "id", "x", "y", salts=8).collect()}
+    got = {r["id"] for r in ordination.group_hull(df, "g", "id", "x", "y", size=8).collect()}
     assert got == set(ordination.hull_points(xy[:, 0], xy[:, 1]).tolist())
     # brute force: a corner has all points on one side of a line to the next corner
     edges = set()
@@ -250,3 +250,16 @@ def test_tails_at_very_many_degrees_of_freedom():
     # both sides of the switch agree
     a, b = (float(tails.f_upper(2.6049, 3, d)) for d in (0.999e6, 1.001e6))
     assert abs(a - b) < 1e-8
+
+
+def test_members_without_pairs_stay_out(spark):
+    xy = np.random.default_rng(5).normal(size=(9, 2))
+    pairs = [(i, j, float(np.hypot(*(xy[i] - xy[j])))) for i in range(9) for j in range(i + 1, 9)]
+    pairs = spark.createDataFrame(pairs, "id_a long, id_b long, d double")
+    members = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    scores, _, share = ordination.pcoa(pairs, members, "id", "d")
+    assert {r["id"] for r in scores.collect()} == set(range(9))
+    assert share == pytest.approx(1, abs=1e-6)
+    lost = pairs.withColumn("d", F.when(F.col("id_a") > 0, F.col("d")))
+    with pytest.raises(Exception, match="no distance"):
+        ordination.gower_center(lost, members, "id", "d").collect()
