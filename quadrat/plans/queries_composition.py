@@ -35,14 +35,14 @@ RARE_SQL = f"{views.READS}, {resample.rarefy_sql('reads', _DEPTH_SQL, ITERATIONS
 
 @query(
     "prevalence_sparsity",
-    f"""with cells as (select l_suppkey as sample, l_partkey as feature, count(*) as reads from lineitem where l_quantity > 40 group by 1, 2),
+    f"""with cells as (select l_suppkey as sample, l_partkey as feature, count(*) as reads from lineitem group by 1, 2),
         p as (select feature, count(*) as occurrence, max(reads) / sum(reads) as sparsity from cells group by 1)
         select feature, occurrence, {rsql('sparsity')} as sparsity from p where occurrence > 3 and sparsity <= 0.25""",
 )
 def prevalence_sparsity(spark, d):
     from quadrat.sources.tables import load
 
-    lines = load(spark, d, "lineitem").where("l_quantity > 40")
+    lines = load(spark, d, "lineitem")
     cells = lines.groupBy("l_suppkey", F.col("l_partkey").alias("feature")).agg(F.count("*").alias("reads"))
     kept = composition.prevalence(cells, "feature", "reads").where("occurrence > 3 and sparsity <= 0.25")
     return kept.select("feature", "occurrence", rounded("sparsity").alias("sparsity"))

@@ -162,12 +162,12 @@ def entity_proportion(spark, d):
 
 @query(
     "outcome_class",
-    f"""with {views.VISITS}, top as (select entity, max(eggs) as e, max(hatch) as h from visits where predated or swab group by 1)
+    f"""with {views.VISITS}, top as (select entity, max(eggs) as e, max(hatch) as h from visits group by 1)
         select entity, case when e = 0 then null when entity in (4, 9) then null when h = e then 'complete sucess'
                             when h = 0 then 'total failure' when h < e then 'partial sucess' end as outcome from top""",
 )
 def outcome_class(spark, d):
-    rows = views.visits(spark, d).where("predated or swab")
+    rows = views.visits(spark, d)
     top = rows.groupBy("entity").agg(F.max("eggs").alias("e"), F.max("hatch").alias("h"))
     share = panel.proportion(F.col("h"), F.col("e"))
     return top.select("entity", panel.outcome(F.col("e"), share, F.col("entity").isin(4, 9)).alias("outcome"))

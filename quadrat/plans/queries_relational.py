@@ -467,16 +467,15 @@ def union_tagged(spark, d):
 @query(
     "set_region_counts",
     """with seen as (
-         select distinct 'part' as level, l_partkey as taxon, l_returnflag || l_linestatus as grp from lineitem where l_quantity > 48
+         select distinct 'part' as level, l_partkey as taxon, l_returnflag || l_linestatus as grp from lineitem
          union all
-         select distinct 'supplier', l_suppkey, l_returnflag || l_linestatus from lineitem where l_quantity > 48)
+         select distinct 'supplier', l_suppkey, l_returnflag || l_linestatus from lineitem)
        select level, region, count(*) as n from (
          select level, taxon, string_agg(distinct grp, ',' order by grp) as region from seen group by 1, 2) group by 1, 2""",
 )
 def set_region_counts(spark, d):
     lines = (
         load(spark, d, "lineitem")
-        .where("l_quantity > 48")
         .select(
             F.col("l_partkey").alias("part"),
             F.col("l_suppkey").alias("supplier"),
@@ -504,10 +503,10 @@ def reshape_long(spark, d):
     + ", ".join(
         f"max(case when event_type = '{e}' then n end) as n_{e}" for e in ("click", "error", "purchase", "signup", "view")
     )
-    + " from (select user_id, event_type, count(*) as n from events where value > 60 group by 1, 2) group by 1",
+    + " from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1",
 )
 def reshape_wide(spark, d):
-    counts = load(spark, d, "events").where("value > 60").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    counts = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return reshape.to_wide(
         counts, ["user_id"], "event_type", "n", ["click", "error", "purchase", "signup", "view"], prefix="n_"
     )
