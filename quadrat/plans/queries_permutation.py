@@ -200,7 +200,7 @@ TERMS = ["grp", "covariate", "interaction"]
 # Gram-Schmidt in SQL: each regressor centred and made orthogonal to those before it
 _RDA = f"""{views.READS}, {views.META},
 x0 as (select sample, case when species = 'even' then 1.0::double else 0 end as grp, covariate / 1000 as covariate,
-              case when species = 'even' then covariate / 1000 else 0 end as interaction from meta where covariate > -500),
+              case when species = 'even' then covariate / 1000 else 0 end as interaction from meta where covariate is not null),
 x1 as (select sample, grp - avg(grp) over () as grp, covariate - avg(covariate) over () as covariate, interaction - avg(interaction) over () as interaction from x0),
 x2 as (select sample, grp, covariate - sum(covariate * grp) over () / sum(grp * grp) over () * grp as covariate, interaction from x1),
 x3 as (select sample, grp, covariate, interaction - sum(interaction * grp) over () / sum(grp * grp) over () * grp
@@ -226,7 +226,7 @@ _RDA_COLUMNS = "df, df_residual, " + ", ".join(f"{rsql(c, 7)} as {c}" for c in (
 def _regressors(spark, d):
     """Complete samples with a group dummy, a covariate and their product."""
     even = (F.col("species") == "even").cast("double")
-    meta = views.meta(spark, d).where("covariate > -500")
+    meta = views.meta(spark, d).where("covariate is not null")
     return meta.select(
         "sample",
         even.alias("grp"),
