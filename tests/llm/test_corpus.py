@@ -269,3 +269,27 @@ def test_pipeline(spark, tmp_path):
     texts = {r[0]: secrets._masked(r[1], "[secret]") for r in rows if r[0] in out}
     assert "hunter2" not in texts[45]
     assert all(out[k].n_tokens == len(codec.encode(texts[k])) for k in out)
+
+
+def compared(first, second, ca, cb):
+    """What ``compare`` says of two lists of words around the shingles at ca and cb."""
+    a, b = (substring.sequence(" ".join(words), 5) for words in (first, second))
+    numbers, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = both[: len(a)], both[len(a) :]
+    return substring.compare(a, b, substring.held(a, b, len(numbers)), len(numbers), ca, cb, 46, 80)
+
+
+def test_a_passage_beside_a_repeated_line():
+    passage, line = [f"p{i}" for i in range(50)], [f"l{i}" for i in range(10)]
+    first, second = (passage + [f"{own}{i}" for i in range(30)] + line * 40 for own in "xy")
+    assert compared(first, second, 20, 20) == (0, 46, 0, 46, 1.0)
+    a, b, c, d, share = compared(first, second, 200, 200)
+    assert (a, c, share) == (80, 80, 1.0) and b == d == 476
+
+
+def test_a_passage_of_two_lengths():
+    passage = [f"p{i}" for i in range(50)]
+    longer = passage[:25] + [f"x{i}" for i in range(6)] + passage[25:]  # 42 of 46 and of 52 places, 42 of 56 in all: too few
+    assert compared(passage, longer, 10, 10) is None
+    longer = passage[:25] + ["x0", "x1"] + passage[25:]
+    assert compared(passage, longer, 10, 10) == (0, 46, 0, 48, 42 / 52)
