@@ -293,3 +293,39 @@ def test_a_passage_of_two_lengths():
     assert compared(passage, longer, 10, 10) is None
     longer = passage[:25] + ["x0", "x1"] + passage[25:]
     assert compared(passage, longer, 10, 10) == (0, 46, 0, 48, 42 / 52)
+
+
+def near_copy(rnd, passage, kind):
+    """The words with one or two edits; those that keep 0.8 of the shingles of 50 words."""
+    words = list(passage)
+    for _ in range(rnd.choice([1, 2]) if len(words) > 80 else 1):
+        at = rnd.randrange(5, len(words) - 5) if len(words) > 80 else len(words) // 2
+        words[at : at + (kind != "insert")] = [] if kind == "delete" else [f"new{rnd.random()}"]
+    return words
+
+
+def test_near_copies_share_signatures(spark):
+    rnd = random.Random(5)
+    rows, kinds = [], {}
+    for i in range(600):
+        kinds[i] = kind, size = ("insert", "delete", "substitute")[i % 3], (50, 54, 100, 160)[i // 3 % 4]
+        passage = [f"w{rnd.randrange(10**9)}" for _ in range(size)]
+        around = [[f"v{rnd.randrange(10**9)}" for _ in range(30)] for _ in range(4)]
+        copy = near_copy(rnd, passage, kind)
+        pair = [" ".join(around[0] + passage + around[1]), " ".join(around[2] + copy + around[3])]
+        x, y = shingles(" ".join(passage), 5), shingles(" ".join(copy), 5)
+        assert len(copy) < 50 or len(x & y) >= 0.8 * len(x | y) or size == 50
+        if len(copy) < 50 or len(x & y) < 0.8 * len(x | y):
+            del kinds[i]
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    met: dict = {}
+    for r in substring.windows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 50, 3).collect():
+        met.setdefault((r.doc_id // 2, r.signature), set()).add(r.doc_id)
+    found = {i for (i, _), members in met.items() if len(members) == 2}
+    for kind in ("insert", "delete", "substitute"):
+        for size in (50, 54, 100, 160):
+            of_kind = [i for i, x in kinds.items() if x == (kind, size)]
+            share = sum(i in found for i in of_kind) / max(len(of_kind), 1)
+            print(kind, size, len(of_kind), share)
+            assert not of_kind or share >= 0.85
+    assert len(found & set(kinds)) >= 0.95 * len(kinds)
