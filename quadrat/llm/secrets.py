@@ -2,7 +2,8 @@
 
 The lexer reads source and configuration syntax into name-literal pairs
 (``name = "literal"``, ``name: literal``, ``"name" => 'literal'``, ``NAME=literal``,
-``<name>literal</name>``), remembers the literal of each plain name, and follows names that
+``<name>literal</name>``, triple quotes, YAML blocks, and PEM blocks, whose label is the
+name), remembers the literal of each plain name, and follows names that
 are assigned to other names.  A literal counts when the name it reaches is sensitive and the
 literal looks random enough for that name.
 """
@@ -32,21 +33,35 @@ SHORTEST_ASSIGN, SHORTEST_ACCESS = 6, 20
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "credential": 0.8, "credentials": 0.8,
     "token": 0.8, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9, "auth": 0.5,
-    "bearer": 0.7, "signature": 0.4, "salt": 0.5, "key": 0.4, "session": 0.3, "cookie": 0.3, "dsn": 0.4, "webhook": 0.4,
+    "bearer": 0.7, "signature": 0.4, "salt": 0.5, "key": 0.4, "session": 0.4, "cookie": 0.4, "dsn": 0.4, "webhook": 0.4,
 }
 #: Parts that turn a sensitive name into a harmless one, such as max_tokens or key_id.
 HARMLESS = {"id", "name", "count", "max", "min", "length", "len", "size", "type", "path", "file", "url", "field", "label", "limit", "num", "index"}
 #: A literal is reported from this product of the name's weight and the literal's randomness on.
 THRESHOLD = 0.35
-#: A text without any of these in lower case has no sensitive name; plain searches are far quicker than the patterns.
-_HINTS = ("passw", "passphrase", "pwd", "secret", "credential", "token", "key", "auth", "bearer", "signature", "salt", "session", "cookie", "dsn", "webhook")
+#: A text whose letters in a row hold none of these has no sensitive name; plain searches are far quicker than the patterns.
+_HINTS = tuple(n.encode() for n in SENSITIVE if not any(other != n and other in n for other in SENSITIVE))
+#: What may stand in a name between or within its parts.
+_BETWEEN = b"0123456789_.-"
 #: A run of 24 holds eight places in a row of every third character.
 _HEX_THIRDS = re.compile(r"[0-9a-f]{8}")
 _PAIR = re.compile(
     r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,79})(?P=quote)[ \t]*(?:=>|:=|[:=](?!=))[ \t]*"""
-    r"""(?:"(?P<double>[^"\n]{1,512})"|'(?P<single>[^'\n]{1,512})'|(?P<bare>[^\s"'<>,;(){}\[\]]{1,512}))"""
-    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,79})>(?P<inner>[^<>\n]{1,512})</(?P=tag)>"""
+    r"""(?:\"{3}(?P<triple>(?s:.+?))\"{3}|'{3}(?P<triples>(?s:.+?))'{3}"""
+    r"""|"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"'<>,;(){}\[\]]+))"""
+    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,79})>(?P<inner>[^<>\n]+)</(?P=tag)>"""
 )
+#: A YAML block: all lines indented deeper than its name.
+_BLOCK = re.compile(
+    r"""^(?P<indent>[ \t]*)(?:-[ \t]+)?(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,79})(?P=quote)[ \t]*:[ \t]*[|>][0-9+-]{0,2}[ \t]*\r?\n"""
+    r"""(?P<block>(?:(?P=indent)[ \t]+\S[^\n]*(?:\n|\Z)|[ \t\r]*\n)+)""",
+    re.MULTILINE,
+)
+#: A PEM block ends with its last line, or where the text ends.
+_PEM = re.compile(r"-----BEGIN (?P<name>(?:[A-Z0-9]+ ){0,9}PRIVATE KEY(?: BLOCK)?)-----(?P<pem>[^-]+(?:-(?!----)[^-]*)*)")
+_KINDS = ("triple", "triples", "double", "single", "bare", "inner", "block", "pem")
+#: Longer literals of harmless names, as those in triple quotes, may hold pairs of their own.
+LONG = 512
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -66,7 +81,8 @@ def randomness(literal: str) -> float:
         return 0.0
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
     kinds = sum(bool(re.search(k, literal)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(entropy / 4, 1.0) * (1.0 if kinds > 1 else 0.3)
+    # words of one kind of character have about 3 bits; what has 4 is as random as any
+    return min(entropy / 4, 1.0) * (1.0 if kinds > 1 else 0.3 + 0.7 * min(max(entropy - 3, 0.0), 1.0))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -84,17 +100,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _pairs(text: str) -> Iterator[re.Match]:
+    """Matches of ``_PAIR``, also those inside triple quotes and long literals of harmless names."""
+    m = _PAIR.search(text)
+    while m:
+        yield m
+        kind = next(k for k in _KINDS[:6] if m[k] is not None)
+        begin, after = m.start(kind), m.end()
+        if (kind in ("triple", "triples") or after - begin > LONG) and not sensitivity(m["name"] or m["tag"]):
+            after = begin + LONG if kind == "bare" else begin
+        m = _PAIR.search(text, after)
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name: ``literal`` if assigned to it, ``constant`` if by way of other names."""
-    low = text.lower()
-    if not any(x in low for x in _HINTS):
+    letters = text.lower().encode().translate(None, _BETWEEN)
+    if not any(x in letters for x in _HINTS):
         return []
     held: dict[str, tuple[str, int, int]] = {}  # name -> the literal it has at this point of the text, and where that stands
     found = set()
-    for m in _PAIR.finditer(text):
-        name = m["name"] or m["tag"]
-        kind = next(k for k in ("double", "single", "bare", "inner") if m[k] is not None)
+    pairs = [*_pairs(text), *_BLOCK.finditer(text), *_PEM.finditer(text)]
+    for m in sorted(pairs, key=lambda m: m.end("name") if m["name"] else m.end("tag")):  # a block comes after the bar of its name
+        groups = m.groupdict()
+        name = groups["name"] or groups["tag"]
+        kind = next(k for k in _KINDS if groups.get(k) is not None)
         literal, begin, end = m[kind], *m.span(kind)
+        if kind in ("triple", "triples", "block", "pem"):  # the spaces around are none of it
+            begin += len(literal) - len(literal.lstrip())
+            literal = literal.strip()
+            end = begin + len(literal)
         through = "literal"
         if kind == "bare":
             literal = literal.rstrip(".,")

@@ -233,3 +233,45 @@ def test_languages(spark, odd, none):
     assert language.identify(none).collect() == []
     unlabelled = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.identify(unlabelled).collect()] == ["und"]
+
+
+LONG = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() + "gZ" for i in range(100))
+
+
+@pytest.mark.parametrize("size", [600, 5000])
+@pytest.mark.parametrize("form", ['private_key = "{}"', "private_key: '{}'", "PRIVATE_KEY={} ", "<privateKey>{}</privateKey>", 'private_key = """\n{}\n"""',
+                                  "private_key: |\n  {}\nnext: 1", "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"])
+def test_long_literals_are_whole(spark, form, size):
+    lines = "triple" if '"""' in form or "BEGIN" in form else "block" if "|" in form else ""
+    parts = [LONG[i : i + 64] for i in range(0, size, 64)]
+    literal = {"": LONG[:size], "triple": "\n".join(parts)[:size], "block": "\n  ".join(parts)[:size]}[lines]
+    text = "Before. " * (not lines) + form.format(literal) + " after"
+    begin = text.index(literal)
+    assert ("literal", begin, begin + len(literal.rstrip())) in secrets.lexed_spans(text)
+    masked = secrets._masked(text, "[secret]")
+    assert not any(p in masked for p in parts) and masked.endswith("after")
+
+
+def test_long_literals_in_scan_and_mask(spark):
+    texts = [f'private_key = "{LONG[:n]}"' for n in (600, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert spans == {0: "literal:15:615", 1: "literal:15:5015"}
+    assert {r.text for r in secrets.mask(df).collect()} == {'private_key = "[secret]"'}
+
+
+def test_every_listed_name_can_fire():
+    for name in secrets.SENSITIVE:
+        for literal in ("qwertyuiopasdfgh", "aB3$xY7!kL9@"):
+            assert secrets.lexed_spans(f'{name}="{literal}"') == [("literal", len(name) + 2, len(name) + 2 + len(literal))], name
+    for name in ("web_hook", "pass_wd", "passPhrase", "private-key", "pass2word"):
+        assert secrets.lexed_spans(f'{name} = "aB3$xY7!kL9@"'), name
+    for plain in ("password: required", 'token = "string"', "session: started", "cookie: accepted"):
+        assert secrets.lexed_spans(plain) == []
+
+
+def test_pairs_inside_long_literals():
+    inside = 'password = \'aB3$xY7!kL9@\''
+    for text in (f'note = """\n{inside}\n"""', f'note = "{"word " * 200}{inside}"', f"note={'x' * 600};{inside}"):
+        assert [text[a:b] for _, a, b in secrets.lexed_spans(text)] == ["aB3$xY7!kL9@"]
+    assert secrets.lexed_spans(f"-----BEGIN PUBLIC KEY-----\n{LONG[:600]}\n-----END PUBLIC KEY-----") == []
