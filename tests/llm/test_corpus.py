@@ -329,3 +329,23 @@ def test_near_copies_share_signatures(spark):
             print(kind, size, len(of_kind), share)
             assert not of_kind or share >= 0.85
     assert len(found & set(kinds)) >= 0.95 * len(kinds)
+
+
+def families(count):
+    """Rows of which 10i + 4 and 10i + 5 are near copies, and 10i to 10i + 3 hold pieces that are too short."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(count):
+        fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+        passage = fresh(60)
+        one, two = list(passage), list(passage)
+        one[30], two[31] = "one", "two"
+        pieces = [passage[:42], passage[18:], passage[5:47], passage[12:54]]
+        rows += [(10 * i + k, " ".join(fresh(30) + words + fresh(30))) for k, words in enumerate([*pieces, one, two])]
+    return rows
+
+
+def test_near_copies_unlike_the_smallest_key(spark):
+    out = substring.repeated_passages(spark.createDataFrame(families(40), "doc_id long, text string")).collect()
+    linked = {(r.first_doc_id, r.doc_id) for r in out}
+    assert len(linked & {(10 * i + 4, 10 * i + 5) for i in range(40)}) >= 38
