@@ -38,7 +38,7 @@ def gower_center(spark, d):
 
 
 def _scores(spark, d):
-    scores, _, _ = ordination.pcoa(_root(spark, d), _members(spark, d), "sample", "root", axes=2, rounds=12, tolerance=1e-3)
+    scores, _, _ = ordination.pcoa(_root(spark, d), _members(spark, d), "sample", "root", axes=2)
     return scores
 
 
@@ -49,7 +49,7 @@ def pcoa(spark, d):
 
 @query("kmeans")
 def kmeans(spark, d):
-    return ordination.kmeans(_scores(spark, d), ["axis1", "axis2"], k=2, restarts=3)
+    return ordination.kmeans(_scores(spark, d), ["axis1", "axis2"], k=2)
 
 
 @query("group_hull_scores")
