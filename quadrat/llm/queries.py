@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontaminate, jaccard, language, pieces, quality, ranking, secrets, shards, substring, toxicity
+from quadrat.llm import (
+    audit,
+    conversations,
+    decontaminate,
+    jaccard,
+    language,
+    pieces,
+    quality,
+    ranking,
+    recurrent,
+    secrets,
+    shards,
+    substring,
+    toxicity,
+)
 from quadrat.llm.common import table
 
 #: Place of the vocabulary of op9; None means the installed package of public tokenizers.
@@ -74,11 +88,27 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"), rule=jaccard.Rule(words=4, percent=85))
 
 
+def op11_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-likelihood of each text under word counts and under the recurrent model."""
+    return recurrent.score_texts(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each filter does at each step of each order, by source."""
+    return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of damaged conversations."""
+    return conversations.audit(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_substring_dedup, op3_language_id, op4_secret_scan, op5_sharding, op6_decontamination,
-        op7_quality_ranking, op8_toxicity, op9_piece_codec, op10_jaccard_join,
+        op7_quality_ranking, op8_toxicity, op9_piece_codec, op10_jaccard_join, op11_recurrent_lm, op12_filter_audit,
+        op13_conversation_repair,
     )
 }
 
@@ -124,4 +154,47 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from counts
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL}
+#: All orders of the five filters as joins; the failures of a text as a list of letters.
+OP12_SQL = rf"""
+with texts as (
+  select doc_id, coalesce(text, '') as t, coalesce(source, '') as part, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') as ws
+  from documents
+), marks as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels where doc_id is not null group by doc_id
+), least as (
+  select t, min(doc_id) as smallest from texts group by t
+), rows as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(ws) < 50 then 1 else 0 end + case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 2 else 0 end
+    + case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when coalesce(doc_id > smallest, false) then 16 else 0 end as fails
+  from texts join least using (t) left join marks using (doc_id)
+), patterns as (
+  select part, fails, count(*) as n, sum(good::int) as n_good, sum(toxic::int) as n_toxic from rows group by all
+), letters(letter, bit) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a join letters b on b.letter <> a.letter join letters c on c.letter not in (a.letter, b.letter)
+    join letters d on d.letter not in (a.letter, b.letter, c.letter) join letters e on e.letter not in (a.letter, b.letter, c.letter, d.letter)
+), steps as (
+  select filter_order, step, bits[step] as bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as integer) as earlier
+  from orders, (select unnest(range(1, 6)) as step)
+), effects as (
+  select part, filter_order, step, bit,
+    sum(case when fails & (earlier | bit) = 0 then n else 0 end) as kept,
+    sum(case when fails & bit <> 0 and fails & earlier = 0 then n else 0 end) as removed,
+    sum(case when fails & bit <> 0 and fails & earlier <> 0 then n else 0 end) as redundant,
+    sum(case when fails = bit then n else 0 end) as unique_fails,
+    sum(case when fails & bit <> 0 and fails & earlier = 0 then n_good else 0 end) as good_lost,
+    sum(case when fails & bit <> 0 and fails & earlier = 0 then n_toxic else 0 end) as toxic_lost
+  from patterns cross join steps group by all
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from effects
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op12_filter_audit": OP12_SQL}
