@@ -340,74 +340,6 @@ def coefficients(
     return out.select(feature, *[F.try_divide(F.col(t), F.col(f"__norms.{t}")).alias(t) for t in terms])
 
 
-# ---------------------------------------------------------------- correlation of two pair tables
-
-
-def permuted_pairs(
-    x: DataFrame, y: DataFrame, members: DataFrame, key: str, x_value: str, y_value: str, count: int, seed: int = 1
-) -> DataFrame:
-    """Every pair's x next to the y of the permuted pair; ``perm`` 0 pairs them as they are.
-
-    Both ends of a pair move together.  Rows grow by the number of permutations
-    only after the per-sample arrays have been joined on.  Further columns of
-    either table are carried along.
-    """
-    ends = ("id_a", "id_b")
-    x_more = [c for c in x.columns if c not in (*ends, x_value)]
-    y_more = [c for c in y.columns if c not in (*ends, y_value)]
-    ids = cut_lineage(members.select(key, F.col(key).alias("__to")))
-    arrays = label_arrays(permutations(ids, key, ["__to"], count, seed), key, {"__to": "__ids"})
-    a = arrays.select(F.col(key).alias("id_a"), F.col("__ids").alias("__pa"))
-    b = arrays.select(F.col(key).alias("id_b"), F.col("__ids").alias("__pb"))
-    moved = x.select("id_a", "id_b", F.col(x_value).alias("x"), *x_more).join(a, "id_a").join(b, "id_b")
-    moved = spread(moved, "id_a", "id_b").select("x", *x_more, F.posexplode(F.arrays_zip("__pa", "__pb")).alias("perm", "__z"))
-    moved = moved.select(
-        "perm",
-        "x",
-        *x_more,
-        F.least(F.col("__z.__pa"), F.col("__z.__pb")).alias("id_a"),
-        F.greatest(F.col("__z.__pa"), F.col("__z.__pb")).alias("id_b"),
-    )
-    partner = y.select("id_a", "id_b", F.col(y_value).alias("y"), *y_more)
-    return moved.join(partner, ["id_a", "id_b"]).select("perm", "x", "y", *x_more, *y_more)
-
-
-def mantel(
-    x: DataFrame,
-    y: DataFrame,
-    members: DataFrame,
-    key: str,
-    x_value: str,
-    y_value: str,
-    method: str = "kendall",
-    count: int = 999,
-    seed: int = 1,
-) -> DataFrame:
-    """Correlation of two pair tables with a one-sided permutation p-value.
-
-    Pairs whose value is unknown on either side take no part.  ``method`` is
-    ``pearson``, ``spearman`` or ``kendall`` (tau-b).
-    """
-    from quadrat.operators import correlation
-
-    # both tables are read several times: for split points, ranks and the permutations
-    x = cut_lineage(x.where(F.col(x_value).isNotNull()).select("id_a", "id_b", x_value))
-    y = cut_lineage(y.where(F.col(y_value).isNotNull()).select("id_a", "id_b", y_value))
-    if method == "spearman":
-        x, y = correlation.with_rank(x, x_value), correlation.with_rank(y, y_value)
-    if method == "kendall":
-        x = x.withColumn("xb", correlation.bucket(x_value, correlation.split_points(x, x_value)))
-        y = y.withColumn("yb", correlation.bucket(y_value, correlation.split_points(y, y_value)))
-    both = permuted_pairs(x, y, members, key, x_value, y_value, count, seed)
-    if method == "kendall":
-        stats = correlation.kendall(both, ["perm"], "x", "y", "xb", "yb")
-    elif method in ("pearson", "spearman"):
-        stats = both.groupBy("perm").agg(F.corr("x", "y").alias("statistic"))
-    else:
-        raise ValueError(f"unknown method {method}")
-    return at_least_as_large(cut_lineage(stats), [], "statistic").withColumnRenamed("observed", "statistic")
-
-
 def best_group(indicator: DataFrame, feature: str, group: str) -> DataFrame:
     """The group with the largest indicator value; ties go to the first name."""
     return kth_row(indicator, [feature], [F.col("stat").desc(), F.col(group)], 1)

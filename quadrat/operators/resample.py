@@ -259,13 +259,11 @@ def rarefy_sql(source: str, depth: str, iterations: int, seed: int = 1, name: st
 def at_least_as_large(statistics: DataFrame, keys: list[str], statistic: str, perm: str = "perm") -> DataFrame:
     """Permutation p-value: (1 + permuted values not below the observed) / (1 + permutations).
 
-    Values equal up to rounding count as ties.
+    Values equal up to rounding count as ties.  Without ``keys`` there must be one observed value.
     """
     observed = statistics.where(F.col(perm) == 0).select(*keys, F.col(statistic).alias("observed"))
     permuted = statistics.where(F.col(perm) > 0)
-    both = permuted.join(observed, keys) if keys else permuted.withColumn("__all", F.lit(1)).join(
-        observed.withColumn("__all", F.lit(1)), "__all"
-    )
+    both = permuted.join(observed, keys) if keys else permuted.withColumn("observed", observed.scalar())
     tolerance = 1e-9 * F.greatest(F.lit(1.0), F.abs("observed"))
     return both.groupBy(*keys, "observed").agg(
         F.count("*").alias("permutations"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.operators import composition, diversity, inference, joins, pairs, panel, permutation, reshape, resample
+from quadrat.operators import composition, diversity, inference, joins, mantel, pairs, panel, permutation, reshape, resample
 from quadrat.plans import field_rules as rules
 from quadrat.session import cut_lineage
 
@@ -90,7 +90,7 @@ def community_statistics(
         "alpha_levene": inference.levene(alpha, ["metric"], "group", "mean_value"),
         "alpha_normality": inference.shapiro_wilk(alpha, ["metric", "group"], "mean_value"),
         "bray": bray,
-        "mantel": permutation.mantel(bray, geo, members, NEST, "distance", "metres", "kendall", permuted),
+        "mantel": mantel.mantel(bray, geo, members, NEST, "distance", "metres", "kendall", permuted),
         "dispersion": inference.one_way(centroid, [], "group", "z"),
         "permanova": permutation.permanova(bray, members, NEST, "group", "distance", permuted),
         "indicators": permutation.indicator_test(mean, members, NEST, "asv_name", "group", "mean_reads", groups, permuted),

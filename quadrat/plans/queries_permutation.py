@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrat.functions.names import across
-from quadrat.operators import composition, permutation, reshape
+from quadrat.operators import composition, mantel, pairs, permutation, reshape
 from quadrat.operators.resample import permutation_sql
 from quadrat.plans import views
-from quadrat.plans.queries_composition import _alpha, _with_taxonomy
+from quadrat.plans.queries_composition import ALPHA_SQL, _alpha, _with_taxonomy
 from quadrat.plans.queries_distance import _METRIC_SQL, BRAY_SQL, GEO_SQL, bray, geo
 from quadrat.plans.registry import query, rounded, rsql
-from quadrat.operators import pairs
+from quadrat.session import cut_lineage
 
 SEED = 7
 N_PERM = 99
@@ -125,7 +125,7 @@ def permanova(spark, d):
 
 # ---------------------------------------------------------------- Mantel
 
-MANTEL_PERM, KENDALL_PERM = 19, 9
+MANTEL_PERM = 999
 
 
 def _mantel_sql(x: str, x_value: str, y: str, y_value: str, count: int, statistic: str) -> str:
@@ -145,7 +145,7 @@ def _members(spark, d):
 
 
 def _mantel(x, y, members, x_value, y_value, method, count):
-    out = permutation.mantel(x, y, members, "sample", x_value, y_value, method, count, SEED)
+    out = mantel.mantel(x, y, members, "sample", x_value, y_value, method, count, SEED)
     return out.select(rounded("statistic").alias("statistic"), "permutations", rounded("p_value").alias("p_value"))
 
 
@@ -174,22 +174,65 @@ def mantel_spearman(spark, d):
     return _mantel(x, y, _members(spark, d), "distance", "metres", "spearman", MANTEL_PERM)
 
 
-# pairs of pairs, each once: the quadratic form that the Spark query avoids
-_KENDALL = """numbered as (select perm, x, y, row_number() over (partition by perm order by x, y) as i from both_sides),
-crossed as (select a.perm, sum(sign(a.x - b.x) * sign(a.y - b.y)) as s, sum(abs(sign(a.x - b.x))) as nx, sum(abs(sign(a.y - b.y))) as ny
-  from numbered a join numbered b on a.perm = b.perm and a.i < b.i group by 1),
-stats as (select perm, s / sqrt(nx * ny::double) as s from crossed)"""
 
+def _kendall_sql(keys: str) -> str:
+    """tau-b by splitting y digit by digit: a pair is discordant where, in x order, a one stands before a zero."""
+    return f"""ranked as (select {keys}, dense_rank() over (partition by {keys} order by x) as xr, dense_rank() over (partition by {keys} order by y) - 1 as yr from both_sides),
+digits as (select unnest(range(0, (select cast(ceil(log2(max(yr) + 1)) as bigint) + 1 from ranked))) as d),
+falling as (select {keys}, sum(case when one = 0 then ones else 0 end) as dis from
+  (select {keys}, (yr >> d) & 1 as one, sum((yr >> d) & 1) over (partition by {keys}, d, yr >> (d + 1) order by xr, yr rows unbounded preceding) as ones from ranked, digits) group by all),
+x_ties as (select {keys}, sum(c * (c - 1) / 2) as tx from (select {keys}, xr, count(*) as c from ranked group by all) group by all),
+y_ties as (select {keys}, sum(c * (c - 1) / 2) as ty, sum(c) as n from (select {keys}, yr, count(*) as c from ranked group by all) group by all),
+both_ties as (select {keys}, sum(c * (c - 1) / 2) as txy from (select {keys}, xr, yr, count(*) as c from ranked group by all) group by all),
+stats as (select {keys}, (n * (n - 1) / 2 - tx - ty + txy - 2 * dis) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)) as s
+  from falling join x_ties using ({keys}) join y_ties using ({keys}) join both_ties using ({keys}))"""
 
 @query(
     "mantel_kendall",
     f"with {_METRIC_SQL}, {GEO_SQL.replace('metres from gab', 'metres0 from gab')}, geo1 as (select id_a, id_b, round(metres0) as metres from geo), metric1 as (select id_a, id_b, round(distance, 9) as distance from metric), "
-    + _mantel_sql("metric1", "distance", "geo1", "metres", KENDALL_PERM, _KENDALL),
+    + _mantel_sql("metric1", "distance", "geo1", "metres", MANTEL_PERM, _kendall_sql("perm")),
 )
 def mantel_kendall(spark, d):
     x = pairs.scalar_distance(_alpha(spark, d), "sample", "shannon").withColumn("distance", F.round("distance", 9))
     y = geo(spark, d).withColumn("metres", F.round("metres"))
-    return _mantel(x, y, _members(spark, d), "distance", "metres", "kendall", KENDALL_PERM)
+    return _mantel(x, y, _members(spark, d), "distance", "metres", "kendall", MANTEL_PERM)
+
+
+METRICS = ["richness", "chao1", "shannon", "simpson", "evenness"]
+_METRICS_SQL = f"""{views.READS}, alpha as ({ALPHA_SQL.format(extra='', keys='sample', source='reads')}), {views.META},
+chosen as (select 'site' as comparison, sample from meta where species = 'even' union all select 'species', sample from meta where site = 'ASIA'),
+long as (unpivot (select sample, {', '.join(f'cast({m} as double) as {m}' for m in METRICS)} from alpha) on {', '.join(METRICS)} into name distance value v)"""
+
+
+@query(
+    "mantel_table",
+    f"""with {_METRICS_SQL}, {GEO_SQL.replace('metres from gab', 'metres0 from gab')},
+geo1 as (select id_a, id_b, round(metres0) as metres from geo),
+between as (select c.comparison, a.distance, a.sample as id_a, b.sample as id_b, round(abs(a.v - b.v) / nullif(a.v + b.v, 0), 9) as x
+  from long a join long b on a.distance = b.distance and a.sample < b.sample
+  join chosen c on c.sample = a.sample join chosen e on e.sample = b.sample and e.comparison = c.comparison),
+site_ids as (select sample, sample as target from chosen where comparison = 'site'),
+species_ids as (select sample, sample as target from chosen where comparison = 'species'),
+{permutation_sql('site_ids', 'sample', ['target'], MANTEL_PERM, SEED, 'sp')},
+{permutation_sql('species_ids', 'sample', ['target'], MANTEL_PERM, SEED, 'pp')},
+perms as (select 'site' as comparison, * from sp union all select 'species', * from pp),
+moved as (select x.comparison, x.distance, a.perm, least(a.target, b.target) as id_a, greatest(a.target, b.target) as id_b, x.x
+  from between x join perms a on x.id_a = a.sample and a.comparison = x.comparison
+  join perms b on x.id_b = b.sample and b.comparison = x.comparison and a.perm = b.perm where x.x is not null),
+both_sides as (select m.comparison, m.distance, m.perm, m.x, y.metres as y from moved m join geo1 y on m.id_a = y.id_a and m.id_b = y.id_b),
+{_kendall_sql('comparison, distance, perm')}
+select o.comparison, o.distance, {rsql('o.s')} as statistic, count(*) as permutations,
+       {rsql('(count(case when p.s >= o.s - 1e-9 then 1 end) + 1) / (count(*) + 1)::double')} as p_value
+from stats o join stats p on p.comparison = o.comparison and p.distance = o.distance and p.perm > 0 where o.perm = 0 group by o.comparison, o.distance, o.s""",
+)
+def mantel_table(spark, d):
+    """Five alpha metrics against geography, between the sites of one species and between the species of one site."""
+    alpha, meta = cut_lineage(_alpha(spark, d)), views.meta(spark, d)
+    y = geo(spark, d).withColumn("metres", F.round("metres"))
+    tables = {m: (pairs.scalar_distance(alpha, "sample", m).withColumn("distance", F.round("distance", 9)), "distance") for m in METRICS}
+    comparisons = {"site": meta.where("species = 'even'").select("sample"), "species": meta.where("site = 'ASIA'").select("sample")}
+    out = mantel.mantel_table(tables, y, "metres", comparisons, "sample", "kendall", MANTEL_PERM, SEED)
+    return across(out, ["statistic", "p_value"], rounded)
 
 
 # ---------------------------------------------------------------- redundancy analysis

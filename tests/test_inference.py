@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.functions.tails import f_upper, shapiro, t_two_sided
-from quadrat.operators import correlation, inference, ordination, permutation, resample
+from quadrat.operators import correlation, inference, mantel, ordination, permutation, resample
 from tests.conftest import rows
 
 
@@ -186,7 +186,7 @@ def test_average_ranks(spark):
 @pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
 def test_mantel_of_itself(space, method):
     _, _, members, pairs = space
-    out = permutation.mantel(pairs, pairs, members.select("id"), "id", "d", "d", method, 9, seed=1).collect()[0]
+    out = mantel.mantel(pairs, pairs, members.select("id"), "id", "d", "d", method, 9, seed=1).collect()[0]
     assert out["statistic"] == pytest.approx(1.0) and out["p_value"] == pytest.approx(0.1)
 
 
@@ -263,3 +263,65 @@ def test_members_without_pairs_stay_out(spark):
     lost = pairs.withColumn("d", F.when(F.col("id_a") > 0, F.col("d")))
     with pytest.raises(Exception, match="no distance"):
         ordination.gower_center(lost, members, "id", "d").collect()
+
+
+def _sign_tau(x, y):
+    """tau-b by all pairs."""
+    s = sum(np.sign(a - c) * np.sign(b - d) for i, (a, b) in enumerate(zip(x, y)) for c, d in list(zip(x, y))[:i])
+    nx, ny = (sum(a != b for i, a in enumerate(v) for b in v[:i]) for v in (x, y))
+    return s / (nx * ny) ** 0.5 if nx and ny else None
+
+
+@pytest.mark.parametrize("ties", [3, 1000])
+def test_tau_counts_ties_and_inversions(ties):
+    rng = np.random.default_rng(ties)
+    for n in (2, 3, 40, 150):
+        x, y = rng.integers(0, ties, n), rng.integers(0, ties, n)
+        order = np.argsort(x, kind="stable")
+        dense = [np.unique(v, return_inverse=True)[1][order] for v in (x, y)]
+        got = mantel.tau(*dense)
+        assert got == pytest.approx(_sign_tau(x, y)) if got is not None else _sign_tau(x, y) is None
+    assert mantel.tau(np.array([0]), np.array([0])) is None
+
+
+def _pair_rows(rng, n, values, missing):
+    return [(i, j, None if rng.random() < missing else float(rng.integers(0, values))) for i in range(n) for j in range(i + 1, n) if rng.random() > missing]
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
+@pytest.mark.parametrize("missing", [0.0, 0.2])
+@pytest.mark.parametrize("cells", [mantel.STRIP_CELLS, 60])
+def test_mantel_equals_brute_force(spark, monkeypatch, method, missing, cells):
+    """Each permutation's statistic over the pairs themselves; small strips make several of them."""
+    monkeypatch.setattr(mantel, "STRIP_CELLS", cells)
+    rng = np.random.default_rng(8)
+    n, count = 11, 5
+    xs, ys = _pair_rows(rng, n, 9, missing), _pair_rows(rng, n, 7, missing)
+    frames = [spark.createDataFrame(r, "id_a long, id_b long, d double") for r in (xs, ys)]
+    members = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    moved = {}
+    for r in resample.permutations(members.selectExpr("id", "id as to"), "id", ["to"], count, 3).collect():
+        moved.setdefault(r["perm"], {})[r["id"]] = r["to"]
+    got = {r["perm"]: r["statistic"] for r in mantel.statistics(*frames, members, "id", "d", "d", method, count, 3).collect()}
+    assert set(got) == set(range(count + 1))
+
+    def ranks(rows):
+        known = [v for _, _, v in rows if v is not None]
+        return [(i, j, v if v is None else sum(k < v for k in known) + (sum(k == v for k in known) + 1) / 2) for i, j, v in rows]
+
+    if method == "spearman":
+        xs, ys = ranks(xs), ranks(ys)
+    partner = {frozenset((i, j)): v for i, j, v in ys if v is not None}
+    for perm, to in moved.items():
+        both = [(v, partner[frozenset((to[i], to[j]))]) for i, j, v in xs if v is not None and frozenset((to[i], to[j])) in partner]
+        a, b = np.array(both).T
+        want = _sign_tau(a, b) if method == "kendall" else np.corrcoef(a, b)[0, 1]
+        assert got[perm] == pytest.approx(want)
+
+
+def test_mantel_without_pairs(spark):
+    none = spark.createDataFrame([], "id_a long, id_b long, d double")
+    members = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    for method in ("pearson", "kendall"):
+        out = mantel.mantel(none, none, members, "id", "d", "d", method, 9).collect()
+        assert all(r["statistic"] is None for r in out)
