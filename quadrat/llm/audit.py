@@ -208,12 +208,12 @@ def patterns(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = rows.groupBy("k", "part", "digest", "fails").agg(F.count(F.lit(1)).alias("n"))
     marks = labels.select(F.col(key).alias("k"), (F.col("quality") == 1).alias("q"), (F.col("toxic") == 1).alias("t")).filter(F.col("k").isNotNull())
     marks = marks.groupBy("k").agg(F.coalesce(F.max("q"), F.lit(False)).alias("good"), F.coalesce(F.max("t"), F.lit(False)).alias("toxic"))
+    # rows without a key meet no label; their salt spreads them over the tasks of the join
+    salt = F.when(F.col("k").isNull(), F.hash("digest")).otherwise(F.lit(0))
+    labelled = rows.withColumn("salt", salt).join(marks.withColumn("salt", F.lit(0)), ["k", "salt"], "left")
     clean = F.lit(False)
-    named = rows.filter(F.col("k").isNotNull()).join(marks, "k", "left").select(
-        *rows.columns, F.coalesce("good", clean).alias("good"), F.coalesce("toxic", clean).alias("toxic")
-    )
-    unnamed = rows.filter(F.col("k").isNull()).select("*", clean.alias("good"), clean.alias("toxic"))
-    groups = named.unionByName(unnamed).groupBy("digest", "part", "fails", "good", "toxic").agg(
+    labelled = labelled.select(*rows.columns, F.coalesce("good", clean).alias("good"), F.coalesce("toxic", clean).alias("toxic"))
+    groups = labelled.groupBy("digest", "part", "fails", "good", "toxic").agg(
         F.sum("n").alias("n"),
         F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("no_key"),
         F.min(F.when(F.col("k").isNotNull(), F.struct("k", "n"))).alias("first"),

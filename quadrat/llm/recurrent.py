@@ -29,7 +29,7 @@ from quadrat.llm.common import fold, map_rows, schema_of
 from quadrat.session import written
 
 #: Size of the state; classes of the output and tokens of each; class 0 holds "other" alone.
-HIDDEN, CLASSES, IN_CLASS = 16, 65, 64
+HIDDEN, CLASSES, IN_CLASS = 16, 41, 40
 #: Tokens with a place of their own: 0 is "other", 1 is the end, then words by falling count.
 OTHER, END, SHORT = 0, 1, 1 + (CLASSES - 1) * IN_CLASS
 #: Most frequent words whose counts every task knows; the others are joined.
@@ -100,7 +100,16 @@ class Lexicon:
 def lexicon(counts: DataFrame, texts: int) -> Lexicon:
     """``texts`` is the number of training texts, each of which has one end."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # HEAD rows at most
+    # a histogram by powers of 2 ** (1 / 16) says down to which count the words are at most HEAD
+    size = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    low, seen = None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        seen += r["count"]
+        if seen > HEAD:
+            break
+        low = r["size"]
+    head = [] if low is None else counts.filter(size >= low).select("word", "c").collect()  # HEAD rows at most
+    head.sort(key=lambda r: (-r["c"], r["word"]))
     own = np.array([0, texts, *(r["c"] for r in head)], np.int64)
     return Lexicon(" ".join(r["word"] for r in head).encode(), own, sums[0] + texts, sums[1] + (texts > 0))
 
@@ -126,21 +135,26 @@ def fresh_weights(words: Lexicon, hidden: int = HIDDEN) -> Weights:
     }
 
 
-def pack(lengths: list[int], most: int) -> tuple[list[tuple[int, int]], int, int]:
-    """Lane and first step of each text, lanes, steps: longest texts first, each to the lane that is free earliest."""
-    lanes = max(min(most, sum(lengths) // max(max(lengths, default=1), 1)), 1)
-    free = [(0, lane) for lane in range(lanes)]
+def pack(lengths: list[int], most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Lane and first step of each text, and the lanes' lengths: longest texts first, each to the lane that is free earliest.
+
+    Lanes come by falling length, so that those still busy at a step are the first ones.
+    """
+    free = [(0, lane) for lane in range(max(min(most, len(lengths)), 1))]
     places = [(0, 0)] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         at, lane = free[0]
         places[i] = (lane, at)
         heapq.heapreplace(free, (at + lengths[i], lane))
-    return places, lanes, max(at for at, _ in free)
+    order = sorted(free, reverse=True)
+    moved = {lane: i for i, (_, lane) in enumerate(order)}
+    return [(moved[lane], at) for lane, at in places], [length for length, _ in order]
 
 
-def laid_out(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """By step and lane: the token before, the token (-1: none), the text's number; and the number of steps."""
-    places, lanes, steps = pack([len(x) for x in texts], most)
+def laid_out(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By step and lane: the token before, the token (-1: none), the text's number; and by step the lanes still busy."""
+    places, loads = pack([len(x) for x in texts], most)
+    steps, lanes = loads[0], len(loads)
     before = np.full((steps, lanes), END, np.int32)
     target = np.full((steps, lanes), -1, np.int32)
     owner = np.zeros((steps, lanes), np.int32)
@@ -149,20 +163,27 @@ def laid_out(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray
         before[at, lane] = -1  # the state begins anew
         before[at + 1 : at + len(ids), lane] = ids[:-1]
         owner[at : at + len(ids), lane] = n
-    return before, target, owner, steps
+    return before, target, owner, lanes - np.searchsorted(np.array(loads[::-1]), np.arange(steps), "right")
+
+
+def windows(texts: list[np.ndarray], most: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The packed texts, ``steps`` at a time, only the lanes that are busy."""
+    before, target, owner, busy = laid_out(texts, most)
+    for t in range(0, len(busy), steps):
+        yield tuple(x[t : t + steps, : busy[t]] for x in (before, target, owner))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
-def forward(w: Weights, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
-    """States of a window (steps, lanes), what backpropagation needs of it, and the last state."""
+def forward(w: Weights, before: np.ndarray, state: np.ndarray, keep: bool = True) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """States of a window (steps, lanes), what backpropagation needs of it (if ``keep``), and the last state."""
     steps, lanes = before.shape
     hidden = w["U"].shape[0]
     gates = w["X"][np.where(before < 0, END, before)]
     shape = (steps, lanes, hidden)
-    kept = {n: np.empty(shape, np.float32) for n in ("from", "z", "r", "c", "a")}
+    kept = {n: np.empty(shape, np.float32) for n in ("from", "z", "r", "c", "a") if keep}
     states = np.empty(shape, np.float32)
     goes_on = (before >= 0).astype(np.float32)[:, :, None]
     for t in range(steps):
@@ -173,7 +194,7 @@ def forward(w: Weights, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarr
         c = np.tanh(gates[t, :, 2 * hidden :] + r * a[:, 2 * hidden :])
         state = h + z * (c - h)
         states[t] = state
-        for n, x in (("from", h), ("z", z), ("r", r), ("c", c), ("a", a[:, 2 * hidden :])):
+        for n, x in () if not keep else (("from", h), ("z", z), ("r", r), ("c", c), ("a", a[:, 2 * hidden :])):
             kept[n][t] = x
     kept["on"] = goes_on
     return states, kept, state
@@ -263,11 +284,11 @@ def gradients(w: Weights, before: np.ndarray, target: np.ndarray, state: np.ndar
 
 def learn(w: Weights, memory: Weights, texts: list[np.ndarray]) -> None:
     """Adagrad over the windows of the packed texts; ``w`` and ``memory`` change in place."""
-    before, target, _, steps = laid_out(texts, min(LANES, max(sum(map(len, texts)) // (STEPS * LEAST_WINDOWS), 16)))
-    state = np.zeros((before.shape[1], w["U"].shape[0]), np.float32)
-    for t in range(0, steps, STEPS):
-        grads, state, _ = gradients(w, before[t : t + STEPS], target[t : t + STEPS], state)
-        scale = np.float32(1.0 / np.sqrt(max(int((target[t : t + STEPS] >= 0).sum()), 1)))
+    lanes = min(LANES, max(sum(map(len, texts)) // (STEPS * LEAST_WINDOWS), 16))
+    state = np.zeros((lanes, w["U"].shape[0]), np.float32)
+    for before, target, _ in windows(texts, lanes, STEPS):
+        grads, state, _ = gradients(w, before, target, state[: before.shape[1]])
+        scale = np.float32(1.0 / np.sqrt(max(int((target >= 0).sum()), 1)))
         for n, g in grads.items():
             g *= scale
             memory[n] += g * g
@@ -277,15 +298,12 @@ def learn(w: Weights, memory: Weights, texts: list[np.ndarray]) -> None:
 def scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text's tokens, the state carried over all its windows."""
     total = np.zeros(len(texts))
-    if not texts:
-        return total
-    before, target, owner, steps = laid_out(texts, LANES)
-    state = np.zeros((before.shape[1], w["U"].shape[0]), np.float32)
-    for t in range(0, steps, SCORE_STEPS):
-        states, _, state = forward(w, before[t : t + SCORE_STEPS], state)
-        used = np.flatnonzero(target[t : t + SCORE_STEPS].ravel() >= 0)
-        found, _ = output(w, states.reshape(-1, states.shape[2])[used], target[t : t + SCORE_STEPS].ravel()[used])
-        total += np.bincount(owner[t : t + SCORE_STEPS].ravel()[used], weights=found, minlength=len(texts))
+    state = np.zeros((LANES, w["U"].shape[0]), np.float32)
+    for before, target, owner in windows(texts, LANES, SCORE_STEPS) if texts else ():
+        states, _, state = forward(w, before, state[: before.shape[1]], keep=False)
+        used = np.flatnonzero(target.ravel() >= 0)
+        found, _ = output(w, states.reshape(-1, states.shape[2])[used], target.ravel()[used])
+        total += np.bincount(owner.ravel()[used], weights=found, minlength=len(texts))
     return total / LOG10
 
 
@@ -306,7 +324,7 @@ def averaged(df: DataFrame, w: Weights, words: Lexicon, text: str = "text") -> W
         own, (head, counts, tokens, distinct) = sent.value
         own = {n: x.copy() for n, x in own.items()}
         start = {n: x.copy() for n, x in own.items()}
-        get = Lexicon(head, counts, tokens, distinct).ids().get
+        get = Lexicon(b" ".join(head.split()[: SHORT - 2]), counts, tokens, distinct).ids().get
         memory = {n: np.full_like(x, 0.1) for n, x in own.items()}
         held, size, seen = [], 0, 0
         for batch in batches:
@@ -315,7 +333,6 @@ def averaged(df: DataFrame, w: Weights, words: Lexicon, text: str = "text") -> W
                 ids = np.empty(len(found) + 1, np.int32)
                 ids[:-1] = [get(x, 0) for x in found]
                 ids[-1] = END
-                ids[ids >= SHORT] = OTHER
                 held.append(ids)
                 size += len(ids)
                 if size >= PACK_TOKENS:

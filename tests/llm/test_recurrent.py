@@ -51,7 +51,8 @@ def test_probabilities_of_the_next_token_sum_to_one_and_states_are_carried():
 def test_lanes_hold_every_token_once():
     rnd = random.Random(2)
     texts = [np.arange(rnd.randint(1, 50)) + 1 for _ in range(90)]
-    before, target, owner, steps = recurrent.laid_out(texts, 8)
+    before, target, owner, busy = recurrent.laid_out(texts, 8)
+    assert busy.tolist() == [(row >= 0).sum() for row in target]
     for n, ids in enumerate(texts):
         at = np.argwhere((owner == n) & (target >= 0))
         at = at[np.argsort(at[:, 0])]
