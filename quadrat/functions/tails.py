@@ -117,6 +117,12 @@ def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(f_upper(f, df1, df2))
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """Value below which a standard normal variable lies with chance p."""
+    return p.map(NormalDist().inv_cdf)
+
+
 @F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail of a t statistic."""

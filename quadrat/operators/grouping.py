@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quadrat.functions.scalars import ratio
+from quadrat.operators.joins import beside
 
 
 def with_group(df: DataFrame, keys: Iterable[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Attach group aggregates to every row of the group."""
+    """Attach group aggregates to every row of the group; without keys, of the table."""
     keys = list(keys)
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return df.join(totals, keys, "left")
+    return df.join(totals, keys, "left") if keys else beside(df, totals, keys)
 
 
 def share_of_group(df: DataFrame, keys: Iterable[str], value: str, name: str) -> DataFrame:

@@ -13,18 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.tails import f_tail, f_two_sided, shapiro, t_tail
+from quadrat.functions.tails import LAST_WEIGHT, NEXT_WEIGHT, f_tail, f_two_sided, normal_quantile, shapiro, t_tail
 from quadrat.operators.grouping import with_group
+from quadrat.operators.joins import beside
 from quadrat.operators.quantiles import with_group_median
-
-_ALL = "__all"
-
-
-def _keyed(df: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, list[str]]:
-    """Give a table without keys a constant one, so joins back are equi-joins."""
-    keys = list(keys)
-    return (df, keys) if keys else (df.withColumn(_ALL, F.lit(1)), [_ALL])
-
+from quadrat.operators.rank import number_rows
 
 def two_groups(df: DataFrame, keys: Iterable[str], group: str, y: str, levels: tuple) -> DataFrame:
     """Size, mean and variance of two groups side by side."""
@@ -57,7 +50,7 @@ def t_pooled(df: DataFrame, keys: Iterable[str], group: str, y: str, levels: tup
 
 def one_way(df: DataFrame, keys: Iterable[str], group: str, y: str) -> DataFrame:
     """One-way analysis of variance."""
-    df, by = _keyed(df, keys)
+    by = list(keys)
     groups = df.where(F.col(y).isNotNull()).groupBy(*by, group).agg(
         F.count(y).alias("__n"), F.avg(y).alias("__m"), F.var_pop(y).alias("__v")
     )
@@ -69,7 +62,7 @@ def one_way(df: DataFrame, keys: Iterable[str], group: str, y: str) -> DataFrame
         F.sum(F.col("__n") * F.col("__v")).alias("ss_within"),
     )
     f = F.try_divide(F.try_divide("ss_between", "df1"), F.try_divide("ss_within", "df2"))
-    return out.withColumn("f", f).withColumn("p_value", f_tail("f", "df1", "df2")).drop(_ALL)
+    return out.withColumn("f", f).withColumn("p_value", f_tail("f", "df1", "df2"))
 
 
 def levene(df: DataFrame, keys: Iterable[str], group: str, y: str) -> DataFrame:
@@ -94,7 +87,7 @@ def _group_moments(df: DataFrame, by: list[str], group: str, x: str, y: str) ->
 
 def linear_model(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str) -> DataFrame:
     """``y ~ group + x``: fitted value, residual and standardised residual on every row."""
-    df, by = _keyed(df, keys)
+    by = list(keys)
     moments = _group_moments(df, by, group, x, y)
     fit = moments.groupBy(*by).agg(
         F.sum("__sxx").alias("__wxx"),
@@ -102,14 +95,14 @@ def linear_model(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str)
         (F.sum("__syy") - F.try_divide(F.sum("__sxy") * F.sum("__sxy"), F.sum("__sxx"))).alias("__rss"),
         (F.sum("__n") - F.count("*") - 1).alias("__df"),
     )
-    line = moments.join(fit, by).select(*by, group, "__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df")
+    line = beside(moments, fit, by).select(*by, group, "__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df")
     out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(line, [*by, group])
     away = F.col(x) - F.col("__mx")
     out = out.withColumn("fitted", F.col("__my") + F.col("__slope") * away).withColumn("resid", F.col(y) - F.col("fitted"))
     leverage = 1 / F.col("__n") + away * away / F.col("__wxx")
     scale = F.sqrt(F.try_divide("__rss", "__df") * (1 - leverage))
     out = out.withColumn("std_resid", F.try_divide(F.col("resid"), scale))
-    return out.drop("__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df", _ALL)
+    return out.drop("__n", "__mx", "__my", "__wxx", "__slope", "__rss", "__df")
 
 
 def outliers(model: DataFrame, beyond: float = 3.0) -> DataFrame:
@@ -122,7 +115,7 @@ def ancova(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str) -> Da
 
     Residual sums of squares of the nested models all follow from the per-group moments.
     """
-    df, by = _keyed(df, keys)
+    by = list(keys)
     moments = _group_moments(df, by, group, x, y)
     centred = with_group(
         moments,
@@ -152,7 +145,7 @@ def ancova(df: DataFrame, keys: Iterable[str], group: str, x: str, y: str) -> Da
     out = sums.select(*by, (col("__n") - 2 * col("__k")).alias("dfd"), col("__separate").alias("ss_error"), F.inline(effects))
     f = F.try_divide(F.try_divide("ss", "dfn"), F.try_divide("ss_error", "dfd"))
     out = out.withColumns({"f": f, "ges": F.try_divide(col("ss"), col("ss") + col("ss_error"))})
-    return out.withColumn("p_value", f_tail("f", "dfn", "dfd")).drop(_ALL)
+    return out.withColumn("p_value", f_tail("f", "dfn", "dfd"))
 
 
 def trend(df: DataFrame, keys: Iterable[str], x: str, y: str) -> DataFrame:
@@ -172,15 +165,22 @@ def trend_p(out: DataFrame) -> DataFrame:
     return out.withColumn("p_value", t_tail(t, F.col("n") - 2))
 
 
+#: Most values of a group that one task takes; Royston's transformation of W to p is fitted up to there as well.
+GATHERED = 5000
+
+
 def shapiro_wilk(df: DataFrame, keys: Iterable[str], y: str) -> DataFrame:
     """Shapiro-Wilk W and p per group.
 
-    The test is defined for 3 to 5000 values.  Sizes are counted first and only
-    groups in that range are gathered; larger or smaller ones get a null result.
+    Groups of 3 to 5000 values are tested by one task each.  Of larger ones W comes from row numbers
+    and sums, so no task holds a group; their p-value is null, because the approximation of
+    W's distribution is fitted to 5000 values and no more.  Fewer than 3 values, or equal ones, give null.
     """
-    df, by = _keyed(df.where(F.col(y).isNotNull()), keys)
+    by = list(keys)
+    df = df.where(F.col(y).isNotNull())
     sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
-    usable = df.join(sizes.where((F.col("n") >= 3) & (F.col("n") <= 5000)).select(*by), by, "left_semi")
+    sized = beside(df.select(*by, y), sizes.select(*by, F.col("n").alias("__n")), by)
+    usable = sized.where((F.col("__n") >= 3) & (F.col("__n") <= GATHERED))
     schema = T.StructType(
         [df.schema[k] for k in by] + [T.StructField("w", T.DoubleType()), T.StructField("p_value", T.DoubleType())]
     )
@@ -190,7 +190,47 @@ def shapiro_wilk(df: DataFrame, keys: Iterable[str], y: str) -> DataFrame:
         return pd.DataFrame([[rows[k].iloc[0] for k in by] + [w, p]], columns=[*by, "w", "p_value"])
 
     tested = usable.select(*by, y).groupBy(*by).applyInPandas(test, schema)
-    return sizes.join(tested, by, "left").drop(_ALL)
+    large = _large_shapiro(sized.where(F.col("__n") > GATHERED), by, y)
+    tested = tested.unionByName(large.select(*by, "w", F.lit(None).cast("double").alias("p_value")))
+    return sizes.join(tested, by, "left") if by else beside(sizes, tested, [])
+
+
+def _large_shapiro(df: DataFrame, by: list[str], y: str) -> DataFrame:
+    """W from the order statistics: normal scores by row number, weighted sums, the two values at either end."""
+    placed = number_rows(df.select(*by, F.col(y).cast("double").alias("__x")), [*by, "__x"], "__r")
+    about = placed.groupBy(*by).agg(
+        (F.min("__r") - 1).alias("__before"), F.count("*").alias("__n"), F.avg("__x").alias("__m"), F.var_pop("__x").alias("__v")
+    )
+    place = F.col("__r") - F.col("__before")
+    n = F.col("__n")
+    scored = beside(placed, about, by).withColumn("__i", place).withColumn("__x", F.col("__x") - F.col("__m"))
+    scored = scored.withColumn("__s", normal_quantile((F.col("__i") - 0.375) / (n + 0.25)))
+    end = (F.col("__i") <= 2) | (F.col("__i") > n - 2)
+
+    def at(which, column: str, name: str):
+        return F.max(F.when(F.col("__i") == which, F.col(column))).alias(name)
+
+    sums = scored.groupBy(*by, "__n", "__v").agg(
+        F.sum(F.col("__s") * F.col("__s")).alias("norm"),
+        F.sum(F.when(~end, F.col("__s") * F.col("__x"))).alias("middle"),
+        at(F.lit(1), "__x", "x1"), at(F.lit(2), "__x", "x2"), at(n - 1, "__x", "y2"), at(n, "__x", "y1"),
+        at(n, "__s", "s1"), at(n - 1, "__s", "s2"),
+    )
+    u = 1 / F.sqrt(n.cast("double"))
+
+    def polynomial(coefficients: list[float]):
+        out = F.lit(0.0)
+        for c in coefficients:
+            out = out * u + c
+        return out
+
+    last = polynomial(LAST_WEIGHT) + F.col("s1") / F.sqrt("norm")
+    near = polynomial(NEXT_WEIGHT) + F.col("s2") / F.sqrt("norm")
+    sums = sums.withColumn("last", last).withColumn("near", near)
+    square = lambda c: F.col(c) * F.col(c)
+    rest = (F.col("norm") - 2 * square("s1") - 2 * square("s2")) / (1 - 2 * square("last") - 2 * square("near"))
+    total = F.col("middle") / F.sqrt(rest) + F.col("last") * (F.col("y1") - F.col("x1")) + F.col("near") * (F.col("y2") - F.col("x2"))
+    return sums.select(*by, F.when(F.col("__v") > 0, F.least(total * total / (n * F.col("__v")), F.lit(1.0))).alias("w"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, name: str = "p_adjusted") -> DataFrame:

@@ -67,3 +67,15 @@ def annotate_pairs(
     first = dim.withColumnRenamed(dim_id, id_a)
     second = suffix_columns(dim.withColumnRenamed(dim_id, id_b), suffix, keep=[id_b])
     return pairs.join(first, id_a, "left").join(second, id_b, "left")
+
+
+def beside(df: DataFrame, summary: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Rows next to the summary of their group; without keys the summary has one row, which is read as a scalar.
+
+    A join on no column at all would be a product; a scalar subquery is not.
+    """
+    keys = list(keys)
+    if keys:
+        return df.join(summary, keys)
+    one = summary.select(F.struct(*summary.columns)).scalar()
+    return df.withColumn("__one", one).select(*df.columns, "__one.*")

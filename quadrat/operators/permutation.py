@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from quadrat.functions.scalars import ratio
 from quadrat.operators.grouping import kth_row
+from quadrat.operators.joins import beside
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of, tiles_of
 from quadrat.operators.resample import at_least_as_large, permutations
 from quadrat.session import cut_lineage, spread
@@ -48,8 +49,8 @@ def permanova(
     """Permutational analysis of variance on a pair table: one row with df, R2, pseudo-F and p."""
     stats = cut_lineage(permanova_statistics(pairs, members, key, group, distance, count, seed))
     p = at_least_as_large(stats, [], "f")
-    observed = stats.where("perm = 0").select("df1", "df2", "ss_total", "ss_within", "r2", "f").withColumn("__one", F.lit(1))
-    return observed.join(p.select("permutations", "p_value").withColumn("__one", F.lit(1)), "__one").drop("__one")
+    observed = stats.where("perm = 0").select("df1", "df2", "ss_total", "ss_within", "r2", "f")
+    return beside(observed, p.select("permutations", "p_value"), [])
 
 
 def permanova_statistics(

@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quadrat.operators.joins import beside
+from quadrat.session import cut_lineage
+
+#: Different values of one group among which a rank is looked up by ordering them.
+BRACKET_ROWS = 100_000
+#: Slices into which a larger bracket is cut in each round.
+SLICES = 256
+_BELOW = float("-inf")
+
 
 def exact_quantiles(
     df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float], accuracy: int = 10_000
@@ -16,26 +25,25 @@ def exact_quantiles(
 
     The built-in exact percentile holds every distinct value of a group in one
     buffer.  Here an approximate quantile sketch brackets the wanted rank; rows
-    below the bracket are only counted, rows inside are counted per value, and the
-    rank is looked up in those counts.  About 6/accuracy of a group is sorted.
-    The sketch's rank error is at most 1/accuracy, so the bracket of three times
-    that on each side must contain the rank; should it ever not, the query fails
+    below the bracket are only counted, rows inside are counted per value.  While a
+    bracket holds more than ``BRACKET_ROWS`` different values it is cut into slices, which are
+    counted, and only the slices with the rank are kept.  So what is ordered in one task is bounded,
+    however large a group is.  The sketch's rank error is at most 1/accuracy, so the bracket of three
+    times that on each side must contain the rank; should it ever not, the query fails
     instead of giving a wrong number.
     """
     keys, names = list(keys), list(probs)
-    group = keys or ["__all"]
     margin = 3.0 / accuracy
     base = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
-    if not keys:
-        base = base.withColumn("__all", F.lit(1))
     lows = F.array(*[F.lit(max(0.0, p - margin)) for p in probs.values()])
     highs = F.array(*[F.lit(min(1.0, p + margin)) for p in probs.values()])
-    brackets = base.groupBy(*group).agg(
+    brackets = base.groupBy(*keys).agg(
         F.count("*").alias("__n"),
         F.percentile_approx("__v", lows, F.lit(accuracy)).alias("__lo"),
         F.percentile_approx("__v", highs, F.lit(accuracy)).alias("__hi"),
     )
-    below = F.lit(float("-inf"))
+    brackets = cut_lineage(brackets)
+    below = F.lit(_BELOW)
     picks = F.array(
         *[
             F.struct(
@@ -48,18 +56,21 @@ def exact_quantiles(
         ]
     )
     counted = (
-        base.join(brackets.select(*group, "__lo", "__hi"), group)
-        .select(*group, F.inline(F.filter(picks, lambda s: s["v"].isNotNull())))
-        .groupBy(*group, "i", "v")
+        beside(base, brackets.select(*keys, "__lo", "__hi"), keys)
+        .select(*keys, F.inline(F.filter(picks, lambda s: s["v"].isNotNull())))
+        .groupBy(*keys, "i", "v")
         .agg(F.count("*").alias("c"))
     )
-    running = W.partitionBy(*group, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     position = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1) * (F.col("__n") - 1)
+    sizes = brackets.select(*keys, "__n")
+    counted = cut_lineage(counted)
+    while _widest(counted, keys) > BRACKET_ROWS:
+        counted = cut_lineage(_narrowed(counted, keys, sizes, position))
+    running = W.partitionBy(*keys, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = (
-        counted.withColumn("upto", F.sum("c").over(running))
-        .join(brackets.select(*group, "__n"), group)
+        beside(counted.withColumn("upto", F.sum("c").over(running)), sizes, keys)
         .withColumn("h", position)
-        .groupBy(*group, "i")
+        .groupBy(*keys, "i")
         .agg(
             F.min(F.when(F.col("upto") > F.floor("h"), F.col("v"))).alias("a"),
             F.min(F.when(F.col("upto") > F.ceil("h"), F.col("v"))).alias("b"),
@@ -70,10 +81,32 @@ def exact_quantiles(
     quantile = F.when(missed, F.raise_error(F.lit("quantile bracket missed the rank")).cast("double")).otherwise(
         F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))
     )
-    out = found.withColumn("q", quantile).groupBy(*group).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    )
-    return out if keys else out.drop("__all")
+    out = found.withColumn("q", quantile)
+    return out.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+
+
+def _widest(counted: DataFrame, keys: list[str]) -> int:
+    """Most different values in a bracket."""
+    return counted.groupBy(*keys, "i").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _narrowed(counted: DataFrame, keys: list[str], sizes: DataFrame, position) -> DataFrame:
+    """The brackets without the slices that cannot hold their ranks; what lies below is one row again."""
+    by = [*keys, "i"]
+    inside = F.col("v") != F.lit(_BELOW)
+    shares = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    cuts = counted.where(inside).groupBy(*by).agg(F.percentile_approx("v", shares, F.lit(10 * SLICES)).alias("cuts"))
+    slice_of = F.when(inside, F.size(F.filter("cuts", lambda s: s < F.col("v")))).otherwise(F.lit(-1))
+    sliced = counted.join(cuts, by).withColumn("slice", slice_of).drop("cuts")
+    totals = sliced.groupBy(*by, "slice").agg(F.sum("c").alias("c"))
+    before = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = beside(totals.withColumn("under", F.coalesce(F.sum("c").over(before), F.lit(0))), sizes, keys).withColumn("h", position)
+    upto = F.col("under") + F.col("c")
+    # a slice holds the ranks under + 1 to upto, counted from 1; wanted are floor(h) + 1 and ceil(h) + 1
+    wanted = (F.col("under") <= F.ceil("h")) & (upto > F.floor("h"))
+    place = F.when(upto <= F.floor("h"), F.lit(-1)).when(wanted, F.lit(0)).otherwise(F.lit(1)).alias("place")
+    placed = sliced.join(totals.select(*by, "slice", place), [*by, "slice"]).where("place <= 0")
+    return placed.groupBy(*by, F.when(F.col("place") == 0, F.col("v")).otherwise(F.lit(_BELOW)).alias("v")).agg(F.sum("c").alias("c"))
 
 
 def with_group_median(df: DataFrame, keys: Iterable[str], value: str, name: str) -> DataFrame:

@@ -325,3 +325,23 @@ def test_mantel_without_pairs(spark):
     for method in ("pearson", "kendall"):
         out = mantel.mantel(none, none, members, "id", "d", "d", method, 9).collect()
         assert all(r["statistic"] is None for r in out)
+
+
+def test_shapiro_of_large_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=900), "b": rng.exponential(size=4000), "c": np.round(rng.normal(size=300), 1), "same": np.zeros(60)}
+    df = spark.createDataFrame([(k, float(v)) for k, values in data.items() for v in values] + [("a", None)], "g string, v double")
+    want = {k: shapiro(v)[0] for k, v in data.items()}
+    monkeypatch.setattr(inference, "GATHERED", 50)
+    out = {r["g"]: r for r in inference.shapiro_wilk(df, ["g"], "v").collect()}
+    for k in ("a", "b", "c"):
+        assert out[k]["w"] == pytest.approx(want[k], abs=1e-9) and out[k]["p_value"] is None and out[k]["n"] == len(data[k])
+    assert out["same"]["w"] is None
+    (row,) = inference.shapiro_wilk(df.where("g = 'b'"), [], "v").collect()
+    assert row["w"] == pytest.approx(want["b"], abs=1e-9)
+
+
+def test_shapiro_beyond_the_range_of_the_test(spark):
+    values = np.random.default_rng(4).normal(size=6000)
+    (row,) = inference.shapiro_wilk(spark.createDataFrame([(float(v),) for v in values], "v double"), [], "v").collect()
+    assert 0.999 < row["w"] < 1 and row["p_value"] is None

@@ -43,6 +43,19 @@ def test_exact_quantiles_equal_numpy(spark, hot):
     assert np.isclose(rows(overall)[0][0], np.median(values))
 
 
+def test_exact_quantiles_of_brackets_beyond_the_bound(spark, monkeypatch):
+    """One group with a thousand times as many different values as may be ordered, skewed over many magnitudes."""
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 20)
+    monkeypatch.setattr(quantiles, "SLICES", 8)
+    rng = np.random.default_rng(2)
+    values = np.r_[np.exp(rng.normal(size=20_000) * 40), np.full(500, 1.0)]
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", float(v)) for v in range(7)], "g string, v double")
+    probs = {"a": 0.0, "b": 0.013, "m": 0.5, "x": 0.777, "z": 1.0}
+    out = dict((r[0], r[1:]) for r in rows(quantiles.exact_quantiles(df, ["g"], "v", probs, 4)))
+    assert np.allclose(out["g"], np.quantile(values, list(probs.values())), rtol=1e-12)
+    assert np.allclose(out["h"], np.quantile(np.arange(7.0), list(probs.values())))
+
+
 def test_status_counts_null_not_zero(spark):
     df = spark.createDataFrame([("s", 1, "yes"), ("s", 1, "yes"), ("s", 2, "no"), ("t", 3, None)], "g string, id int, f string")
     out = grouping.status_counts(df, ["g"], "id", {"n": F.col("f") == "yes"})
