@@ -2,12 +2,14 @@
 
 The permuted labels of a sample are one array per sample, so data rows are never
 multiplied by the number of permutations before they are shuffled.  Blocks of
-samples meet their label arrays in one task and a matrix product does all
+samples and features meet their labels in one task and a matrix product does many
 permutations at once; what leaves the task is one partial sum per permutation.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from quadrat.functions.scalars import ratio
 from quadrat.operators.grouping import kth_row
 from quadrat.operators.joins import beside
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of, tiles_of
+from quadrat.operators import permuted
 from quadrat.operators.resample import at_least_as_large, permutations
 from quadrat.session import cut_lineage, spread
 
@@ -109,58 +112,6 @@ def permanova_statistics(
     )
 
 
-# ---------------------------------------------------------------- sums per feature for every permutation
-
-
-def permuted_sums(
-    cells: DataFrame, sample: str, feature: str, value: str, design: DataFrame, columns: list[str]
-) -> DataFrame:
-    """``sum(design * value)`` per feature, design column and permutation, as ``total``.
-
-    ``seen`` is the same sum for presence instead of the value.
-    ``design`` has one row per sample and one array of doubles per column, indexed by
-    permutation.  A task holds one block of samples: its cells and its arrays.
-    """
-    blocks = _blocks(design)
-    left = cells.select(sample, feature, F.col(value).cast("double").alias("__y")).withColumn(
-        "__block", block_of(F.col(sample), blocks)
-    )
-    right = design.select(sample, *columns).withColumn("__block", block_of(F.col(sample), blocks))
-    schema = T.StructType(
-        [cells.schema[feature], T.StructField("design", T.StringType())]
-        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("sums", "seen")]
-    )
-
-    def multiply(rows: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or arrays.empty:
-            return pd.DataFrame({feature: [], "design": [], "sums": [], "seen": []})
-        ids = pd.Index(arrays[sample].to_numpy())
-        at = ids.get_indexer(rows[sample])
-        rows, at = rows[at >= 0], at[at >= 0]
-        taxa, taxon = np.unique(rows[feature].to_numpy(), return_inverse=True)
-        frames = []
-        matrices = {c: np.stack(arrays[c].to_list()).astype(float) for c in columns}
-        for start in range(0, len(taxa), BLOCK_FEATURES):
-            part = (taxon >= start) & (taxon < start + BLOCK_FEATURES)
-            names = taxa[start : start + BLOCK_FEATURES]
-            dense = np.zeros((len(names), len(ids)))
-            dense[taxon[part] - start, at[part]] = rows["__y"].to_numpy()[part]
-            for c, matrix in matrices.items():
-                seen = (dense != 0).astype(float) @ matrix
-                frames.append(pd.DataFrame({feature: names, "design": c, "sums": list(dense @ matrix), "seen": list(seen)}))
-        return pd.concat(frames)
-
-    left, right = spread(left, "__block"), spread(right, "__block")
-    partial = left.groupBy("__block").cogroup(right.groupBy("__block")).applyInPandas(multiply, schema)
-    rows = partial.select(feature, "design", F.posexplode(F.arrays_zip("sums", "seen")).alias("perm", "__z"))
-    return rows.groupBy("perm", feature, "design").agg(
-        F.sum("__z.sums").alias("total"), F.sum("__z.seen").alias("seen")
-    )
-
-
-BLOCK_FEATURES = 1024
-
-
 # ---------------------------------------------------------------- indicator values
 
 
@@ -198,38 +149,38 @@ def indicator_test(
     for i, level in enumerate(levels):
         code = F.when(F.col(group) == level, F.lit(i)).otherwise(code)
     coded = members.select(sample, code.cast("int").alias("__code"))
-    arrays = label_arrays(permutations(coded, sample, ["__code"], count, seed), sample, {"__code": "__codes"})
+    drawn = permutations(coded, sample, ["__code"], count, seed)
     columns = [f"g{i}" for i in range(len(levels))]
-
-    def member_of(i: int):
-        return F.transform("__codes", lambda c: (c == i).cast("double")).alias(f"g{i}")
-
-    design = arrays.select(sample, *[member_of(i) for i in range(len(levels))])
+    designs = drawn.select("perm", sample, *[(F.col("__code") == i).cast("double").alias(c) for i, c in enumerate(columns)])
+    sizes = {r["__code"]: r["n"] for r in coded.groupBy("__code").agg(F.count("*").alias("n")).collect()}  # one row a level
+    size = np.array([sizes.get(i, 0) for i in range(len(levels))], dtype=float)[:, None, None]
     here = cells.where(F.col(value) > 0)
-    both = permuted_sums(here, sample, feature, value, design, columns)
-    sizes = members.groupBy(group).agg(F.count("*").alias("__n")).select(
-        F.concat(F.lit("g"), F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group)) - 1).alias("design"), "__n"
-    )
-    per = both.join(sizes, "design").withColumn("mean", F.col("total") / F.col("__n"))
-    totals = per.groupBy("perm", feature).agg(
-        F.sum("mean").alias("__means"),
-        F.sum("seen").alias("__seen"),
-        F.max(F.struct((F.col("mean") * F.col("seen") / F.col("__n")).alias("v"), F.col("design").alias("d"))).alias("__best"),
+    kinds = {"best": T.IntegerType(), "stat": T.DoubleType(), "stat_all": T.DoubleType(), "above": T.LongType(), "permutations": T.LongType()}
+    schema = T.StructType([cells.schema[feature], *(T.StructField(n, k) for n, k in kinds.items())])
+
+    def compare(taxa: list, sums: np.ndarray, seen: np.ndarray, perms: np.ndarray) -> pd.DataFrame:
+        """Indicator value of the best group in each permutation, counted against that of permutation 0."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(size > 0, sums / size, 0.0)
+            value_of = np.where(size > 0, mean * seen / size, -1.0)
+            best = value_of[::-1].argmax(axis=0)  # of equal groups the last one
+            stat = np.sqrt(value_of.max(axis=0) / mean.sum(axis=0))
+        met = np.flatnonzero(seen[:, :, 0].sum(axis=0) > 0)
+        stat, best = stat[met], len(size) - 1 - best[met]
+        first = stat[:, :1]
+        above = (stat[:, 1:] >= first - 1e-9 * np.maximum(1.0, np.abs(first))).sum(axis=1)
+        everywhere = np.sqrt(seen[:, met, 0].sum(axis=0) / size.sum())
+        return pd.DataFrame(
+            {feature: [taxa[i] for i in met], "best": best[:, 0].astype("int32"), "stat": first[:, 0], "stat_all": everywhere, "above": above, "permutations": len(perms) - 1}
+        )
+
+    parts = permuted.products(here, sample, feature, value, designs, columns, compare, schema, observed=True)
+    observed = parts.groupBy(feature).agg(
+        *(F.first(c).alias(c) for c in ("best", "stat", "stat_all")), ((F.sum("above") + 1) / (F.sum("permutations") + 1)).alias("p_value")
     )
-    total_samples = members.agg(F.count("*")).scalar()
-    best = totals.select(
-        "perm",
-        feature,
-        F.sqrt(F.col("__best.v") / F.col("__means")).alias("stat"),
-        F.col("__best.d").alias("design"),
-        F.sqrt(F.col("__seen") / total_samples).alias("stat_all"),
-    )
-    best = cut_lineage(best)
-    p = at_least_as_large(best.select("perm", feature, "stat"), [feature], "stat")
     name = F.lit(None).cast("string")
     for i, level in enumerate(levels):
-        name = F.when(F.col("design") == f"g{i}", F.lit(level)).otherwise(name)
-    observed = best.where("perm = 0").join(p.select(feature, "p_value"), feature)
+        name = F.when(F.col("best") == i, F.lit(level)).otherwise(name)
     everywhere = (F.col("stat_all") > F.col("stat") + 1e-9) if all_groups else F.lit(False)
     return observed.select(
         feature,
@@ -291,12 +242,9 @@ def redundancy(
     total = per_feature.agg(F.sum(F.col("__yy") - F.col("__y") * F.col("__y") / n)).scalar()
     # the sample table is one checkpointed row per sample, so its many uses below are cheap scans
     perms = permutations(x, sample, terms, count, seed) if count else x.withColumn("perm", F.lit(0))
-    arrays = label_arrays(perms, sample, {t: t for t in terms})
-    cross = permuted_sums(cells, sample, feature, "__v", arrays, terms)
+    squares = permuted.gram(cells, sample, feature, "__v", perms, terms)
     norms = x.agg(F.struct(*[F.sum(F.col(t) * F.col(t)).alias(t) for t in terms])).scalar()
-    explained = cross.groupBy("perm").agg(
-        *[F.sum(F.when(F.col("design") == t, F.col("total") * F.col("total"))).alias(f"__{t}") for t in terms]
-    )
+    explained = squares.select("perm", *[F.col("gram")[i * (len(terms) + 1)].alias(f"__{t}") for i, t in enumerate(terms)])
     wide = explained.withColumns({"__norms": norms, "ss_total": total, "n": n})
     used = F.lit(0)
     for t in terms:
@@ -371,3 +319,63 @@ def constrained_axes(
     values = np.linalg.eigvalsh(square)[::-1] / (lengths["n"] - 1)
     rows = [(i + 1, float(v), float(v / values.sum())) for i, v in enumerate(values)]
     return response.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")
+
+
+def axis_tests(
+    response: DataFrame, members: DataFrame, sample: str, feature: str, value: str, terms: list[str], count: int, seed: int = 1
+) -> DataFrame:
+    """Sequential test of the axes of a redundancy analysis: ``axis``, ``eigenvalue``, ``share``, ``f``, ``permutations``, ``p_value``.
+
+    Each axis is tested with the axes before it as conditions.  The residuals of the response on those are permuted:
+    permuting the design instead and taking its part off the conditions gives the same sums, so the response
+    is never residualised.  The statistic is the largest eigenvalue of what the remaining terms explain over the residual mean square.
+    The eigenproblems are as wide as the number of terms; the driver sees those of permutation 0 only.
+    """
+    x = cut_lineage(orthogonal_terms(members, sample, terms))
+    cells = cut_lineage(response.join(x.select(sample), sample, "left_semi").select(sample, feature, F.col(value).cast("double").alias("__v")))
+    lengths = x.agg(F.count("*").alias("n"), *[F.sum(F.col(t) * F.col(t)).alias(t) for t in terms]).first()
+    n, used = lengths["n"], [t for t in terms if lengths[t] is not None and lengths[t] > 1e-12]
+    unit = cut_lineage(x.select(sample, *[(F.col(t) / F.lit(lengths[t] ** 0.5)).alias(t) for t in used]))
+    sums = cells.groupBy(feature).agg(F.sum(F.col("__v") * F.col("__v")).alias("yy"), F.sum("__v").alias("y"))
+    total = sums.agg(F.sum(F.col("yy") - F.col("y") * F.col("y") / n)).first()[0]
+    size = len(used)
+    matrix = permuted.gram(cells, sample, feature, "__v", unit.withColumn("perm", F.lit(0)), used).first()
+    values, turn = np.linalg.eigh(np.array(matrix["gram"]).reshape(size, size))
+    values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
+    axes = [f"__a{i}" for i in range(size)]
+    scores = unit.select(sample, *[sum((F.col(t) * F.lit(float(turn[j, i])) for j, t in enumerate(used)), F.lit(0.0)).alias(a) for i, a in enumerate(axes)])
+    scores = cut_lineage(scores)
+    drawn = cut_lineage(permutations(scores, sample, axes, count, seed))
+    parts = []
+    for i in range(size):
+        before = axes[:i]
+        design = drawn
+        if before:
+            own = scores.select(sample, *[F.col(a).alias(f"{a}_own") for a in before])
+            both = drawn.join(own, sample)
+            onto = both.groupBy("perm").agg(*[F.sum(F.col(f"{b}_own") * F.col(a)).alias(f"{b}{a}") for b in before for a in axes])
+            off = [(F.col(a) - sum((F.col(f"{b}_own") * F.col(f"{b}{a}") for b in before), F.lit(0.0))).alias(a) for a in axes]
+            design = both.join(onto, "perm").select("perm", sample, *off)
+        parts.append(_axis_statistics(permuted.gram(cells, sample, feature, "__v", design, axes), i, size, float(total - values[:i].sum()), n - 1 - size))
+    stats = cut_lineage(reduce(DataFrame.unionByName, parts))
+    tested = at_least_as_large(stats, ["axis"], "f")
+    shares = values / values.sum() if values.sum() > 0 else values
+    rows = [(i + 1, float(v / (n - 1)), float(s)) for i, (v, s) in enumerate(zip(values, shares, strict=True))]
+    about = response.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")
+    return about.join(tested.withColumnRenamed("observed", "f"), "axis")
+
+
+def _axis_statistics(squares: DataFrame, conditions: int, size: int, left: float, df: int) -> DataFrame:
+    """F of the first axis beyond the conditions, for each permutation, from the matrix of explained cross products."""
+
+    @F.pandas_udf(T.DoubleType())
+    def f_of(found: pd.Series) -> pd.Series:
+        out = []
+        for values in found:
+            square = np.array(values).reshape(size, size)
+            rest = left - np.trace(square)
+            largest = np.linalg.eigvalsh(square[conditions:, conditions:])[-1]
+            out.append(largest / (rest / df) if df > 0 and rest > 0 else None)
+        return pd.Series(out, dtype="float64")
+
+    return squares.select(F.lit(conditions + 1).alias("axis"), "perm", f_of("gram").alias("f"))

@@ -14,12 +14,12 @@ from quadrat.plans.registry import query, rounded, rsql
 from quadrat.session import cut_lineage
 
 SEED = 7
-N_PERM = 99
+N_PERM = 999
 GROUPS = ["even", "odd"]
 
 # ---------------------------------------------------------------- indicator values
 
-_IND = f"""{views.BIG_READS}, {views.META}, sizes as (select species, count(*) as n from meta group by 1),
+_IND = f"""{views.READS}, {views.META}, sizes as (select species, count(*) as n from meta group by 1),
 means as (select feature, m.species, any_value(s.n) as n, sum(reads) / any_value(s.n)::double as mean, count(*) / any_value(s.n)::double as fidelity
   from reads r join meta m on r.sample = m.sample join sizes s on m.species = s.species group by 1, 2)"""
 
@@ -30,12 +30,13 @@ means as (select feature, m.species, any_value(s.n) as n, sum(reads) / any_value
         {rsql('sqrt(mean / sum(mean) over (partition by feature) * fidelity)')} as stat from means""",
 )
 def indval_stat(spark, d):
-    out = permutation.indicator_value(views.big_reads(spark, d), views.meta(spark, d), "sample", "feature", "species", "reads")
+    out = permutation.indicator_value(views.reads(spark, d), views.meta(spark, d), "sample", "feature", "species", "reads")
     return out.select("feature", "species", *[rounded(c).alias(c) for c in ("specificity", "fidelity", "stat")])
 
 
-_IND_TEST = f"""{views.BIG_READS}, {views.META}, {views.TAXONOMY},
-rel as (select r.sample, r.feature, t.phylum, coalesce(t.family, 'Unknown') as family, reads / sum(reads) over (partition by sample) as p
+def _indicator_sql(value: str) -> str:
+    return f"""{views.READS}, {views.META}, {views.TAXONOMY},
+rel as (select r.sample, r.feature, t.phylum, coalesce(t.family, 'Unknown') as family, {value} as p
         from reads r join taxonomy t on r.feature = t.feature),
 cells as (select sample, 'feature:' || feature as taxon, sum(p) as v from rel group by 1, 2
   union all select sample, 'phylum:' || phylum, sum(p) from rel group by 1, 2
@@ -53,16 +54,19 @@ result as (select taxon, case when stat_all > stat + 1e-9 then null else who end
                   case when stat_all > stat + 1e-9 then stat_all else stat end as stat, case when stat_all > stat + 1e-9 then null else p end as p_value from tested)"""
 
 
-def _levels(spark, d):
-    """Relative abundance of every taxon at every level, the level in front of the name."""
-    rows = _with_taxonomy(spark, d, views.big_reads(spark, d))
-    cells = reshape.roll_up(rows, ["sample"], ["feature", "phylum", "family"], {"v": F.sum("rel_abund")})
+_IND_TEST = _indicator_sql("reads / sum(reads) over (partition by sample)")
+
+
+def _levels(spark, d, value="rel_abund"):
+    """Abundance of every taxon at every level, the level in front of the name."""
+    rows = _with_taxonomy(spark, d, views.reads(spark, d))
+    cells = reshape.roll_up(rows, ["sample"], ["feature", "phylum", "family"], {"v": F.sum(value)})
     return cells.select("sample", F.concat_ws(":", "level", "taxon").alias("taxon"), "v")
 
 
-def _indicators(spark, d, all_groups=True):
+def _indicators(spark, d, all_groups=True, value="rel_abund"):
     return permutation.indicator_test(
-        _levels(spark, d), views.meta(spark, d), "sample", "taxon", "species", "v", GROUPS, N_PERM, SEED, all_groups
+        _levels(spark, d, value), views.meta(spark, d), "sample", "taxon", "species", "v", GROUPS, N_PERM, SEED, all_groups
     )
 
 
@@ -74,6 +78,15 @@ def indval_perm(spark, d):
     return across(_indicators(spark, d), ["stat", "p_value"], rounded)
 
 
+@query(
+    "indval_counts",
+    f"with {_indicator_sql('reads')} select taxon, indicator_for, {rsql('stat')} as stat, {rsql('p_value')} as p_value from result",
+)
+def indval_counts(spark, d):
+    """The same on counts instead of proportions."""
+    return across(_indicators(spark, d, value="reads"), ["stat", "p_value"], rounded)
+
+
 @query(
     "indval_report",
     f"""with {_IND_TEST}, g as (select c.taxon, m.species, sum(v) as s from cells c join labels m on c.sample = m.sample group by 1, 2)
@@ -237,21 +250,25 @@ def mantel_table(spark, d):
 
 # ---------------------------------------------------------------- redundancy analysis
 
-RDA_PERM = 49
+RDA_PERM = 999
 TERMS = ["grp", "covariate", "interaction"]
 
 # Gram-Schmidt in SQL: each regressor centred and made orthogonal to those before it
-_RDA = f"""{views.READS}, {views.META},
+def _rda_sql(reads: str) -> str:
+    return f"""{views.READS}, {views.META},
 x0 as (select sample, case when species = 'even' then 1.0::double else 0 end as grp, covariate / 1000 as covariate,
               case when species = 'even' then covariate / 1000 else 0 end as interaction from meta where covariate is not null),
 x1 as (select sample, grp - avg(grp) over () as grp, covariate - avg(covariate) over () as covariate, interaction - avg(interaction) over () as interaction from x0),
 x2 as (select sample, grp, covariate - sum(covariate * grp) over () / sum(grp * grp) over () * grp as covariate, interaction from x1),
 x3 as (select sample, grp, covariate, interaction - sum(interaction * grp) over () / sum(grp * grp) over () * grp
               - sum(interaction * covariate) over () / sum(covariate * covariate) over () * covariate as interaction from x2),
-hel as (select r.sample, feature, sqrt(reads / sum(reads) over (partition by r.sample)) as v from reads r where sample in (select sample from x0)),
+hel as (select r.sample, feature, sqrt({reads} / sum({reads}) over (partition by r.sample)) as v from reads r where sample in (select sample from x0)),
 n as (select count(*) as n from x0),
 tot as (select sum(yy - y * y / n) as ss_total from (select feature, sum(v * v) as yy, sum(v) as y from hel group by 1), n),
 norms as (select sum(grp * grp) as grp, sum(covariate * covariate) as covariate, sum(interaction * interaction) as interaction from x3)"""
+
+
+_RDA = _rda_sql("reads")
 _RDA_STATS = """prod as (select p.perm, h.feature, sum(p.grp * v) as grp, sum(p.covariate * v) as covariate, sum(p.interaction * v) as interaction
   from hel h join perms p on h.sample = p.sample group by 1, 2),
 ss as (select perm, sum(p.grp * p.grp) / any_value(n.grp) as grp, sum(p.covariate * p.covariate) / any_value(n.covariate) as covariate,
@@ -278,8 +295,9 @@ def _regressors(spark, d):
     )
 
 
-def _redundancy(spark, d, count):
-    response = composition.hellinger(views.reads(spark, d), "sample", "reads")
+def _redundancy(spark, d, count, presence=False):
+    reads = composition.presence(views.reads(spark, d), "reads", "reads") if presence else views.reads(spark, d)
+    response = composition.hellinger(reads, "sample", "reads")
     out = permutation.redundancy(response, _regressors(spark, d), "sample", "feature", "hellinger", TERMS, count, SEED)
     return across(out, ["variance", "total_variance", "r2", "r2_adjusted", "f"], lambda c: rounded(c, 7))
 
@@ -292,17 +310,31 @@ def rda_variance(spark, d):
     return _redundancy(spark, d, 0)
 
 
-@query(
-    "rda_perm",
-    f"""with {_RDA}, {permutation_sql('x3', 'sample', TERMS, RDA_PERM, SEED)}, {_RDA_STATS},
+def _rda_test_sql(reads: str) -> str:
+    return f"""with {_rda_sql(reads)}, {permutation_sql('x3', 'sample', TERMS, RDA_PERM, SEED)}, {_RDA_STATS},
         p as (select o.term, {rsql('(count(case when s.f >= o.f - 1e-9 * greatest(1, abs(o.f)) then 1 end) + 1) / (count(*) + 1)::double')} as p_value
               from stats o join stats s on o.term = s.term and s.perm > 0 where o.perm = 0 group by 1)
-        select stats.term, {_RDA_COLUMNS}, p_value from stats join p on stats.term = p.term where perm = 0""",
-)
+        select stats.term, {_RDA_COLUMNS}, p_value from stats join p on stats.term = p.term where perm = 0"""
+
+
+@query("rda_perm", _rda_test_sql("reads"))
 def rda_perm(spark, d):
     return _redundancy(spark, d, RDA_PERM).withColumn("p_value", rounded("p_value"))
 
 
+@query("rda_presence", _rda_test_sql("1.0::double"))
+def rda_presence(spark, d):
+    """The same test on presence instead of counts."""
+    return _redundancy(spark, d, RDA_PERM, presence=True).withColumn("p_value", rounded("p_value"))
+
+
+@query("rda_axis_test")
+def rda_axis_test(spark, d):
+    """F and p of each axis, the axes before it as conditions."""
+    response = composition.hellinger(views.reads(spark, d), "sample", "reads")
+    return permutation.axis_tests(response, _regressors(spark, d), "sample", "feature", "hellinger", TERMS, RDA_PERM, SEED)
+
+
 @query(
     "rda_coefficients",
     f"""with {_RDA} select feature, {', '.join(f"{rsql(f'sum(x3.{t} * v) / any_value(norms.{t})', 7)} as {t}" for t in TERMS)}

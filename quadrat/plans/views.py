@@ -28,22 +28,6 @@ READS = """reads as (
   from lineitem join part on l_partkey = p_partkey group by 1, 2)"""
 
 
-def big_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of large lines only: a sparser table, in which many cells are empty."""
-    lines = load(spark, d, "lineitem").where("l_quantity >= 46").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
-    part = load(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("feature"))
-    return (
-        lines.join(part, lines.l_partkey == part.p_partkey)
-        .groupBy(F.col("l_suppkey").alias("sample"), "feature")
-        .agg(F.sum("n").alias("reads"))
-    )
-
-
-BIG_READS = READS.replace(
-    "on l_partkey = p_partkey group by", "on l_partkey = p_partkey where l_quantity >= 46 group by"
-)
-
-
 def meta(spark: SparkSession, d: str) -> DataFrame:
     """One row per sample: where it was taken, which of two groups it is in, a covariate and a date."""
     supplier, nation, region = (load(spark, d, t) for t in ("supplier", "nation", "region"))

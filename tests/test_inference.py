@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.functions.tails import f_upper, shapiro, t_two_sided
-from quadrat.operators import correlation, inference, mantel, ordination, permutation, resample
+from quadrat.operators import correlation, inference, mantel, ordination, permutation, permuted, resample
 from tests.conftest import rows
 
 
@@ -345,3 +345,76 @@ def test_shapiro_beyond_the_range_of_the_test(spark):
     values = np.random.default_rng(4).normal(size=6000)
     (row,) = inference.shapiro_wilk(spark.createDataFrame([(float(v),) for v in values], "v double"), [], "v").collect()
     assert 0.999 < row["w"] < 1 and row["p_value"] is None
+
+
+def _designs(spark, n, count, columns, rng):
+    return [(k, i, *(float(v) for v in rng.normal(size=columns))) for k in range(count + 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("observed", [False, True])
+@pytest.mark.parametrize("blocks", [(2048, 1024, 4_000_000), (4, 5, 60)])
+def test_products_equal_brute_force(spark, monkeypatch, observed, blocks):
+    """One block or many: with the small ones, one block of samples meets many blocks of features and chunks."""
+    for name, size in zip(("BLOCK_SAMPLES", "BLOCK_FEATURES", "CHUNK_VALUES"), blocks, strict=True):
+        monkeypatch.setattr(permuted, name, size)
+    rng = np.random.default_rng(4)
+    n, features, count = 11, 23, 40
+    y = rng.normal(size=(n, features)) * (rng.random((n, features)) < 0.5)
+    y[0] = 1.0
+    rows = _designs(spark, n, count, 2, rng)
+    designs = spark.createDataFrame(rows, "perm int, id long, a double, b double")
+    cells = spark.createDataFrame([(i, f"f{j:02d}", float(y[i, j])) for i in range(n) for j in range(features) if y[i, j]] + [(99, "f00", 5.0)], "id long, f string, v double")
+    schema = "f string, perm int, design int, total double, seen double"
+    from pyspark.sql.types import _parse_datatype_string
+
+    def finish(taxa, sums, seen, perms):
+        import pandas as pd
+
+        out = [(f, int(k), d, sums[d, i, j], seen[d, i, j]) for d in range(2) for i, f in enumerate(taxa) for j, k in enumerate(perms)]
+        return pd.DataFrame(out, columns=["f", "perm", "design", "total", "seen"]).astype({"perm": "int32", "design": "int32"})
+
+    got = {}
+    for r in permuted.products(cells, "id", "f", "v", designs, ["a", "b"], finish, _parse_datatype_string(schema), observed).collect():
+        key = (r["f"], r["perm"], r["design"])
+        assert key not in got or r["perm"] == 0
+        got[key] = (r["total"], r["seen"])
+    x = np.array([r[2:] for r in rows]).reshape(count + 1, n, 2)
+    assert len(got) == features * (count + 1) * 2
+    for j in range(features):
+        for k in range(count + 1):
+            for d in range(2):
+                want = (y[:, j] @ x[k, :, d], (y[:, j] != 0) @ x[k, :, d])
+                assert got[f"f{j:02d}", k, d] == pytest.approx(want)
+
+
+def test_axis_tests_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    n, features, count = 14, 5, 15
+    g, x = (np.arange(n) % 2).astype(float), rng.normal(size=n)
+    y = rng.random((n, features)) * (rng.random((n, features)) < 0.7)
+    y[:, 0] += g
+    members = spark.createDataFrame([(i, float(g[i]), float(x[i]), float(g[i] * x[i])) for i in range(n)], "id long, g double, x double, gx double")
+    cells = spark.createDataFrame([(i, f"f{j}", float(y[i, j])) for i in range(n) for j in range(features) if y[i, j]], "id long, f string, v double")
+    out = {r["axis"]: r for r in permutation.axis_tests(cells, members, "id", "f", "v", ["g", "x", "gx"], count, seed=1).collect()}
+    moved = {}
+    for r in resample.permutations(members.selectExpr("id", "id as to"), "id", ["to"], count, 1).collect():
+        moved.setdefault(r["perm"], {})[r["id"]] = r["to"]
+    yc = y - y.mean(axis=0)
+    basis, _ = np.linalg.qr(np.c_[g, x, g * x] - np.c_[g, x, g * x].mean(axis=0))
+    left, values, _ = np.linalg.svd(basis.T @ yc)
+    scores = basis @ left
+    assert [out[a]["eigenvalue"] for a in (1, 2, 3)] == pytest.approx(list(values[:3] ** 2 / (n - 1)))
+    for axis in range(3):
+        u, w = scores[:, :axis], scores[:, axis:]
+        e = yc - u @ (u.T @ yc)
+        stats = []
+        for k in range(count + 1):
+            # sample i gets the design of sample to[i], so row to[i] of the response goes to place i
+            back = np.argsort([moved[k][i] for i in range(n)])
+            pe = e[back]
+            pe = pe - u @ (u.T @ pe)
+            fitted = w.T @ pe
+            rest = (pe**2).sum() - (fitted**2).sum()
+            stats.append(np.linalg.svd(fitted)[1][0] ** 2 / (rest / (n - 1 - 3)))
+        assert out[axis + 1]["f"] == pytest.approx(stats[0])
+        assert out[axis + 1]["p_value"] == pytest.approx((1 + sum(s >= stats[0] - 1e-9 for s in stats[1:])) / (count + 1))
