@@ -17,6 +17,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -173,42 +174,56 @@ def windows(texts: list[np.ndarray], most: int, steps: int) -> Iterator[tuple[np
         yield tuple(x[t : t + steps, : busy[t]] for x in (before, target, owner))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
-
-
 def forward(w: Weights, before: np.ndarray, state: np.ndarray, keep: bool = True) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
     """States of a window (steps, lanes), what backpropagation needs of it (if ``keep``), and the last state."""
     steps, lanes = before.shape
     hidden = w["U"].shape[0]
-    gates = w["X"][np.where(before < 0, END, before)]
-    shape = (steps, lanes, hidden)
-    kept = {n: np.empty(shape, np.float32) for n in ("from", "z", "r", "c", "a") if keep}
-    states = np.empty(shape, np.float32)
+    two = 2 * hidden
+    ids = np.where(before < 0, END, before)
+    # the logistic function of x is that of tanh(x / 2), moved and scaled; both parts lie side by side in memory of their own
+    zrs, cs = (w["X"][:, :two] * np.float32(0.5))[ids], w["X"][:, two:][ids]
+    turn_zr, turn_c = w["U"][:, :two] * np.float32(0.5), np.ascontiguousarray(w["U"][:, two:])
+    states = np.empty((steps, lanes, hidden), np.float32)
+    whence, inner = (np.empty_like(states) for _ in range(2)) if keep else (None, None)
     goes_on = (before >= 0).astype(np.float32)[:, :, None]
     for t in range(steps):
         h = state * goes_on[t]
-        a = h @ w["U"]
-        zr = _sigmoid(gates[t, :, : 2 * hidden] + a[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        c = np.tanh(gates[t, :, 2 * hidden :] + r * a[:, 2 * hidden :])
-        state = h + z * (c - h)
-        states[t] = state
-        for n, x in () if not keep else (("from", h), ("z", z), ("r", r), ("c", c), ("a", a[:, 2 * hidden :])):
-            kept[n][t] = x
-    kept["on"] = goes_on
-    return states, kept, state
-
-
-def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities by row, in the place of ``x``, and the logarithm of the one at ``at``."""
+        zr, c = zrs[t], cs[t]  # they take the places of their inputs
+        zr += h @ turn_zr
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        a = h @ turn_c
+        if keep:
+            whence[t], inner[t] = h, a
+        a *= zr[:, hidden:]
+        c += a
+        np.tanh(c, out=c)
+        state = states[t]
+        np.subtract(c, h, out=state)
+        state *= zr[:, :hidden]
+        state += h
+    return states, {"zr": zrs, "c": cs, "from": whence, "inner": inner, "on": goes_on}, state
+
+
+def _softmax(states: np.ndarray, turn: np.ndarray, bias: np.ndarray, at: np.ndarray, whole: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """Probabilities by row (if ``whole``), and the logarithm of the one at ``at``."""
+    x = states @ turn
+    x += bias
     rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
     wanted = x[rows, at]
-    np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x *= (np.float32(1) / total)[:, None]
-    return x, wanted - np.log(total)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+    if not np.isfinite(total).all() or not total.all():  # too large or small for the type as they are
+        x = states @ turn + bias
+        x -= x.max(axis=1, keepdims=True)
+        wanted = x[rows, at]
+        np.exp(x, out=x)
+        total = x.sum(axis=1)
+    if whole:
+        x *= (1 / total)[:, None]
+    return x if whole else None, wanted - np.log(total)
 
 
 def output(w: Weights, states: np.ndarray, target: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -218,7 +233,7 @@ def output(w: Weights, states: np.ndarray, target: np.ndarray, grads: Weights |
     order = np.argsort(kind, kind="stable")
     kind, target, states = kind[order], target[order], states[order]
     ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-    error, found = _softmax(states @ w["Wc"] + w["bc"], kind)
+    error, found = _softmax(states, w["Wc"], w["bc"], kind, grads is not None)
     back = None
     if grads is not None:
         error[np.arange(len(kind)), kind] -= 1
@@ -232,7 +247,7 @@ def output(w: Weights, states: np.ndarray, target: np.ndarray, grads: Weights |
             continue
         own = slice(1 + (k - 1) * IN_CLASS, 1 + k * IN_CLASS)
         place = target[at] - own.start
-        error, inner = _softmax(states[at] @ w["Wo"][own].T + w["bo"][own], place)
+        error, inner = _softmax(states[at], w["Wo"][own].T, w["bo"][own], place, grads is not None)
         found[at] += inner
         if grads is not None:
             error[np.arange(len(place)), place] -= 1
@@ -252,7 +267,8 @@ def backward(w: Weights, before: np.ndarray, kept: dict[str, np.ndarray], back:
     carried = np.zeros((lanes, hidden), np.float32)
     turned = np.ascontiguousarray(w["U"].T)
     for t in range(steps - 1, -1, -1):
-        h, z, r, c, a = (kept[n][t] for n in ("from", "z", "r", "c", "a"))
+        h, a, c = (kept[n][t] for n in ("from", "inner", "c"))
+        z, r = kept["zr"][t, :, :hidden], kept["zr"][t, :, hidden:]
         d = back[t] + carried
         dc = d * z * (1 - c * c)
         of_gates[t, :, :hidden] = d * (c - h) * z * (1 - z)
@@ -331,7 +347,7 @@ def averaged(df: DataFrame, w: Weights, words: Lexicon, text: str = "text") -> W
             for value in batch.column(0).to_pylist():
                 found = words_of(value)
                 ids = np.empty(len(found) + 1, np.int32)
-                ids[:-1] = [get(x, 0) for x in found]
+                ids[:-1] = np.fromiter(map(get, found, repeat(OTHER)), np.int32, len(found))
                 ids[-1] = END
                 held.append(ids)
                 size += len(ids)
@@ -410,7 +426,9 @@ def scored(df: DataFrame, w: Weights, words: Lexicon, key: str = "doc_id", text:
         for keys, digests, texts in batches:
             for k, digest, value in zip(keys, digests, texts, strict=True):
                 found = words_of(value)
-                ids = np.array([get(x, -1) for x in found] + [END], np.int32)
+                ids = np.empty(len(found) + 1, np.int32)
+                ids[:-1] = np.fromiter(map(get, found, repeat(-1)), np.int32, len(found))
+                ids[-1] = END
                 rare = np.flatnonzero(ids < 0)
                 strange = Counter(found[i].decode() for i in rare)
                 held = ids[ids >= 0]
