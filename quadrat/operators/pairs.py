@@ -9,20 +9,22 @@ abundant a feature or deep a sample is.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadrat.functions.scalars import ratio
 from quadrat.functions.special import geodesic
-from quadrat.session import spread
+from quadrat.operators.rank import number_rows
+from quadrat.session import cut_lineage, spread
 
 BLOCK_SAMPLES = 256
-BLOCK_CELLS = 500_000
 FEATURE_CHUNK = 4096
 
 
@@ -83,152 +85,138 @@ def _shared(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return out
 
 
-def _tile_sums(rows: pd.DataFrame, names: tuple, kind: str, replicated: bool) -> pd.DataFrame:
-    """Shared amount and both totals for every pair of a tile, per replicate."""
-    sample, feature, value = names
-    same_block = rows["__p"].iloc[0] == rows["__q"].iloc[0]
-    ids, code = np.unique(rows[sample].to_numpy(), return_inverse=True)
-    block = np.empty(len(ids), dtype=np.int64)
-    block[code] = rows["__block"].to_numpy()
-    if same_block:
-        left = right = np.arange(len(ids))
-    else:
-        left, right = np.flatnonzero(block == rows["__p"].iloc[0]), np.flatnonzero(block == rows["__q"].iloc[0])
-    replicate = rows["__iter"].to_numpy() if replicated else np.zeros(len(rows), dtype=np.int64)
-    frames = []
-    for r in np.unique(replicate):
-        here = replicate == r
-        cell, amount = code[here], rows[value].to_numpy(dtype=np.float64)[here]
-        _, taxon = np.unique(rows[feature].to_numpy()[here], return_inverse=True)
-        weight = (amount > 0).astype(np.float64) if kind == "jaccard" else amount
-        total = np.bincount(cell, weight, minlength=len(ids))
-        shared = np.zeros((len(left), len(right)))
-        for start in range(0, int(taxon.max()) + 1, FEATURE_CHUNK):
-            part = (taxon >= start) & (taxon < start + FEATURE_CHUNK)
-            dense = np.zeros((len(ids), FEATURE_CHUNK if taxon.max() >= FEATURE_CHUNK else int(taxon.max()) + 1))
-            dense[cell[part], taxon[part] - start] = amount[part]
-            shared += _shared(dense[left], dense[right], kind)
-        if same_block:
-            i, j = np.triu_indices(len(ids), 1)
-            a, b, s = left[i], right[j], shared[i, j]
-        else:
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-            s = shared.ravel()
-        drawn = (total[a] > 0) & (total[b] > 0)
-        first, second = np.minimum(a, b)[drawn], np.maximum(a, b)[drawn]
-        frames.append(
-            pd.DataFrame(
-                {
-                    "id_a": ids[first],
-                    "id_b": ids[second],
-                    "__iter": np.int64(r),
-                    "shared": s[drawn],
-                    "total_a": total[first],
-                    "total_b": total[second],
-                }
-            )
-        )
-    return pd.concat(frames)
-
-
-def _distance(shared, total_a, total_b, kind: str):
-    if kind == "jaccard":
-        return 1 - shared / (total_a + total_b - shared)
-    return 1 - 2 * shared / (total_a + total_b)
+def _numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Number from 0 of each value, in the order of the values; written, as blocks on both sides of a tile follow from it."""
+    return cut_lineage(number_rows(df.select(key).distinct(), [key], name).select(key, (F.col(name) - 1).alias(name)))
 
 
 def community_distance(
-    cells: DataFrame,
-    sample: str,
-    feature: str,
-    value: str,
-    kind: str = "bray",
-    replicate: str | None = None,
-    name: str = "distance",
-    feature_buckets: int = 1,
-    sizing: DataFrame | None = None,
+    cells: DataFrame, sample: str, feature: str, value: str, kind: str = "bray", replicate: str | None = None, name: str = "distance"
 ) -> DataFrame:
     """Bray-Curtis or Jaccard dissimilarity of every pair, averaged over replicates when there are any.
 
-    ``cells`` has one row per sample, feature (and replicate).  The number of
-    blocks follows from the samples and cells in ``sizing``; pass the counts that
-    replicates were drawn from, so that the draws are not made twice.  With the default a
-    tile holds all features of its samples and finishes its pairs on its own.
-    Where single samples have millions of features, ``feature_buckets`` splits
-    tiles by feature as well and adds the partial amounts per pair.
+    ``cells`` has one row per sample, feature (and replicate).  Samples are cut into blocks and features into
+    chunks; the cells of a block, a chunk and a replicate are one packed record.  A task takes two blocks, and their
+    records stream by, replicate after replicate: it holds two records, the shared amounts of
+    one replicate and the running means.  So neither a sample with millions of features nor many
+    replicates make a task larger.  A pair counts in the replicates in which both samples have anything.
     """
     if kind not in ("bray", "jaccard"):
         raise ValueError(f"unknown dissimilarity {kind}")
-    keep = [sample, feature, value] + ([replicate] if replicate else [])
-    rows = cells.where(F.col(value) > 0).select(*keep)
-    if replicate:
-        rows = rows.withColumnRenamed(replicate, "__iter")
-    per_sample = (rows if sizing is None else sizing).groupBy(sample).agg(F.count("*").alias("n"))
-    needed = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SAMPLES)), F.ceil(F.sum("n") / F.lit(BLOCK_CELLS)), F.lit(1))
-    blocks = per_sample.agg(needed.alias("b")).scalar()
-    rows = rows.withColumn("__blocks", blocks).withColumn("__block", block_of(F.col(sample), F.col("__blocks")))
-    id_type = cells.schema[sample].dataType
-    double = T.DoubleType()
-    names = (sample, feature, value)
-    replicated = replicate is not None
-    iter_column = ["__iter"] if replicated else []
-    pair_fields = [T.StructField("id_a", id_type), T.StructField("id_b", id_type)]
-
-    if feature_buckets == 1:
-
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            sums = _tile_sums(pdf, names, kind, replicated)
-            sums[name] = _distance(sums["shared"], sums["total_a"], sums["total_b"], kind)
-            if not replicated:
-                return sums[["id_a", "id_b", name]]
-            return sums.groupby(["id_a", "id_b"], as_index=False)[name].mean()
-
-        tiled = rows.withColumn("__tile", F.explode(tiles_of(F.col("__block"), F.col("__blocks"))))
-        tiled = tiled.select(*names, *iter_column, "__block", F.col("__tile.p").alias("__p"), F.col("__tile.q").alias("__q"))
-        return spread(tiled, "__p", "__q").groupBy("__p", "__q").applyInPandas(finish, T.StructType([*pair_fields, T.StructField(name, double)]))
-
-    # a marker row per sample and bucket keeps pairs that never meet inside one bucket
-    weight = F.lit(1.0) if kind == "jaccard" else F.col(value).cast("double")
-    totals = rows.groupBy(sample, *iter_column, "__block", "__blocks").agg(F.sum(weight).alias("__total"))
-    marks = totals.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(feature_buckets - 1))))
-    marked = rows.withColumn("__bucket", F.pmod(F.xxhash64(feature), F.lit(feature_buckets)).cast("int")).withColumn(
-        "__total", F.lit(None).cast("double")
-    )
-    both = marked.unionByName(marks, allowMissingColumns=True)
-    tiled = both.withColumn("__tile", F.explode(tiles_of(F.col("__block"), F.col("__blocks"))))
-    tiled = tiled.select(
-        *names, *iter_column, "__block", "__bucket", "__total", F.col("__tile.p").alias("__p"), F.col("__tile.q").alias("__q")
-    )
-    partial_schema = T.StructType(
-        [*pair_fields, T.StructField("__iter", T.LongType())]
-        + [T.StructField(c, double) for c in ("shared", "total_a", "total_b")]
+    keep = [F.col(sample).alias("__sample"), F.col(feature).alias("__feature"), F.col(value).cast("double").alias("v")]
+    rows = cells.where(F.col(value) > 0).select(*keep, (F.col(replicate).cast("long") if replicate else F.lit(0).cast("long")).alias("r"))
+    rows = cut_lineage(rows)
+    samples, features = _numbers(rows, "__sample", "s"), _numbers(rows, "__feature", "f")
+    blocks = max(-(-samples.count() // BLOCK_SAMPLES), 1)
+    width = min(max(features.count(), 1), FEATURE_CHUNK)
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = rows.agg(F.count_distinct("r")).first()[0] if replicate else 1
+    # several tasks share the replicates of a tile only while there are fewer tiles than tasks
+    parts = max(min(draws, -(-2 * tasks // (blocks * (blocks + 1) // 2))), 1)
+    placed = rows.join(samples, "__sample").join(features, "__feature").select(
+        F.floor(F.col("s") / BLOCK_SAMPLES).cast("int").alias("block"), (F.col("s") % BLOCK_SAMPLES).cast("int").alias("s"),
+        F.floor(F.col("f") / FEATURE_CHUNK).cast("int").alias("chunk"), (F.col("f") % FEATURE_CHUNK).cast("int").alias("f"), "r", "v",
+    )
+    packed = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("r", T.LongType()), T.StructField("data", T.BinaryType())])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf["s"].to_numpy(np.int32).tobytes() + pdf["f"].to_numpy(np.int32).tobytes() + pdf["v"].to_numpy(np.float64).tobytes()
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "r": pdf["r"].iloc[:1], "data": [data]})
+
+    records = placed.groupBy("block", "chunk", "r").applyInPandas(pack, packed)
+    tile = F.explode(tiles_of(F.col("block"), F.lit(blocks)))
+    records = records.select(tile.alias("t"), F.pmod(F.col("r"), F.lit(parts)).cast("int").alias("part"), "r", "chunk", "block", "data")
+    ids = samples.groupBy(F.floor(F.col("s") / BLOCK_SAMPLES).cast("int").alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("s", "__sample"))), lambda x: x["__sample"]).alias("ids")
+    )  # BLOCK_SAMPLES names at most
+    records = records.select(F.col("t.p").alias("p"), F.col("t.q").alias("q"), "part", "r", "chunk", "block", "data").join(ids, "block")
+    kind_of_id = cells.schema[sample].dataType
+    schema = T.StructType(
+        [T.StructField("id_a", kind_of_id), T.StructField("id_b", kind_of_id), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())]
     )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q, part, r, chunk, block, data, names = (batch.column(c)[i].as_py() for c in order)
+                if tile is None or tile.key != (p, q, part):
+                    if tile is not None:
+                        yield tile.result(arrow)
+                    tile = _Tile((p, q, part), kind, width)
+                tile.take(r, chunk, block, data, names)
+        if tile is not None:
+            yield tile.result(arrow)
+
+    order = ["p", "q", "part", "r", "chunk", "block", "data", "ids"]
+    met = records.select(*order).repartition(tasks, "p", "q", "part").sortWithinPartitions(*order[:6]).mapInArrow(run, schema)
+    if parts > 1:
+        met = met.groupBy("id_a", "id_b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return met.select("id_a", "id_b", (F.col("total") / F.col("n")).alias(name))
+
+
+class _Tile:
+    """Running sums over the records of one pair of blocks, which come by replicate, chunk of features and block."""
+
+    def __init__(self, key: tuple, kind: str, width: int):
+        self.key, self.kind, self.width = key, kind, width
+        self.names: dict[int, list] = {}
+        self.at = None
+        self.sides: dict[int, np.ndarray] = {}
+        self.shared = np.zeros((BLOCK_SAMPLES, BLOCK_SAMPLES))
+        self.totals = {b: np.zeros(BLOCK_SAMPLES) for b in key[:2]}
+        self.total, self.n = np.zeros_like(self.shared), np.zeros(self.shared.shape, np.int64)
+
+    def take(self, r: int, chunk: int, block: int, data: bytes, names: list) -> None:
+        if self.at is not None and self.at != (r, chunk):
+            self.add()
+            if self.at[0] != r:
+                self.close()
+        self.at = (r, chunk)
+        self.names[block] = names
+        size = len(data) // 16
+        dense = np.zeros((len(names), self.width))
+        np.add.at(dense, (np.frombuffer(data, np.int32, size), np.frombuffer(data, np.int32, size, 4 * size)), np.frombuffer(data, np.float64, size, 8 * size))
+        self.sides[block] = dense
+
+    def add(self) -> None:
+        """The chunk's part of the shared amounts and totals."""
+        p, q = self.key[:2]
+        for block, dense in self.sides.items():
+            self.totals[block][: len(dense)] += (dense > 0).sum(axis=1) if self.kind == "jaccard" else dense.sum(axis=1)
+        if p in self.sides and q in self.sides:
+            self.shared[: len(self.sides[p]), : len(self.sides[q])] += _shared(self.sides[p], self.sides[q], self.kind)
+        self.sides = {}
+
+    def close(self) -> None:
+        """One replicate is complete: its distances enter the means."""
+        p, q = self.key[:2]
+        a, b = self.totals[p][:, None], self.totals[q][None, :]
+        both = (a > 0) & (b > 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            distance = _distance(self.shared, a, b, self.kind)
+        self.total += np.where(both, distance, 0.0)
+        self.n += both
+        self.shared[:] = 0
+        for block in (p, q):
+            self.totals[block][:] = 0
+
+    def result(self, arrow: pa.Schema) -> pa.RecordBatch:
+        self.add()
+        self.close()
+        p, q = self.key[:2]
+        known = np.triu(self.n, 1) if p == q else self.n
+        i, j = np.nonzero(known)
+        first, second = self.names.get(p, []), self.names.get(q, [])
+        columns = [[first[x] for x in i], [second[x] for x in j], self.total[i, j], self.n[i, j]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = pdf["__total"].notna()
-        known = pdf[marks]
-        # markers enter as one cell of a feature of their own that nobody shares
-        real = pdf[~marks]
-        lone = known.assign(**{value: 1.0, feature: ["__mark_" + str(i) for i in range(len(known))]})
-        lone[feature] = lone[feature].astype(object)
-        stacked = pd.concat([real.assign(**{feature: real[feature].astype(str)}), lone])
-        sums = _tile_sums(stacked, names, kind, replicated)
-        iters = known["__iter"].to_numpy() if replicated else np.zeros(len(known), dtype=np.int64)
-        total = pd.Series(known["__total"].to_numpy(), index=pd.MultiIndex.from_arrays([known[sample].to_numpy(), iters]))
-        for end in ("a", "b"):
-            where = pd.MultiIndex.from_arrays([sums[f"id_{end}"].to_numpy(), sums["__iter"].to_numpy()])
-            sums[f"total_{end}"] = total.reindex(where).to_numpy()
-        return sums
-
-    where = ["__p", "__q", "__bucket"]
-    partial = spread(tiled, *where).groupBy(*where).applyInPandas(part, partial_schema)
-    merged = partial.groupBy("id_a", "id_b", "__iter").agg(
-        F.sum("shared").alias("shared"), F.max("total_a").alias("total_a"), F.max("total_b").alias("total_b")
-    )
-    each = merged.withColumn(name, _distance(F.col("shared"), F.col("total_a"), F.col("total_b"), kind))
-    if not replicated:
-        return each.select("id_a", "id_b", name)
-    return each.groupBy("id_a", "id_b").agg(F.avg(name).alias(name))
+
+def _distance(shared, total_a, total_b, kind: str):
+    if kind == "jaccard":
+        return 1 - shared / (total_a + total_b - shared)
+    return 1 - 2 * shared / (total_a + total_b)
 
 
 def relation(a: Column, b: Column) -> Column:

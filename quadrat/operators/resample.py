@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.operators.rank import hash_rank, slice_digits
+from quadrat.operators.rank import hash_rank, number_rows, slice_digits
 from quadrat.session import spread
 
 
@@ -96,35 +96,59 @@ def rarefy(
     return kept.groupBy("iter", sample, feature).agg(F.sum("__n").alias(value))
 
 
-def _seed_of(*parts) -> int:
-    import hashlib
+#: Draws beyond this many standard deviations from the mean have a chance below 1e-30 and are left out of the sums.
+REACH = 12.0
 
-    return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
+def uniform(seed: int, *parts: Column | str) -> Column:
+    """A number in (0, 1) from the first 13 digits of the digest of the parts."""
+    return (F.conv(F.substring(digest(seed, *parts), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-#: The sampler of numpy takes totals below this; larger ones are drawn by the position of single reads.
-SAMPLER_TOTAL = 1_000_000_000
-#: Single reads drawn at once.
-DRAWN_READS = 1_000_000
 
+def hypergeometric(u: np.ndarray, total: np.ndarray, good: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """The smallest x of which the distribution reaches u: hits among ``take`` of ``total`` items of which ``good`` count.
 
-def draw_counts(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
-    """How many of ``take`` reads drawn without replacement are of each feature; exact for any total.
-
-    Beyond the total that numpy takes, distinct positions among all reads are drawn
-    piece by piece, each from what the pieces before left.
+    All arguments are arrays of one length.  The chances are summed over the whole support or, where that is
+    wide, over REACH standard deviations on either side of the mean.
+    """
+    total, good, take = (np.asarray(x, dtype=np.float64) for x in (total, good, take))
+    low, high = np.maximum(0.0, take - (total - good)), np.minimum(good, take)
+    mean = take * good / np.maximum(total, 1)
+    spread = np.sqrt(np.maximum(mean * (1 - good / np.maximum(total, 1)) * (total - take) / np.maximum(total - 1, 1), 0.0))
+    first = np.maximum(low, np.floor(mean - REACH * spread - REACH))
+    last = np.minimum(high, np.ceil(mean + REACH * spread + REACH))
+    out = np.empty(len(u), np.int64)
+    width = (last - first).astype(np.int64)
+    # rows of like width together, so that few cells of a block are idle
+    for level in np.unique(np.ceil(np.log2(width + 1)).astype(int)):
+        here = np.flatnonzero(np.ceil(np.log2(width + 1)).astype(int) == level)
+        for begin in range(0, len(here), max(1_000_000 >> level, 1)):
+            at = here[begin : begin + max(1_000_000 >> level, 1)]
+            n, g, k, begin_at, end_at = (v[at, None] for v in (total, good, take, first, last))
+            x = begin_at + np.arange(int(width[at].max()))
+            # the chance of x + 1 over that of x; beyond the last it is nothing
+            with np.errstate(divide="ignore"):
+                steps = np.log(np.where(x < end_at, (g - x) * (k - x) / ((x + 1) * np.maximum(n - g - k + x + 1, 1)), 0.0))
+            logs = np.concatenate([np.zeros((len(at), 1)), np.cumsum(steps, axis=1)], axis=1)
+            logs -= logs.max(axis=1, keepdims=True)
+            sums = np.cumsum(np.exp(logs), axis=1)
+            out[at] = (first[at] + (sums < u[at, None] * sums[:, -1:]).sum(axis=1)).astype(np.int64)
+    return np.minimum(out, last.astype(np.int64))
+
+
+def draw_counts(u: np.ndarray, counts: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """How many of ``take`` reads drawn without replacement are of each feature, for each draw (features x draws).
+
+    Feature after feature: what one takes is hypergeometric among the reads of it and all later features.
+    ``u`` holds a uniform number for each feature and draw.
     """
-    left = np.asarray(counts, dtype=np.int64).copy()
-    total = int(left.sum())
-    if 2 * take > total and total >= SAMPLER_TOTAL:
-        return left - draw_counts(rng, left, total - take)  # what stays behind is the smaller draw
-    out = np.zeros_like(left)
-    while take > 0 and total >= SAMPLER_TOTAL:
-        size = min(take, DRAWN_READS)
-        at = rng.choice(total, size, replace=False, shuffle=False)
-        got = np.bincount(np.searchsorted(np.cumsum(left), at, side="right"), minlength=len(left))
-        out, left, take, total = out + got, left - got, take - size, total - size
-    return out + rng.multivariate_hypergeometric(left, take, method="marginals") if take > 0 else out
+    left = np.full(len(take), int(counts.sum()), dtype=np.int64)
+    take = np.asarray(take, dtype=np.int64).copy()
+    out = np.zeros((len(counts), len(take)), dtype=np.int64)
+    for i, own in enumerate(counts):
+        got = hypergeometric(u[i], left, np.full(len(take), own), take)
+        out[i], left, take = got, left - int(own), take - got
+    return out
 
 
 def rarefy_draw(
@@ -135,45 +159,40 @@ def rarefy_draw(
     depth: Column,
     iterations: int,
     seed: int = 1,
-    bucket_features: int = 100_000,
+    bucket_features: int = 1000,
 ) -> DataFrame:
-    """The same kind of draw from the counts themselves, in time linear in the cells.
+    """``depth`` reads per sample without replacement, ``iterations`` times, drawn from the counts themselves.
 
-    Use it when reads are too many to be looked at one by one.  The features of a
-    sample are split into hash buckets of bounded size; a hypergeometric draw
-    shares the depth among the buckets, then each bucket draws on its own, which
-    is the same distribution as one draw over all features.  Seeds derive from the
-    keys, so a retried task draws the same reads.
+    Time follows the cells and the draws, not the reads.  The features of a sample are numbered in their order and cut
+    into buckets of bounded size; a first draw shares the depth among the buckets, in their order, then each
+    bucket draws on its own, which is the same distribution as one draw over all features.  A draw
+    inverts the distribution at a uniform number that is a digest of seed, draw, sample and feature, so it is
+    the same on every engine and retry.  Samples below ``depth`` drop out.
     """
-    stats = cells.where(F.col(value) > 0).groupBy(sample).agg(F.sum(value).alias("__total"), F.count("*").alias("__n"))
+    known = cells.where(F.col(value) > 0).select(sample, feature, F.col(value).cast("long").alias("__c"))
+    stats = known.groupBy(sample).agg(F.sum("__c").alias("__total"), F.count("*").alias("__n"))
     deep = stats.withColumn("__depth", depth.cast("long")).where("__total >= __depth")
-    buckets = F.ceil(F.col("__n") / F.lit(bucket_features))
-    base = (
-        cells.where(F.col(value) > 0)
-        .join(deep.withColumn("__buckets", buckets).drop("__total", "__n"), sample)
-        .withColumn("__bucket", F.pmod(F.xxhash64(feature), F.col("__buckets")))
-    )
+    # numbers inside a sample come from a sort by ranges, so no task orders a whole sample
+    placed = number_rows(known.join(deep, sample), [sample, feature], "__r")
+    first = placed.groupBy(sample).agg((F.min("__r")).alias("__first"))
+    base = placed.join(first, sample).withColumn("__bucket", F.floor((F.col("__r") - F.col("__first")) / bucket_features))
+    base = base.select(sample, feature, "__c", "__n", "__depth", "__bucket")
     sample_type, feature_type = cells.schema[sample].dataType, cells.schema[feature].dataType
     share_schema = T.StructType(
-        [T.StructField(sample, sample_type), T.StructField("__bucket", T.LongType())]
-        + [T.StructField("__take", T.ArrayType(T.LongType()))]
+        [T.StructField(sample, sample_type), T.StructField("__bucket", T.LongType()), T.StructField("__take", T.ArrayType(T.LongType()))]
     )
-
-    def draw(counts: np.ndarray, take: int, key: tuple) -> np.ndarray:
-        return draw_counts(np.random.default_rng(_seed_of(seed, *key)), counts, take)
+    each = F.sequence(F.lit(1), F.lit(iterations))
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__bucket")
-        name, want = rows[sample].iloc[0], int(rows["__depth"].iloc[0])
-        counts = rows["__reads"].to_numpy()
-        takes = np.stack([draw(counts, want, ("share", i, name)) for i in range(1, iterations + 1)], axis=1)
+        takes = draw_counts(np.stack(rows["__u"].to_list()), rows["__reads"].to_numpy(), np.full(iterations, int(rows["__depth"].iloc[0])))
         return pd.DataFrame({sample: rows[sample].to_numpy(), "__bucket": rows["__bucket"].to_numpy(), "__take": list(takes)})
 
     # most samples fit one bucket, which takes the whole depth; only the others need a draw among buckets
-    split = base.where(F.col("__buckets") > 1)
-    bucket_totals = split.groupBy(sample, "__depth", "__bucket").agg(F.sum(value).alias("__reads"))
-    shares = spread(bucket_totals, sample).groupBy(sample).applyInPandas(share, share_schema)
-    whole = deep.where(buckets == 1).select(
+    split = base.where(F.col("__n") > bucket_features).groupBy(sample, "__depth", "__bucket").agg(F.sum("__c").alias("__reads"))
+    split = split.withColumn("__u", F.transform(each, lambda i: uniform(seed, i, F.col(sample), F.lit("bucket"), F.col("__bucket"))))
+    shares = spread(split, sample).groupBy(sample).applyInPandas(share, share_schema)
+    whole = deep.where(F.col("__n") <= bucket_features).select(
         sample, F.lit(0).cast("long").alias("__bucket"), F.array_repeat("__depth", F.lit(iterations)).alias("__take")
     )
     shares = shares.unionByName(whole)
@@ -188,15 +207,14 @@ def rarefy_draw(
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(feature)
-        name, bucket = rows[sample].iloc[0], rows["__bucket"].iloc[0]
-        counts, taxa = rows[value].to_numpy(), rows[feature].to_numpy()
-        takes = rows["__take"].iloc[0]
-        drawn = np.stack([draw(counts, int(takes[i - 1]), ("pick", i, name, bucket)) for i in range(1, iterations + 1)])
-        i, j = np.nonzero(drawn)
-        return pd.DataFrame({"iter": (i + 1).astype("int32"), sample: name, feature: taxa[j], value: drawn[i, j]})
+        taxa = rows[feature].to_numpy()
+        drawn = draw_counts(np.stack(rows["__u"].to_list()), rows["__c"].to_numpy(), np.asarray(rows["__take"].iloc[0]))
+        j, i = np.nonzero(drawn)
+        return pd.DataFrame({"iter": (i + 1).astype("int32"), sample: rows[sample].iloc[0], feature: taxa[j], value: drawn[j, i]})
 
-    together = base.select(sample, feature, value, "__bucket").join(shares, [sample, "__bucket"])
-    return spread(together, sample, "__bucket").groupBy(sample, "__bucket").applyInPandas(pick, out_schema)
+    together = base.select(sample, feature, "__c", "__bucket").join(shares, [sample, "__bucket"])
+    together = spread(together, sample, "__bucket").withColumn("__u", F.transform(each, lambda i: uniform(seed, i, F.col(sample), F.col(feature))))
+    return together.groupBy(sample, "__bucket").applyInPandas(pick, out_schema)
 
 
 def replicate_mean(drawn: DataFrame, sample: str, feature: str, value: str, iterations: int, distinct_values: bool = False):
@@ -245,6 +263,29 @@ def permutation_sql(source: str, key: str, carried: list[str], count: int, seed:
 
 
 def rarefy_sql(source: str, depth: str, iterations: int, seed: int = 1, name: str = "rare") -> str:
+    """The draw from counts as recursive SQL, for samples whose features fit one bucket: feature after feature."""
+    pmf = "exp({top} - lgamma(x + 1) - lgamma(own - x + 1) - lgamma(take - x + 1) - lgamma(rest - own - take + x + 1))"
+    top = "lgamma(own + 1) + lgamma(take + 1) + lgamma(rest - own + 1) + lgamma(rest - take + 1) - lgamma(rest + 1)"
+    return f"""{name}_cells as (select sample, feature, cast(reads as bigint) as own, row_number() over (partition by sample order by feature) as i,
+  cast(sum(reads) over (partition by sample) as bigint) as total from {source} where reads > 0),
+{name}_chain as (
+  select cast(iter as integer) as iter, sample, cast(0 as bigint) as i, any_value(feature) as feature, any_value(total) as rest, cast(any_value(dep) as bigint) as take,
+         cast(0 as bigint) as got
+  from {name}_cells, ({depth}) t(dep), (select unnest(range(1, {iterations + 1})) as iter) where total >= dep group by iter, sample
+  union all
+  select iter, sample, i, feature, rest - own, take - got, got from (
+    select iter, sample, i, feature, own, rest, take,
+           cast(low + list_sum(list_transform(range(1, len(chances) + 1), lambda n: case when list_sum(chances[1:n]) < u * list_sum(chances) then 1 else 0 end)) as bigint) as got
+    from (select *, list_transform(range(low, least(own, take) + 1), lambda x: {pmf.format(top=top)}) as chances from (
+      select k.iter, k.sample, c.i, c.feature, c.own, k.rest, k.take, greatest(0, k.take - (k.rest - c.own)) as low,
+             (('0x' || substr(md5('{seed}|' || k.iter || '|' || k.sample || '|' || c.feature), 1, 13))::bigint + 0.5) / 4503599627370496.0::double as u
+      from {name}_chain k join {name}_cells c on c.sample = k.sample and c.i = k.i + 1))
+  )
+),
+{name} as (select iter, sample, feature, got as reads from {name}_chain where i > 0 and got > 0)"""
+
+
+def rarefy_digest_sql(source: str, depth: str, iterations: int, seed: int = 1, name: str = "rare") -> str:
     """The digest draw as SQL: every read ordered, the first ``depth`` kept."""
     return f"""{name}_units as (
   select sample, feature, iter, md5('{seed}|' || iter || '|' || sample || '|' || feature || '|' || unit) as h, unit, dep

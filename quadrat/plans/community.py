@@ -78,7 +78,7 @@ def community_statistics(
     metrics = diversity.alpha_long(diversity.alpha(drawn, ["iter", NEST], "reads"), ["iter", NEST])
     alpha = diversity.replicate_summary(metrics, [NEST, "metric"]).join(members.select(NEST, "group"), NEST)
     mean = resample.replicate_mean(drawn, NEST, "asv_name", "reads", iterations)
-    bray = cut_lineage(pairs.community_distance(drawn, NEST, "asv_name", "reads", "bray", replicate="iter", sizing=cells))
+    bray = cut_lineage(pairs.community_distance(drawn, NEST, "asv_name", "reads", "bray", replicate="iter"))
     geo = pairs.geographic_distance(coordinates.join(members.select(NEST), NEST, "left_semi"), NEST, "latitude", "longitude")
     centroid = inference.centroid_distances(bray, members, NEST, "group", "distance")
     return {

@@ -10,7 +10,7 @@ from quadrat.operators.reshape import roll_up
 from quadrat.plans import views
 from quadrat.plans.registry import query, rounded, rsql
 
-ITERATIONS = 3
+ITERATIONS = 100
 SEED = 11
 
 # fewest reads of any sample: the depth all samples are drawn down to
@@ -24,10 +24,10 @@ def min_depth_of(cells):
 
 def rarefied(spark, d, iterations: int = ITERATIONS):
     cells = views.reads(spark, d)
-    return resample.rarefy(cells, "sample", "feature", "reads", min_depth_of(cells), iterations, SEED)
+    return resample.rarefy_draw(cells, "sample", "feature", "reads", min_depth_of(cells), iterations, SEED)
 
 
-RARE_SQL = f"{views.READS}, {resample.rarefy_sql('reads', _DEPTH_SQL, ITERATIONS, SEED)}"
+RARE_SQL = f"recursive {views.READS}, {resample.rarefy_sql('reads', _DEPTH_SQL, ITERATIONS, SEED)}"
 
 
 # ---------------------------------------------------------------- filters and cohorts
@@ -265,7 +265,7 @@ def alpha_diversity(spark, d):
 
 @query(
     "rarefy_once",
-    f"with {views.READS}, {resample.rarefy_sql('reads', _DEPTH_SQL, 1, SEED)} select sample, feature, reads from rare",
+    f"with recursive {views.READS}, {resample.rarefy_sql('reads', _DEPTH_SQL, 1, SEED)} select sample, feature, reads from rare",
 )
 def rarefy_once(spark, d):
     return rarefied(spark, d, 1).select("sample", "feature", "reads")
@@ -295,10 +295,17 @@ def rarefy_mean_distinct(spark, d):
     return out.withColumn("mean_reads", rounded("mean_reads"))
 
 
-@query("rarefy_draw")
-def rarefy_draw(spark, d):
+#: Draws of the digest form, which orders single reads: exact as well, but its work grows with reads x draws.
+DIGEST_DRAWS = 3
+
+
+@query(
+    "rarefy_digest",
+    f"with {views.READS}, {resample.rarefy_digest_sql('reads', _DEPTH_SQL, DIGEST_DRAWS, SEED)} select iter, sample, feature, reads from rare",
+)
+def rarefy_digest(spark, d):
     cells = views.reads(spark, d)
-    return resample.rarefy_draw(cells, "sample", "feature", "reads", min_depth_of(cells), ITERATIONS, SEED)
+    return resample.rarefy(cells, "sample", "feature", "reads", min_depth_of(cells), DIGEST_DRAWS, SEED)
 
 
 _REPLICATES = " union all ".join(

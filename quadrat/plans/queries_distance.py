@@ -69,7 +69,7 @@ def pairwise_jaccard(spark, d):
 
 def _averaged(spark, d, kind):
     out = pairs.community_distance(
-        rarefied(spark, d), "sample", "feature", "reads", kind, replicate="iter", sizing=views.reads(spark, d)
+        rarefied(spark, d), "sample", "feature", "reads", kind, replicate="iter"
     )
     return out.withColumn("distance", rounded("distance"))
 

@@ -106,11 +106,12 @@ def brute(kind):
 
 
 @pytest.mark.parametrize("kind", ["bray", "jaccard"])
-@pytest.mark.parametrize("buckets", [1, 3])
+@pytest.mark.parametrize("chunk", [1, 4096])
 @pytest.mark.parametrize("block", [2, 256])
-def test_community_distance(cells, monkeypatch, kind, buckets, block):
+def test_community_distance(cells, monkeypatch, kind, chunk, block):
     monkeypatch.setattr(pairs, "BLOCK_SAMPLES", block)
-    out = pairs.community_distance(cells, "sample", "feature", "reads", kind, feature_buckets=buckets)
+    monkeypatch.setattr(pairs, "FEATURE_CHUNK", chunk)
+    out = pairs.community_distance(cells, "sample", "feature", "reads", kind)
     got = {(r["id_a"], r["id_b"]): r["distance"] for r in out.collect()}
     want = brute(kind)
     assert got.keys() == want.keys()
@@ -118,14 +119,23 @@ def test_community_distance(cells, monkeypatch, kind, buckets, block):
     assert got["s1", "s4"] == pytest.approx(0) and got["s1", "s3"] == 1
 
 
-def test_replicated_distance_is_a_mean(spark, cells):
-    twice = cells.withColumn("it", F.lit(1)).unionByName(
-        cells.withColumn("it", F.lit(2)).withColumn("reads", F.when(F.col("sample") == "s2", F.col("reads") * 3).otherwise(F.col("reads")))
-    )
-    one = pairs.community_distance(twice, "sample", "feature", "reads", "bray", replicate="it")
-    split = pairs.community_distance(twice, "sample", "feature", "reads", "bray", replicate="it", feature_buckets=2)
-    a, b = ({(r[0], r[1]): r[2] for r in t.collect()} for t in (one, split))
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_replicated_distance_is_a_mean(spark, monkeypatch, chunk):
+    """Many replicates and a sample with far more features than a chunk; a sample missing in a replicate takes no part in it."""
+    monkeypatch.setattr(pairs, "FEATURE_CHUNK", chunk)
+    monkeypatch.setattr(pairs, "BLOCK_SAMPLES", 3)
+    rng = np.random.default_rng(9)
+    samples, features, draws = 7, 60, 9
+    counts = rng.integers(0, 4, (draws, samples, features)) * (rng.random((draws, samples, features)) < 0.3)
+    counts[:, 0] = 1
+    counts[3, 2] = 0
+    rows = [(int(k), f"s{i}", int(j), int(counts[k, i, j])) for k, i, j in zip(*np.nonzero(counts), strict=True)]
+    out = pairs.community_distance(spark.createDataFrame(rows, "it int, s string, f long, n long"), "s", "f", "n", "bray", replicate="it")
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in out.collect()}
+    assert len(got) == samples * (samples - 1) // 2
+    for a, b in itertools.combinations(range(samples), 2):
+        each = [1 - 2 * np.minimum(c[a], c[b]).sum() / (c[a].sum() + c[b].sum()) for c in counts if c[a].sum() and c[b].sum()]
+        assert got[f"s{a}", f"s{b}"] == pytest.approx(np.mean(each))
 
 
 def test_all_pairs_once(spark):
@@ -168,12 +178,38 @@ def test_draw_of_any_size():
     rng = np.random.default_rng(2)
     counts = np.array([3 * 10**12, 10**12, 0, 5, 2 * 10**12])
     for take in (0, 7, 2_500_000, int(counts.sum()) - 9):
-        got = resample.draw_counts(rng, counts, take)
-        assert got.sum() == take and (got <= counts).all() and (got >= 0).all()
-    share = resample.draw_counts(rng, counts, 2_500_000) / 2_500_000
+        got = resample.draw_counts(rng.random((5, 3)), counts, np.full(3, take))
+        assert (got.sum(axis=0) == take).all() and (got <= counts[:, None]).all() and (got >= 0).all()
+    share = resample.draw_counts(rng.random((5, 1)), counts, np.array([2_500_000]))[:, 0] / 2_500_000
     assert np.abs(share - counts / counts.sum()).max() < 0.003
 
 
+def test_hypergeometric_inverts_the_distribution():
+    """Against exact sums of binomials, at every number where the distribution steps."""
+    for total, good, take in ((10, 4, 5), (30, 29, 7), (50, 1, 50), (400, 180, 150), (7, 0, 3), (5, 5, 2), (9, 3, 0)):
+        low, high = max(0, take - total + good), min(good, take)
+        chances = [math.comb(good, x) * math.comb(total - good, take - x) / math.comb(total, take) for x in range(low, high + 1)]
+        upto = np.cumsum(chances)
+        for x, (top, chance) in enumerate(zip(upto, chances, strict=True)):
+            if chance > 1e-9:
+                u = np.array([top - chance * 0.999, top - chance * 0.5, top - chance * 0.001])
+                full = [np.full(3, v) for v in (total, good, take)]
+                assert (resample.hypergeometric(u, *full) == low + x).all()
+
+
+def test_draws_have_the_means_and_spreads_of_the_distribution(spark):
+    counts = [40, 25, 3, 1, 31]
+    cells = spark.createDataFrame([("s", f"f{i}", n) for i, n in enumerate(counts)], "sample string, feature string, reads long")
+    for size in (2, 1000):
+        drawn = resample.rarefy_draw(cells, "sample", "feature", "reads", F.lit(30), 800, seed=5, bucket_features=size)
+        got = {r["feature"]: r for r in drawn.groupBy("feature").agg(F.sum("reads").alias("n"), F.sum(F.col("reads") * F.col("reads")).alias("nn")).collect()}
+        for i, n in enumerate(counts):
+            mean, p = 30 * n / 100, n / 100
+            var = 30 * p * (1 - p) * 70 / 99
+            assert abs(got[f"f{i}"]["n"] / 800 - mean) < 5 * (var / 800) ** 0.5
+            assert got[f"f{i}"]["nn"] / 800 - (got[f"f{i}"]["n"] / 800) ** 2 == pytest.approx(var, rel=0.25)
+
+
 def test_geodesic_of_far_points():
     series = lambda *v: pd.Series(v, dtype=float)
     far = geodesic.func(series(0, 0, 90, 30), series(0, 0, 0, 0), series(0.5, 0, -90, -30), series(179.7, 180, 0, 180))
