@@ -29,12 +29,24 @@ def local_session(cores: int | str = 8, app: str = "quadrat", **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that every executor can reach.
+    """The folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it.  Where that is unset, as in tests, a folder of the
-    warehouse serves, which is shared as well.
+    On one machine, as in tests, a folder of the warehouse serves where it is unset.  On a cluster
+    that would be a folder of the driver alone, so there it is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
