@@ -33,11 +33,16 @@ CHUNK = 1 << 20
 #: Symbols: 0 is whatever is no letter, the others are bytes of lower-case letters by falling count.
 SYMBOLS = 64
 _NO_LETTERS = re.compile(r"[\W\d_]+")
+#: What \w takes for a part of a word although it is neither a letter nor a decimal digit: fractions, superscripts, Roman numerals.
+_NUMBER_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-case letters of a text in UTF-8, runs of anything else as one space; one space at either end."""
-    return b" " + _NO_LETTERS.sub(" ", (text or "").lower()).strip().encode() + b" "
+    found = _NO_LETTERS.sub(" ", (text or "").lower())
+    if not found.isascii():
+        found = _NUMBER_SIGNS.sub(" ", found)
+    return b" " + found.strip().encode() + b" "
 
 
 @dataclass(frozen=True)

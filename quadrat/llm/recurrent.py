@@ -38,7 +38,7 @@ HEAD = 1 << 18
 #: Lanes that are stepped together, steps after which backpropagation is cut off, and steps of a window in scoring.
 LANES, STEPS, SCORE_STEPS = 512, 32, 96
 #: A task that learns from few tokens has fewer lanes, so that it still has about this many windows.
-LEAST_WINDOWS = 100
+LEAST_WINDOWS = 60
 #: Tokens of the texts that a task packs into lanes at once.
 PACK_TOKENS = 3_000_000
 #: Adagrad's step; rounds end where these shares of the training fold have been read.
@@ -230,7 +230,7 @@ def output(w: Weights, states: np.ndarray, target: np.ndarray, grads: Weights |
     """Log-probability (natural) of each target; with ``grads`` also the gradient of the states, and of the output weights in ``grads``."""
     kind = (target + IN_CLASS - 1) // IN_CLASS
     # tokens of one class side by side
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")  # small numbers are sorted in linear time
     kind, target, states = kind[order], target[order], states[order]
     ends = np.searchsorted(kind, np.arange(CLASSES + 1))
     error, found = _softmax(states, w["Wc"], w["bc"], kind, grads is not None)
@@ -279,7 +279,7 @@ def backward(w: Weights, before: np.ndarray, kept: dict[str, np.ndarray], back:
         carried = (d * (1 - z) + of_state[t] @ turned) * kept["on"][t]
     grads["U"] = kept["from"].reshape(-1, hidden).T @ of_state.reshape(-1, 3 * hidden)
     ids = np.where(before < 0, END, before).ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.int16), kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     grads["X"] = np.zeros_like(w["X"])

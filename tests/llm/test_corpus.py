@@ -349,3 +349,16 @@ def test_near_copies_unlike_the_smallest_key(spark):
     out = substring.repeated_passages(spark.createDataFrame(families(40), "doc_id long, text string")).collect()
     linked = {(r.first_doc_id, r.doc_id) for r in out}
     assert len(linked & {(10 * i + 4, 10 * i + 5) for i in range(40)}) >= 38
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, rows without an id and two texts of one id, as a table that is read twice."""
+    import corpus_pipeline
+
+    other = " ".join(reversed(PROSE.split()))
+    rows = [(1, PROSE), (1, PROSE), (None, PROSE), (None, PROSE), (2, PROSE), (3, other), (3, other + " and some more"), (None, ""), (None, ""), (4, None), (4, None), (5, "one two")]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __n string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out)
+    assert [k[:2] for k in kept] == [(False, 1), (False, 3), (False, 4), (False, 4), (False, 5), (True, 0), (True, 0)]
+    assert kept[0][2] == PROSE and kept[1][2] in (other, other + " and some more")

@@ -275,3 +275,10 @@ def test_pairs_inside_long_literals():
     for text in (f'note = """\n{inside}\n"""', f'note = "{"word " * 200}{inside}"', f"note={'x' * 600};{inside}"):
         assert [text[a:b] for _, a, b in secrets.lexed_spans(text)] == ["aB3$xY7!kL9@"]
     assert secrets.lexed_spans(f"-----BEGIN PUBLIC KEY-----\n{LONG[:600]}\n-----END PUBLIC KEY-----") == []
+
+
+def test_number_signs_are_no_letters(spark):
+    model = language.train(spark.createDataFrame([("plain words of one", "en"), ("andere worte von zwei", "de")], "text string, lang string"))
+    for text in ("½²", "Ⅷ ⅓", "12 ³ _ !", "①"):
+        assert language.letters(text) == b"  " and language.best_of(text, model) == ("und", 0.0)
+    assert language.letters("x²y ﬁ ª一") == " x y ﬁ ª一 ".encode()
