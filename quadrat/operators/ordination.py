@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 from quadrat.operators.pairs import BLOCK_SAMPLES, block_of
 from quadrat.session import cut_lineage
 
+#: Directions in which each group's extremes are taken.
+DIRECTIONS = 16
 #: Points that one task takes a hull of at once.
 HULL_POINTS = 100_000
 
@@ -153,6 +157,8 @@ def pcoa(
         if settled:
             break
         base, matrix = moved, whitener(own)
+    else:
+        warnings.warn(f"principal coordinates have not settled to {tolerance:g} in {rounds} rounds", RuntimeWarning, stacklevel=2)
     kept = [i for i in range(axes) if previous[i] > 0]
     scale = [float(np.sqrt(previous[i])) for i in kept]
     score_schema = T.StructType([members.schema[key]] + [T.StructField(f"axis{i + 1}", T.DoubleType()) for i in kept])
@@ -224,16 +230,43 @@ def hull_points(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+def _outer(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """The points that aren't clearly inside the polygon of the extremes of their group."""
+    angles = [2 * np.pi * i / DIRECTIONS for i in range(DIRECTIONS)]
+    along = [F.col(x) * float(np.cos(a)) + F.col(y) * float(np.sin(a)) for a in angles]
+    far = points.groupBy(group).agg(*[F.max(v).alias(f"__m{i}") for i, v in enumerate(along)]).withColumnRenamed(group, "__group")
+    same = F.col(group).eqNullSafe(F.col("__group"))
+    reached = F.filter(F.array(*[F.when(v >= F.col(f"__m{i}"), F.lit(i)) for i, v in enumerate(along)]), lambda i: i.isNotNull())
+    # a few rows of each group: one of those that reach furthest in each direction
+    ends = points.join(far, same).select("__group", F.col(x).alias("x"), F.col(y).alias("y"), F.explode(reached).alias("i"))
+    ends = ends.groupBy("__group", "i").agg(F.min(F.struct("x", "y")).alias("p"))
+    polygon = ends.groupBy("__group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda e: e["p"]).alias("__p"))
+    after = F.transform("__p", lambda p, i: F.struct(p.alias("a"), F.element_at("__p", F.pmod(i + 1, F.size("__p")) + 1).alias("b")))
+    edges = F.filter(after, lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
+    polygon = cut_lineage(polygon.select("__group", edges.alias("__edges")))
+
+    def left_of(e):
+        along_x, along_y = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        off_x, off_y = F.col(x) - e["a"]["x"], F.col(y) - e["a"]["y"]
+        # clearly left: by more than rounding could make of nothing
+        return along_x * off_y - along_y * off_x > 1e-9 * (F.abs(along_x * off_y) + F.abs(along_y * off_x))
+
+    inside = (F.size("__edges") >= 3) & F.forall("__edges", left_of)
+    return points.join(polygon, same, "left").where(~F.coalesce(inside, F.lit(False))).select(points.columns)
+
+
 def group_hull(points: DataFrame, group: str, key: str, x: str, y: str, size: int = HULL_POINTS) -> DataFrame:
     """Corners of the convex hull of every group, numbered counter-clockwise; a corner that several keys share has the smallest.
 
-    A corner of the whole is a corner of any part that has it.  So hulls are first taken
+    Points strictly inside the polygon of each group's extremes in ``DIRECTIONS`` directions can't be corners; they are
+    dropped by built-in functions.  A corner of the whole is a corner of any part that has it.  So hulls are first taken
     of the batches in which the points are read, then of parts of about ``size`` of the
     corners that are left, and last of each group.
     """
     schema = T.StructType([points.schema[c] for c in (group, key, x, y)])
     final = T.StructType([*schema.fields, T.StructField("corner", T.IntegerType())])
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, key, x, y)
+    known = _outer(known, group, x, y)
 
     def part(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key).drop_duplicates([x, y])
@@ -249,7 +282,7 @@ def group_hull(points: DataFrame, group: str, key: str, x: str, y: str, size: in
         out = part(rows)
         return out.assign(corner=np.arange(1, len(out) + 1, dtype="int32"))
 
-    corners = known.mapInPandas(batches, schema)
+    corners = cut_lineage(known.mapInPandas(batches, schema))
     sizes = corners.groupBy(group).agg(F.ceil(F.count("*") / F.lit(size)).alias("__parts")).withColumnRenamed(group, "__group")
     salted = corners.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).withColumn("__salt", F.pmod(F.xxhash64(x, y), F.col("__parts")))
     return salted.groupBy(group, "__salt").applyInPandas(part, schema).groupBy(group).applyInPandas(whole, final)

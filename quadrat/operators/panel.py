@@ -275,16 +275,24 @@ def first_value(panel: DataFrame, entity: str, order: str, value: str, name: str
 ORDINALS = ["first", "second", "third"]
 
 
-def kth_event_columns(
-    panel: DataFrame, entity: str, date: str, flag: Column, value: str, prefix: str, suffix: str
-) -> tuple[DataFrame, DataFrame]:
-    """The first three flagged days of each entity: their values as columns, and the ordinal per day."""
-    hits = first_k_rows(panel.where(flag), [entity], [F.col(date)], len(ORDINALS), "k")
-    order = hits.select(entity, date, first_match([(F.col("k") == i + 1, o) for i, o in enumerate(ORDINALS)]).alias("ordinal"))
-    values = hits.groupBy(entity).agg(
-        *[F.max(F.when(F.col("k") == i + 1, F.col(value))).alias(f"{prefix}{o}{suffix}") for i, o in enumerate(ORDINALS)]
-    )
-    return values, order
+def with_kth_events(
+    panel: DataFrame, entity: str, date: str, flag: Column, value: str, prefix: str, suffix: str, ordinal: str = "ordinal"
+) -> DataFrame:
+    """The rows with the values of their entity's first three flagged rows as columns, and the ordinal of a flagged row.
+
+    Flagged rows are numbered by date and value, so two of one day have two ordinals and no row is doubled.
+    Rows without an entity are kept and have neither.
+    """
+    known = panel.where(F.col(entity).isNotNull())
+    upto = W.partitionBy(entity).orderBy(date, value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # the window holds what an entity's calendar holds, and streams
+    numbered = known.withColumn("__k", F.when(flag, F.count(F.when(flag, F.lit(1))).over(upto)))
+    first = [F.max(F.when(F.col("__k") == i + 1, F.col(value))).alias(f"{prefix}{o}{suffix}") for i, o in enumerate(ORDINALS)]
+    values = numbered.where(F.col("__k") <= len(ORDINALS)).groupBy(entity).agg(*first)
+    name = first_match([(F.col("__k") == i + 1, o) for i, o in enumerate(ORDINALS)]).alias(ordinal)
+    found = numbered.join(values, entity, "left")
+    out = found.select(*[found[c] for c in panel.columns], *values.columns[1:], name)
+    return out.unionByName(panel.where(F.col(entity).isNull()), allowMissingColumns=True)
 
 
 def audit_note(*notes: Column) -> Column:

@@ -112,6 +112,29 @@ def permanova_statistics(
     )
 
 
+def group_tests(
+    tables: dict[str, DataFrame], comparisons: dict[str, tuple[DataFrame, str]], key: str, distance: str, count: int, seed: int = 1
+) -> DataFrame:
+    """Dispersion and differences of centroids, one row for each pair table and comparison.
+
+    ``comparisons`` maps a name to the samples that take part and the column that groups them.  ``dispersion_*``
+    is the analysis of variance of the distances to the group centroids; the others are those of :func:`permanova`.
+    Each pair table is written once, whatever the number of comparisons.
+    """
+    from quadrat.operators import inference
+
+    rows = []
+    for table, pairs in tables.items():
+        pairs = cut_lineage(pairs.select("id_a", "id_b", distance))
+        for name, (members, group) in comparisons.items():
+            members = cut_lineage(members.select(key, group))
+            spread_of = inference.one_way(inference.centroid_distances(pairs, members, key, group, distance), [], group, "z")
+            spread_of = spread_of.select(*[F.col(c).alias(f"dispersion_{c}") for c in ("df1", "df2", "f", "p_value")])
+            test = permanova(pairs, members, key, group, distance, count, seed).drop("ss_total", "ss_within")
+            rows.append(beside(test, spread_of, []).select(F.lit(table).alias("distance"), F.lit(name).alias("comparison"), "*"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # ---------------------------------------------------------------- indicator values
 
 

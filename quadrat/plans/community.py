@@ -18,10 +18,9 @@ def swab_history(observed: DataFrame) -> dict[str, DataFrame]:
     rows = observed.join(first, NEST, "left")
     swabbed = panel.entities_where(rows, NEST, F.col("host_swab") == "yes")
     kept = joins.keep_members(rows, swabbed, NEST)
-    values, order = panel.kth_event_columns(
-        kept, NEST, "date", F.col("host_swab") == "yes", "num_host_egg", "num_eggs_", "_host_swab"
+    out = panel.with_kth_events(
+        kept, NEST, "date", F.col("host_swab") == "yes", "num_host_egg", "num_eggs_", "_host_swab", "host_swab_order"
     )
-    out = kept.join(values, NEST, "left").join(order.withColumnRenamed("ordinal", "host_swab_order"), [NEST, "date"], "left")
     return {"swab_nests": out, "not_swabbed": joins.drop_members(rows, swabbed, NEST)}
 
 

@@ -350,12 +350,8 @@ def fact_dim_full(spark, d):
 def kth_event_pivot(spark, d):
     log = views.visits(spark, d)
     hit = F.col("swab") & (F.col("hatch") > 0)
-    values, order = panel.kth_event_columns(log, "entity", "date", hit, "eggs", "eggs_", "_swab")
-    return (
-        log.select("entity", "date", "eggs")
-        .join(values, "entity", "left")
-        .join(order, ["entity", "date"], "left")
-    )
+    out = panel.with_kth_events(log, "entity", "date", hit, "eggs", "eggs_", "_swab")
+    return out.select("entity", "date", "eggs", *[f"eggs_{o}_swab" for o in panel.ORDINALS], "ordinal")
 
 
 @query(

@@ -9,7 +9,7 @@ from quadrat.operators import composition, mantel, pairs, permutation, reshape
 from quadrat.operators.resample import permutation_sql
 from quadrat.plans import views
 from quadrat.plans.queries_composition import ALPHA_SQL, _alpha, _with_taxonomy
-from quadrat.plans.queries_distance import _METRIC_SQL, BRAY_SQL, GEO_SQL, bray, geo
+from quadrat.plans.queries_distance import _METRIC_SQL, BRAY_SQL, GEO_SQL, bray, geo, jaccard_sql
 from quadrat.plans.registry import query, rounded, rsql
 from quadrat.session import cut_lineage
 
@@ -114,8 +114,7 @@ def indval_report(spark, d):
 
 # ---------------------------------------------------------------- centroids and dispersion
 
-_PERMANOVA = f"""{BRAY_SQL}, {views.META}, labels as (select sample, site from meta),
-{permutation_sql('labels', 'sample', ['site'], N_PERM, SEED)},
+_PERMANOVA_STEPS = f"""{permutation_sql('labels', 'sample', ['site'], N_PERM, SEED)},
 sizes as (select site, count(*) as n from labels group by 1),
 shape as (select count(*) as k, cast(sum(n) as bigint) as n from sizes),
 total as (select sum(distance * distance) / any_value(shape.n) as ss_total from bray, shape),
@@ -123,6 +122,7 @@ within as (select a.perm, sum(b.distance * b.distance / s.n) as ss_within from b
   join perms c on b.id_b = c.sample and a.perm = c.perm and a.site = c.site join sizes s on a.site = s.site group by 1),
 stats as (select perm, ss_total, ss_within, k - 1 as df1, n - k as df2, 1 - ss_within / ss_total as r2,
                  ((ss_total - ss_within) / (k - 1)) / (ss_within / (n - k)) as f from within, total, shape)"""
+_PERMANOVA = f"{BRAY_SQL}, {views.META}, labels as (select sample, site from meta), {_PERMANOVA_STEPS}"
 
 
 @query(
@@ -136,6 +136,46 @@ def permanova(spark, d):
     return across(out, ["ss_total", "ss_within", "r2", "f", "p_value"], rounded)
 
 
+def _group_test_sql(distance: str, comparison: str, group: str, where: str) -> str:
+    """Both tests of one comparison; the pair table is cut to its samples first."""
+    return f"""select '{distance}' as distance, '{comparison}' as comparison, o.df1, o.df2, {rsql('o.r2')} as r2, {rsql('o.f')} as f, count(*) as permutations,
+  {rsql('(count(case when s.f >= o.f - 1e-9 * greatest(1, abs(o.f)) then 1 end) + 1) / (count(*) + 1)::double')} as p_value,
+  any_value(v.df1) as dispersion_df1, any_value(v.df2) as dispersion_df2, {rsql('any_value(v.f)')} as dispersion_f
+from (with labels as (select sample, {group} as site from meta where {where}),
+  bray as (select id_a, id_b, distance from {distance}_pairs where id_a in (select sample from labels) and id_b in (select sample from labels)),
+  {_PERMANOVA_STEPS} select * from stats) o
+join (with labels as (select sample, {group} as site from meta where {where}),
+  bray as (select id_a, id_b, distance from {distance}_pairs where id_a in (select sample from labels) and id_b in (select sample from labels)),
+  {_PERMANOVA_STEPS} select * from stats) s on s.perm > 0
+join (with labels as (select sample, {group} as grp from meta where {where}), sizes as (select grp, count(*) as n from labels group by 1),
+  ends as (select a.sample, b.distance * b.distance as d2 from {distance}_pairs b join labels a on a.sample in (b.id_a, b.id_b)
+    join labels c on c.sample in (b.id_a, b.id_b) and c.sample <> a.sample and c.grp = a.grp),
+  per as (select l.sample, l.grp, s.n, coalesce(sum(d2), 0) as r from labels l join sizes s using (grp) left join ends e on e.sample = l.sample group by 1, 2, 3),
+  z as (select sample, grp, sqrt(abs(r / n - sum(r) over (partition by grp) / 2 / (n * n))) as z from per),
+  g as (select grp, count(*) as n, avg(z) as m, var_pop(z) as v from z group by 1),
+  w as (select *, sum(n * m) over () / sum(n) over () as grand from g)
+  select count(*) - 1 as df1, cast(sum(n) as bigint) - count(*) as df2,
+         (sum(n * (m - grand) * (m - grand)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) as f from w) v on true
+where o.perm = 0 group by o.df1, o.df2, o.r2, o.f"""
+
+
+_COMPARED = [("Site", "site", "species = 'even'"), ("Species", "species", "site = 'ASIA'")]
+
+
+@query(
+    "group_tests",
+    f"with {BRAY_SQL}, {jaccard_sql('reads')}, {views.META}, bray_pairs as (select * from bray), jaccard_pairs as (select * from jac) "
+    + " union all ".join(f"select * from ({_group_test_sql(t, *c)})" for t in ("bray", "jaccard") for c in _COMPARED),
+)
+def group_tests(spark, d):
+    """Dispersion and PERMANOVA of two dissimilarities, between the sites of one species and the species of one site."""
+    reads, meta = views.reads(spark, d), views.meta(spark, d)
+    tables = {k: pairs.community_distance(reads, "sample", "feature", "reads", k) for k in ("bray", "jaccard")}
+    comparisons = {name: (meta.where(where), group) for name, group, where in _COMPARED}
+    out = permutation.group_tests(tables, comparisons, "sample", "distance", N_PERM, SEED).drop("dispersion_p_value")
+    return across(out, ["r2", "f", "p_value", "dispersion_f"], rounded)
+
+
 # ---------------------------------------------------------------- Mantel
 
 MANTEL_PERM = 999

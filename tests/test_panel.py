@@ -117,9 +117,18 @@ def test_override_and_kth(spark, visits):
     fixes = spark.createDataFrame([("a3", 5, "two removed")], "e string, value int, note string")
     top = by_entity(panel.max_with_override(visits, "e", "eggs", fixes, "m"))
     assert top["a3"]["m"] == 5 and top["a3"]["m_note"] == "two removed" and top["e1"]["m"] == 3
-    values, order = panel.kth_event_columns(visits, "e", "d", F.col("eggs") > 0, "eggs", "n_", "")
-    assert by_entity(values)["a3"] == {"e": "a3", "n_first": 1, "n_second": 2, "n_third": 3}
-    assert order.where("e = 'e1'").count() == 3
+    out = panel.with_kth_events(visits, "e", "d", F.col("eggs") > 0, "eggs", "n_", "")
+    assert out.count() == visits.count()
+    rows = out.where("e = 'a3'").collect()
+    assert {(r["n_first"], r["n_second"], r["n_third"]) for r in rows} == {(1, 2, 3)}
+    assert out.where("e = 'e1' and ordinal is not null").count() == 3
+
+
+def test_two_events_of_one_day_do_not_double_rows(spark):
+    log = spark.createDataFrame([("n", 1, 5, True), ("n", 1, 4, True), ("n", 2, 9, False), ("n", 3, 7, True), (None, 1, 1, True), ("m", 1, 2, False)], "e string, d int, v int, hit boolean")
+    out = panel.with_kth_events(log, "e", "d", F.col("hit"), "v", "v_", "")
+    got = sorted((r["e"] or "", r["d"], r["v"], r["ordinal"], r["v_first"], r["v_second"], r["v_third"]) for r in out.collect())
+    assert got == [("", 1, 1, None, None, None, None), ("m", 1, 2, None, None, None, None), ("n", 1, 4, "first", 4, 5, 7), ("n", 1, 5, "second", 4, 5, 7), ("n", 2, 9, None, 4, 5, 7), ("n", 3, 7, "third", 4, 5, 7)]
 
 
 def test_first_event(near):
