@@ -98,6 +98,8 @@ def rarefy(
 
 #: Draws beyond this many standard deviations from the mean have a chance below 1e-30 and are left out of the sums.
 REACH = 12.0
+#: Samples that one task draws from at once, about.
+PACKED_SAMPLES = 16
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:
@@ -140,14 +142,15 @@ def draw_counts(u: np.ndarray, counts: np.ndarray, take: np.ndarray) -> np.ndarr
     """How many of ``take`` reads drawn without replacement are of each feature, for each draw (features x draws).
 
     Feature after feature: what one takes is hypergeometric among the reads of it and all later features.
-    ``u`` holds a uniform number for each feature and draw.
+    ``u`` holds a uniform number for each feature and draw; ``counts`` has one column, or one for each draw.
     """
-    left = np.full(len(take), int(counts.sum()), dtype=np.int64)
     take = np.asarray(take, dtype=np.int64).copy()
-    out = np.zeros((len(counts), len(take)), dtype=np.int64)
+    counts = np.broadcast_to(counts if counts.ndim == 2 else counts[:, None], (len(counts), len(take)))
+    left = counts.sum(axis=0)
+    out = np.zeros(counts.shape, dtype=np.int64)
     for i, own in enumerate(counts):
-        got = hypergeometric(u[i], left, np.full(len(take), own), take)
-        out[i], left, take = got, left - int(own), take - got
+        got = hypergeometric(u[i], left, own, take)
+        out[i], left, take = got, left - own, take - got
     return out
 
 
@@ -206,15 +209,27 @@ def rarefy_draw(
     )
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(feature)
-        taxa = rows[feature].to_numpy()
-        drawn = draw_counts(np.stack(rows["__u"].to_list()), rows["__c"].to_numpy(), np.asarray(rows["__take"].iloc[0]))
-        j, i = np.nonzero(drawn)
-        return pd.DataFrame({"iter": (i + 1).astype("int32"), sample: rows[sample].iloc[0], feature: taxa[j], value: drawn[j, i]})
-
+        # several samples at once, their draws side by side
+        units = [own.sort_values(feature) for _, own in rows.groupby([sample, "__bucket"], dropna=False)]
+        u, counts = (np.zeros((max(map(len, units)), len(units) * iterations), kind) for kind in (np.float64, np.int64))
+        for n, own in enumerate(units):
+            columns = slice(n * iterations, (n + 1) * iterations)
+            u[: len(own), columns] = np.stack(own["__u"].to_list())
+            counts[: len(own), columns] = own["__c"].to_numpy()[:, None]
+        drawn = draw_counts(u, counts, np.concatenate([np.asarray(own["__take"].iloc[0]) for own in units]))
+        frames = []
+        for n, own in enumerate(units):
+            part = drawn[: len(own), n * iterations : (n + 1) * iterations]
+            j, i = np.nonzero(part)
+            frames.append(pd.DataFrame({"iter": (i + 1).astype("int32"), sample: own[sample].iloc[0], feature: own[feature].to_numpy()[j], value: part[j, i]}))
+        return pd.concat(frames)
+
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = max(8 * tasks, -(-deep.count() // PACKED_SAMPLES))
     together = base.select(sample, feature, "__c", "__bucket").join(shares, [sample, "__bucket"])
-    together = spread(together, sample, "__bucket").withColumn("__u", F.transform(each, lambda i: uniform(seed, i, F.col(sample), F.col(feature))))
-    return together.groupBy(sample, "__bucket").applyInPandas(pick, out_schema)
+    together = together.withColumn("__pack", F.pmod(F.xxhash64(sample, "__bucket"), F.lit(packs)))
+    together = spread(together, "__pack").withColumn("__u", F.transform(each, lambda i: uniform(seed, i, F.col(sample), F.col(feature))))
+    return together.groupBy("__pack").applyInPandas(pick, out_schema)
 
 
 def replicate_mean(drawn: DataFrame, sample: str, feature: str, value: str, iterations: int, distinct_values: bool = False):
