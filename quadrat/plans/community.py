@@ -73,7 +73,7 @@ def community_statistics(
     """
     cells = composition.drop_empty(joins.keep_members(cells, members, NEST), "asv_name", "reads")
     depth = composition.depth(cells, NEST, "reads").agg(F.min("depth")).scalar()
-    drawn = cut_lineage(resample.rarefy(cells, NEST, "asv_name", "reads", depth, iterations))
+    drawn = cut_lineage(resample.rarefy_draw(cells, NEST, "asv_name", "reads", depth, iterations))
     metrics = diversity.alpha_long(diversity.alpha(drawn, ["iter", NEST], "reads"), ["iter", NEST])
     alpha = diversity.replicate_summary(metrics, [NEST, "metric"]).join(members.select(NEST, "group"), NEST)
     mean = resample.replicate_mean(drawn, NEST, "asv_name", "reads", iterations)
