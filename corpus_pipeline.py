@@ -29,11 +29,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     Rows are told apart by id and text, so two texts of one id are two documents and rows without an id take
     part; a row with an id goes before one without.  Of rows with one id and one text the first of the table stays.
     Texts without words are in no group, so all of them stay.  ``docs`` is read twice and must be a table, whose rows
-    keep their order.
+    keep their order.  Where ids are known and occur once each, they say as much and are shorter keys.
     """
+    rule = jaccard.Rule(words=5, percent=80)
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        groups = jaccard.join(docs, rule=rule)
+        first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return docs.join(first, "doc_id").select(docs.columns)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("digest"))
     keyed = docs.withColumn("__key", key).withColumn("__row", F.monotonically_increasing_id())
-    groups = jaccard.join(keyed, key="__key", rule=jaccard.Rule(words=5, percent=80))
+    groups = jaccard.join(keyed, key="__key", rule=rule)
     stays = groups.groupBy("__key").agg(F.max("n_shingles").alias("__n"), F.min("component_id").alias("__of")).filter("__n = 0 or __key = __of")
     first = keyed.groupBy("__key").agg(F.min("__row").alias("__first"))
     chosen = stays.join(first, "__key").select("__key", F.when(F.col("__n") > 0, F.col("__first")).alias("__first"))

@@ -40,7 +40,7 @@ _NUMBER_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x11000
 def letters(text: str | None) -> bytes:
     """Lower-case letters of a text in UTF-8, runs of anything else as one space; one space at either end."""
     found = _NO_LETTERS.sub(" ", (text or "").lower())
-    if not found.isascii():
+    if not found.replace(" ", "").isalpha():
         found = _NUMBER_SIGNS.sub(" ", found)
     return b" " + found.strip().encode() + b" "
 
