@@ -29,20 +29,23 @@ def exact_quantiles(
     bracket holds more than ``BRACKET_ROWS`` different values it is cut into slices, which are
     counted, and only the slices with the rank are kept.  So what is ordered in one task is bounded,
     however large a group is.  The sketch's rank error is at most 1/accuracy, so the bracket of three
-    times that on each side must contain the rank; should it ever not, the query fails
+    times that and of three ranks on each side must contain the rank; should it ever not, the query fails
     instead of giving a wrong number.
     """
     keys, names = list(keys), list(probs)
-    margin = 3.0 / accuracy
+    # in small groups three ranks are a larger share
+    margins = [m for m in (3.0 / accuracy * 10**k for k in range(20)) if m < 1] + [1.0]
     base = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
-    lows = F.array(*[F.lit(max(0.0, p - margin)) for p in probs.values()])
-    highs = F.array(*[F.lit(min(1.0, p + margin)) for p in probs.values()])
-    brackets = base.groupBy(*keys).agg(
+    lows = F.array(*[F.lit(max(0.0, p - m)) for p in probs.values() for m in margins])
+    highs = F.array(*[F.lit(min(1.0, p + m)) for p in probs.values() for m in margins])
+    sketched = base.groupBy(*keys).agg(
         F.count("*").alias("__n"),
         F.percentile_approx("__v", lows, F.lit(accuracy)).alias("__lo"),
         F.percentile_approx("__v", highs, F.lit(accuracy)).alias("__hi"),
     )
-    brackets = cut_lineage(brackets)
+    narrowest = sum(((F.col("__n") * m < 3).cast("int") for m in margins[:-1]), F.lit(0))
+    ends = [F.array(*[F.col(c)[narrowest + i * len(margins)] for i in range(len(names))]).alias(c) for c in ("__lo", "__hi")]
+    brackets = cut_lineage(sketched.select(*keys, "__n", *ends))
     below = F.lit(_BELOW)
     picks = F.array(
         *[

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrat.llm import jaccard, ranking, shards, substring, toxicity
 from quadrat.llm import shingles as shingles_of
@@ -231,6 +232,35 @@ def test_ranking_tells_held_out_rows_apart(spark, odd, none):
     assert {r.score for r in ranking.rank_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ranking_learns_from_every_taught_row(spark, monkeypatch):
+    docs, labels = labelled(spark, lambda rnd, text: " ".join(w + rnd.choice(["###", "$$$", ""]) for w in text), rows=300)
+    # texts of one word make some 25,000 more rows, beyond any sample of 12,000
+    more = spark.range(300, 25_300).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    marks = more.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    learned, held = [], ranking.fit
+
+    def spied(taught, *args):
+        learned.append({r[0] for r in taught.select("doc_id").collect()})
+        return held(taught, *args)
+
+    monkeypatch.setattr(ranking, "fit", spied)
+    out = ranking.rank_quality(docs.unionByName(more), labels.unionByName(marks))
+    assert learned == [{i for i in range(25_300) if crc(i, 4) != 2}]
+    assert out.count() == 25_300 and {r.held_out for r in out.filter("doc_id % 4 = 0").collect()} == {True, False}
+
+
+def test_ranking_fits_exact_pairs_and_threshold(spark):
+    rnd = random.Random(3)
+    data = [(i % 500, [rnd.random() + (i % 3 > 0) * 0.3 for _ in range(17)], int(i % 3 > 0)) for i in range(600)]
+    found = ranking.fit(spark.createDataFrame(data, "doc_id long, features array<double>, __label int"))
+    turned = ranking.fit(spark.createDataFrame(data[::-1], "doc_id long, features array<double>, __label int").repartition(7))
+    assert np.allclose(found.weights, turned.weights, atol=1e-6)
+    x = np.array([row[1] for row in data])
+    raw = np.concatenate([x, np.sqrt(x), x * x], axis=1) @ np.array(found.weights)
+    assert found.threshold == pytest.approx(np.quantile(raw, 200 / 600))
+    assert found.scale == pytest.approx(4 / (np.quantile(raw, 0.9) - np.quantile(raw, 0.1)))
+
+
 def test_toxicity_tells_held_out_rows_apart(spark, odd, none):
     insults = ["grumbo", "snarfle", "blorked"]
     docs, labels = labelled(spark, lambda rnd, text: " ".join([*text[:10], "you", rnd.choice(insults), *text[10:]]))

@@ -43,6 +43,14 @@ def test_exact_quantiles_equal_numpy(spark, hot):
     assert np.isclose(rows(overall)[0][0], np.median(values))
 
 
+def test_exact_quantiles_of_small_groups(spark):
+    data = [(n, float(i * i)) for n in (1, 2, 3, 7, 600, 675) for i in range(n)]
+    probs = {"a": 0.1, "b": 0.25, "c": 0.333, "z": 0.9}
+    out = dict((r[0], r[1:]) for r in rows(quantiles.exact_quantiles(spark.createDataFrame(data, "g long, v double"), ["g"], "v", probs)))
+    for n in (1, 2, 3, 7, 600, 675):
+        assert np.allclose(out[n], np.quantile(np.arange(n) ** 2.0, list(probs.values())))
+
+
 def test_exact_quantiles_of_brackets_beyond_the_bound(spark, monkeypatch):
     """One group with a thousand times as many different values as may be ordered, skewed over many magnitudes."""
     monkeypatch.setattr(quantiles, "BRACKET_ROWS", 20)
