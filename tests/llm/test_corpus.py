@@ -392,3 +392,40 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out)
     assert [k[:2] for k in kept] == [(False, 1), (False, 3), (False, 4), (False, 4), (False, 5), (True, 0), (True, 0)]
     assert kept[0][2] == PROSE and kept[1][2] in (other, other + " and some more")
+
+
+def test_centres_met_equals_all_pairs_of_windows():
+    rnd = np.random.default_rng(4)
+
+    def windows():
+        left = rnd.integers(0, 50, 60)
+        centre = left + rnd.integers(0, 40, 60)
+        return np.column_stack([rnd.integers(-3, 4, 60), rnd.integers(0, 3, 60), centre, left, centre + rnd.integers(0, 40, 60), rnd.integers(0, 2, 60)])
+
+    one, two = windows(), windows()
+    in_a, in_b = rnd.random(100) < 0.8, rnd.random(100) < 0.8
+    brute = {
+        (c, d)
+        for s, _, c, l, r, o in one.tolist()
+        for t, _, d, m, q, p in two.tolist()
+        if s == t and (o or p) and min(c - l, d - m) + min(r - c, q - d) + 1 >= 36.8 and in_a[c] and in_b[d]
+    }
+    assert brute and substring.centres_met(one, two, in_a, in_b, 36.8, 1) == sorted(brute)
+    assert substring.centres_met(one, two, in_a, in_b, 36.8, 4) == []
+
+
+def test_documents_meet_by_blocks(spark, monkeypatch):
+    """Passages of documents with many windows of one signature; the number of blocks changes nothing."""
+    rnd = random.Random(5)
+    near = [f"n{i}" for i in range(60)]
+    edited = near[:30] + ["other"] + near[31:]
+    rows = [(1, " ".join([f"a{i}" for i in range(70)] + near)), (2, " ".join(edited + [f"b{i}" for i in range(70)])), (3, "again " * 300), (4, " ".join(f"c{rnd.random()}" for _ in range(200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least, windows = 46, substring.windows(docs, "doc_id", "text", 5, 50, 3).withColumn("open", F.lit(True))
+    found = []
+    for size in (16_000_000, 500):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+        out = substring._passages_by_blocks(windows, docs, "doc_id", "text", 5, least, 80, 1).collect()
+        found.append(sorted(tuple(r) for r in out))
+    assert found[0] == found[1] and {r[:2] for r in found[0]} == {(1, 2)}
+    assert all(r[2] == 70 and r[4] == 0 and r[6] >= 0.8 for r in found[0])
