@@ -429,3 +429,53 @@ def test_documents_meet_by_blocks(spark, monkeypatch):
         found.append(sorted(tuple(r) for r in out))
     assert found[0] == found[1] and {r[:2] for r in found[0]} == {(1, 2)}
     assert all(r[2] == 70 and r[4] == 0 and r[6] >= 0.8 for r in found[0])
+
+
+def test_no_alike_span_is_lost():
+    rng = np.random.default_rng(6)
+    for values in (4, 12, 400):
+        for _ in range(40):
+            own = np.repeat(rng.integers(0, values, 30), rng.integers(1, 4, 30))[:45]
+            match = rng.random(values)[own] < 0.85
+            before = substring.previous(own)
+            assert before.tolist() == [max((j for j in range(i) if own[j] == x), default=-1) for i, x in enumerate(own)]
+            inside = substring.alike(match, before, 8, 80)
+            for i in range(len(own)):
+                for j in range(i + 8, len(own) + 1):
+                    both, alone = len(set(own[i:j][match[i:j]].tolist())), len(set(own[i:j][~match[i:j]].tolist()))
+                    if both >= 4 * alone and match[i:j].sum() > 0.8 * (j - i) + 1e-6:  # as longest_span asks for
+                        assert inside[i:j].all()
+
+
+def test_a_word_many_times_in_a_row(spark, monkeypatch):
+    """One window and a few comparisons for a run of one shingle, not one for each place; runs of different lengths are linked."""
+    fresh = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(1, " ".join(fresh("a", 40) + ["the"] * 300 + fresh("b", 40))), (2, " ".join(fresh("c", 70) + ["the"] * 60 + fresh("d", 20)))]
+    rows += [(3, " ".join(fresh("e", 30) + ["of"] * 45 + fresh("f", 30))), (4, " ".join(fresh("g", 30) + ["of"] * 47 + fresh("h", 30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.windows(docs.filter("doc_id = 1"), "doc_id", "text", 5, 50, 3).groupBy("signature").count().agg(F.max("count")).first()[0]
+    assert found <= 30  # 232 of them begin at a place of the run
+    out = substring.repeated_passages(docs).collect()
+    assert {(r.first_doc_id, r.doc_id) for r in out} == {(1, 2)} and all(r.n_words >= 50 and r.similarity >= 0.8 for r in out)
+    calls, compare = [], substring.compare
+    monkeypatch.setattr(substring, "compare", lambda *x: calls.append(x) or compare(*x))
+    one, two = ((substring.sequence(rows[k][1], 5) >> np.uint64(32)).astype(np.uint32).tobytes() for k in (2, 3))
+    every = [(ca, cb) for ca in range(30, 71) for cb in range(30, 73)]
+    assert substring.between(one, two, lambda in_a, in_b: every, 46, 80) == [] and len(calls) <= 4
+
+
+def test_stretches_that_other_documents_repeat(spark, monkeypatch):
+    """A phrase too short for a passage leaves nothing to compare, however many documents have it."""
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    phrase, passage = fresh(13), fresh(60)
+    copy = [*passage[:30], "other", *passage[31:]]
+    rows = [(i, " ".join(fresh(50) + phrase + fresh(50))) for i in range(30)]
+    rows += [(40, " ".join(fresh(20) + passage + fresh(50))), (41, " ".join(fresh(90) + copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sequences = substring._sequences(docs, docs.select("doc_id"), "doc_id", "text", 5)
+    for size in (16_000_000, 300):
+        monkeypatch.setattr(substring, "COUNTED_BYTES", size)
+        out = {r.doc_id: r.stretches for r in substring._stretches(sequences, "doc_id", 46, 80).collect()}
+        assert set(out) == {40, 41}
+        assert any(s.p <= 20 and s.q >= 76 for s in out[40]) and any(s.p <= 90 and s.q >= 146 for s in out[41])
