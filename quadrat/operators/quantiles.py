@@ -19,7 +19,7 @@ _BELOW = float("-inf")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float], accuracy: int = 10_000
+    df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float], accuracy: int = 10_000, weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles, one output column per named probability.
 
@@ -30,9 +30,42 @@ def exact_quantiles(
     counted, and only the slices with the rank are kept.  So what is ordered in one task is bounded,
     however large a group is.  The sketch's rank error is at most 1/accuracy, so the bracket of three
     times that and of three ranks on each side must contain the rank; should it ever not, the query fails
-    instead of giving a wrong number.
+    instead of giving a wrong number.  A row stands for ``weight`` rows of its value, a whole number from 1.
     """
     keys, names = list(keys), list(probs)
+    if weight is None:
+        counted, sizes = _bracketed(df, keys, value, probs, accuracy)
+    else:
+        # values that are counted already need no bracket: the slices below narrow them down
+        base = df.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("c")).where("v is not null")
+        counted = base.groupBy(*keys, "v").agg(F.sum("c").alias("c")).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("i"), "v", "c")
+        sizes = cut_lineage(base.groupBy(*keys).agg(F.sum("c").alias("__n")))
+    counted, below = cut_lineage(counted), F.lit(_BELOW)
+    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1) * (F.col("__n") - 1)
+    while _widest(counted, keys) > BRACKET_ROWS:
+        counted = cut_lineage(_narrowed(counted, keys, sizes, position))
+    running = W.partitionBy(*keys, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = (
+        beside(counted.withColumn("upto", F.sum("c").over(running)), sizes, keys)
+        .withColumn("h", position)
+        .groupBy(*keys, "i")
+        .agg(
+            F.min(F.when(F.col("upto") > F.floor("h"), F.col("v"))).alias("a"),
+            F.min(F.when(F.col("upto") > F.ceil("h"), F.col("v"))).alias("b"),
+            F.first("h").alias("h"),
+        )
+    )
+    missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == below) | (F.col("b") == below)
+    quantile = F.when(missed, F.raise_error(F.lit("quantile bracket missed the rank")).cast("double")).otherwise(
+        F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))
+    )
+    out = found.withColumn("q", quantile)
+    return out.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+
+
+def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """How often each value inside the brackets of the ranks occurs, all below them as one, and the groups' sizes."""
+    names = list(probs)
     # in small groups three ranks are a larger share
     margins = [m for m in (3.0 / accuracy * 10**k for k in range(20)) if m < 1] + [1.0]
     base = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
@@ -64,28 +97,7 @@ def exact_quantiles(
         .groupBy(*keys, "i", "v")
         .agg(F.count("*").alias("c"))
     )
-    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1) * (F.col("__n") - 1)
-    sizes = brackets.select(*keys, "__n")
-    counted = cut_lineage(counted)
-    while _widest(counted, keys) > BRACKET_ROWS:
-        counted = cut_lineage(_narrowed(counted, keys, sizes, position))
-    running = W.partitionBy(*keys, "i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = (
-        beside(counted.withColumn("upto", F.sum("c").over(running)), sizes, keys)
-        .withColumn("h", position)
-        .groupBy(*keys, "i")
-        .agg(
-            F.min(F.when(F.col("upto") > F.floor("h"), F.col("v"))).alias("a"),
-            F.min(F.when(F.col("upto") > F.ceil("h"), F.col("v"))).alias("b"),
-            F.first("h").alias("h"),
-        )
-    )
-    missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == below) | (F.col("b") == below)
-    quantile = F.when(missed, F.raise_error(F.lit("quantile bracket missed the rank")).cast("double")).otherwise(
-        F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))
-    )
-    out = found.withColumn("q", quantile)
-    return out.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+    return counted, brackets.select(*keys, "__n")
 
 
 def _widest(counted: DataFrame, keys: list[str]) -> int:
