@@ -8,10 +8,12 @@ permutations at once; what leaves the task is one partial sum per permutation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,10 +22,13 @@ from pyspark.sql import types as T
 from quadrat.functions.scalars import ratio
 from quadrat.operators.grouping import kth_row
 from quadrat.operators.joins import beside
-from quadrat.operators.pairs import BLOCK_SAMPLES, block_of, tiles_of
+from quadrat.operators.pairs import BLOCK_SAMPLES, MOST_SAMPLES, CommunityPairs, block_of, tiles_of
 from quadrat.operators import permuted
-from quadrat.operators.resample import at_least_as_large, permutations
-from quadrat.session import cut_lineage, spread
+from quadrat.operators.resample import PACKED_KEYS, at_least_as_large, numbered_rows, permutations, permuted_chunks
+from quadrat.session import cut_lineage, spread, written
+
+#: Places of permuted rows (4 bytes each) that one task holds.
+CHUNK_CELLS = 16_000_000
 
 
 def label_arrays(perms: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
@@ -47,7 +52,7 @@ def _blocks(members: DataFrame):
 
 
 def permanova(
-    pairs: DataFrame, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
+    pairs: DataFrame | CommunityPairs, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
 ) -> DataFrame:
     """Permutational analysis of variance on a pair table: one row with df, R2, pseudo-F and p."""
     stats = cut_lineage(permanova_statistics(pairs, members, key, group, distance, count, seed))
@@ -57,12 +62,20 @@ def permanova(
 
 
 def permanova_statistics(
-    pairs: DataFrame, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
+    pairs: DataFrame | CommunityPairs, members: DataFrame, key: str, group: str, distance: str, count: int, seed: int = 1
 ) -> DataFrame:
-    """Pseudo-F of the table itself (``perm`` 0) and of every permutation."""
+    """Pseudo-F of the table itself (``perm`` 0) and of every permutation.
+
+    Pairs that are no table yet are never made one: what leaves a tile is one partial sum per permutation.
+    """
     members = cut_lineage(members.select(key, group))
     codes = _group_codes(members, group)
     coded = members.join(codes.select(group, "__code"), group).select(key, "__code")
+    if isinstance(pairs, CommunityPairs):
+        if coded.count() <= PACKED_KEYS:
+            others = members.where(F.col(group).isNull()).select(key)
+            return _pseudo_f(_sums_in_tiles(pairs, coded, others, codes, key, count, seed), codes)
+        pairs = pairs.table(distance)
     perms = permutations(coded, key, ["__code"], count, seed)
     sizes = codes.agg(F.transform(F.array_sort(F.collect_list(F.struct("__code", "__n"))), lambda s: s["__n"])).scalar()
     blocks = _blocks(members)
@@ -88,18 +101,71 @@ def permanova_statistics(
         ids = pd.Index(tags[key].to_numpy())
         code = np.stack(tags["__codes"].to_list())
         n = np.asarray(tags["__sizes"].iloc[0])
-        square = np.zeros((len(ids), len(ids)))
-        square[ids.get_indexer(rows["id_a"]), ids.get_indexer(rows["id_b"])] = rows["__d"].to_numpy() ** 2
+        square, squares = np.zeros((len(ids), len(ids))), rows["__d"].to_numpy() ** 2
+        a, b = ids.get_indexer(rows["id_a"]), ids.get_indexer(rows["id_b"])
+        coded = (a >= 0) & (b >= 0)  # members without a group count in the total only
+        square[a[coded], b[coded]] = squares[coded]
         within = np.zeros(code.shape[1])
         for g, size in enumerate(n):
             member = (code == g).astype(float)
             within += (member * (square @ member)).sum(axis=0) / size
-        total = np.full(code.shape[1], square.sum() / n.sum())
+        total = np.full(code.shape[1], squares.sum() / n.sum())
         return pd.DataFrame({"perm": np.arange(code.shape[1], dtype="int32"), "total": total, "within": within})
 
     placed, labels = spread(placed, "__p", "__q"), spread(labels, "__p", "__q")
     by_tile = placed.groupBy("__p", "__q").cogroup(labels.groupBy("__p", "__q")).applyInPandas(sums, schema)
-    added = by_tile.groupBy("perm").agg(F.sum("total").alias("ss_total"), F.sum("within").alias("ss_within"))
+    return _pseudo_f(by_tile, codes)
+
+
+def _sums_in_tiles(pairs: CommunityPairs, coded: DataFrame, others: DataFrame, codes: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """``perm`` and each tile's part of the total and the sum within groups; a sample brings its codes in all permutations.
+
+    ``others`` are members without a group, which count in the total only.
+    """
+    size = np.array([r["__n"] for r in codes.orderBy("__code").select("__n").collect()], dtype=float)  # one row a group
+    narrow = np.uint8 if len(size) < 256 else np.int32
+    tasks = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered_rows(coded, key)
+    each = max(min(-(-(count + 1) // tasks), CHUNK_CELLS // max(rows.count(), 1)), 1)
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+    def moved(table: pa.Table, perms: np.ndarray, to: np.ndarray) -> pa.Table:
+        code = table.column("__code").to_numpy().astype(narrow)
+        begins = range(0, to.shape[1], MOST_SAMPLES)
+        data = [code[to[:, b : b + MOST_SAMPLES]].tobytes() for b in begins]
+        return pa.table({"part": pa.array(range(len(data)), pa.int32()), "first": pa.array([int(perms[0])] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def unpacked(frames):
+        for frame in frames:
+            for part, found in zip(frame["part"], frame["found"], strict=True):
+                every = np.concatenate([np.frombuffer(x["data"], narrow).reshape(min(each, count + 1 - x["first"]), -1) for x in found]).T
+                yield pd.DataFrame({"__i": np.arange(len(every), dtype=np.int32) + part * MOST_SAMPLES, "__codes": [x.tobytes() for x in every]})
+
+    packed = permuted_chunks(rows, key, ["__code"], count, each, seed, moved, schema)
+    packed = packed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("first", "data"))).alias("found"))
+    about = rows.select(key, "__i").join(packed.mapInPandas(unpacked, "__i int, __codes binary"), "__i").drop("__i")
+    about = about.unionByName(others.withColumn("__codes", F.lit(np.full(count + 1, len(size), narrow).tobytes())))
+
+    def sums(tile) -> Iterator[dict]:
+        square, sides = tile.squares(), []
+        for at, table in tile.about:
+            sides.append(np.frombuffer(b"".join(table.column("__codes").to_pylist()), narrow).reshape(len(at), count + 1))
+        if not sides:
+            return
+        if any(len(at) != n or (np.diff(at) != 1).any() for (at, _), n in zip(tile.about, square.shape, strict=True)):
+            square = square[tile.about[0][0]][:, tile.about[1][0]]
+        within = np.zeros(count + 1)
+        for g, n in enumerate(size):
+            within += np.einsum("ij,ij->j", (sides[0] == g).astype(float), square @ (sides[1] == g).astype(float)) / n
+        yield {"perm": np.arange(count + 1, dtype=np.int32), "total": np.full(count + 1, square.sum() / size.sum()), "within": within}
+
+    out = T.StructType([T.StructField("perm", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in ("total", "within")])
+    return pairs.visit(sums, out, written(about), key)
+
+
+def _pseudo_f(parts: DataFrame, codes: DataFrame) -> DataFrame:
+    """Statistics of each permutation from the parts of its sums."""
+    added = parts.groupBy("perm").agg(F.sum("total").alias("ss_total"), F.sum("within").alias("ss_within"))
     shape = codes.agg(F.struct(F.count("*").alias("k"), F.sum("__n").alias("n"))).scalar()
     out = added.withColumn("__shape", shape)
     out = out.withColumns({"df1": F.col("__shape.k") - 1, "df2": F.col("__shape.n") - F.col("__shape.k")}).drop("__shape")
@@ -113,24 +179,26 @@ def permanova_statistics(
 
 
 def group_tests(
-    tables: dict[str, DataFrame], comparisons: dict[str, tuple[DataFrame, str]], key: str, distance: str, count: int, seed: int = 1
+    tables: dict[str, DataFrame | CommunityPairs], comparisons: dict[str, tuple[DataFrame, str]], key: str, distance: str, count: int, seed: int = 1
 ) -> DataFrame:
     """Dispersion and differences of centroids, one row for each pair table and comparison.
 
     ``comparisons`` maps a name to the samples that take part and the column that groups them.  ``dispersion_*``
     is the analysis of variance of the distances to the group centroids; the others are those of :func:`permanova`.
-    Each pair table is written once, whatever the number of comparisons.
+    Each pair table is written once, whatever the number of comparisons; pairs that are no table yet are made for the samples of each, and never written.
     """
     from quadrat.operators import inference
 
     rows = []
     for table, pairs in tables.items():
-        pairs = cut_lineage(pairs.select("id_a", "id_b", distance))
+        whole = pairs if isinstance(pairs, CommunityPairs) else cut_lineage(pairs.select("id_a", "id_b", distance))
         for name, (members, group) in comparisons.items():
             members = cut_lineage(members.select(key, group))
-            spread_of = inference.one_way(inference.centroid_distances(pairs, members, key, group, distance), [], group, "z")
+            some = whole.among(members, key) if isinstance(whole, CommunityPairs) else whole
+            z = cut_lineage(inference.centroid_distances(some, members, key, group, distance))
+            spread_of = inference.one_way(z, [], group, "z")
             spread_of = spread_of.select(*[F.col(c).alias(f"dispersion_{c}") for c in ("df1", "df2", "f", "p_value")])
-            test = permanova(pairs, members, key, group, distance, count, seed).drop("ss_total", "ss_within")
+            test = permanova(some, members, key, group, distance, count, seed).drop("ss_total", "ss_within")
             rows.append(beside(test, spread_of, []).select(F.lit(table).alias("distance"), F.lit(name).alias("comparison"), "*"))
     return reduce(DataFrame.unionByName, rows)
 

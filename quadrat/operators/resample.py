@@ -6,15 +6,19 @@ under any partitioning.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.operators.rank import hash_rank, number_rows, slice_digits
-from quadrat.session import spread
+from quadrat.session import cut_lineage, spread
 
 
 def digest(seed: int, *parts: Column | str) -> Column:
@@ -267,6 +271,52 @@ def permutations(members: DataFrame, key: str, carried: list[str], count: int, s
     return members.select(F.lit(0).alias("perm"), key, *carried).unionByName(drawn)
 
 
+#: Keys of which one task orders whole permutations; more of them go through :func:`permutations`.
+PACKED_KEYS = 1_000_000
+
+
+def numbered_rows(members: DataFrame, key: str) -> DataFrame:
+    """The rows with ``__i``, their number from 0 in the order of the keys."""
+    return cut_lineage(number_rows(members, [key], "__i").withColumn("__i", (F.col("__i") - 1).cast("int")))
+
+
+def _by_digest(start: str, ends: list[bytes]) -> np.ndarray:
+    """Numbers of the rows in the order of their digests; of equal ones in their own."""
+    begin = start.encode()
+    both = np.frombuffer(b"".join([hashlib.md5(begin + e).digest() for e in ends]), ">u8").astype(np.uint64).reshape(-1, 2)
+    return np.lexsort((both[:, 1], both[:, 0]))
+
+
+def permuted_chunks(
+    rows: DataFrame, key: str, columns: list[str], count: int, each: int, seed: int, run: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: T.StructType
+) -> DataFrame:
+    """The reshuffles of :func:`permutations`, a chunk of ``each`` in a task, as numbers of rows.
+
+    ``rows`` come from :func:`numbered_rows`, at most ``PACKED_KEYS`` of them.  ``run`` gets their columns in the order of the numbers, the
+    permutations of the chunk (0 is the table itself), and for each of them the row whose values each row receives.  So keys are
+    sent once to each chunk, and no row is multiplied by the permutations.
+    """
+    chunks = -(-(count + 1) // each)
+    end = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit(""))
+    sent = rows.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__chunk"), "__i", end.alias("__end"), *columns)
+
+    def chunk_of(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("__i").to_numpy(), kind="stable")))
+        first = int(table.column("__chunk")[0].as_py()) * each
+        perms = np.arange(first, min(first + each, count + 1))
+        ends = [e.encode() for e in table.column("__end").to_pylist()]
+        base = _by_digest(f"{seed}|0", ends).astype(np.int32)
+        to = np.empty((len(perms), len(ends)), np.int32)
+        for k, perm in enumerate(perms.tolist()):
+            if perm:
+                to[k, _by_digest(f"{seed}|{perm}", ends)] = base
+            else:
+                to[k] = np.arange(len(ends))
+        return run(table.select(columns), perms, to)
+
+    return spread(sent, "__chunk").groupBy("__chunk").applyInArrow(chunk_of, schema)
+
+
 def permutation_sql(source: str, key: str, carried: list[str], count: int, seed: int = 1, name: str = "perms") -> str:
     """The same reshuffles as SQL table expressions."""
     columns = ", ".join(carried)

@@ -9,7 +9,7 @@ from quadrat.operators import composition, mantel, pairs, permutation, reshape
 from quadrat.operators.resample import permutation_sql
 from quadrat.plans import views
 from quadrat.plans.queries_composition import ALPHA_SQL, _alpha, _with_taxonomy
-from quadrat.plans.queries_distance import _METRIC_SQL, BRAY_SQL, GEO_SQL, bray, geo, jaccard_sql
+from quadrat.plans.queries_distance import _METRIC_SQL, BRAY_SQL, GEO_SQL, bray, bray_pairs, geo, jaccard_sql
 from quadrat.plans.registry import query, rounded, rsql
 from quadrat.session import cut_lineage
 
@@ -132,7 +132,7 @@ _PERMANOVA = f"{BRAY_SQL}, {views.META}, labels as (select sample, site from met
         from stats o join stats s on s.perm > 0 where o.perm = 0 group by o.df1, o.df2, o.ss_total, o.ss_within, o.r2, o.f""",
 )
 def permanova(spark, d):
-    out = permutation.permanova(bray(spark, d), views.meta(spark, d), "sample", "site", "distance", N_PERM, SEED)
+    out = permutation.permanova(bray_pairs(spark, d), views.meta(spark, d), "sample", "site", "distance", N_PERM, SEED)
     return across(out, ["ss_total", "ss_within", "r2", "f", "p_value"], rounded)
 
 
@@ -170,7 +170,7 @@ _COMPARED = [("Site", "site", "species = 'even'"), ("Species", "species", "site
 def group_tests(spark, d):
     """Dispersion and PERMANOVA of two dissimilarities, between the sites of one species and the species of one site."""
     reads, meta = views.reads(spark, d), views.meta(spark, d)
-    tables = {k: pairs.community_distance(reads, "sample", "feature", "reads", k) for k in ("bray", "jaccard")}
+    tables = {k: pairs.CommunityPairs(reads, "sample", "feature", "reads", k) for k in ("bray", "jaccard")}
     comparisons = {name: (meta.where(where), group) for name, group, where in _COMPARED}
     out = permutation.group_tests(tables, comparisons, "sample", "distance", N_PERM, SEED).drop("dispersion_p_value")
     return across(out, ["r2", "f", "p_value", "dispersion_f"], rounded)
