@@ -6,9 +6,11 @@ worked on further.  Variances and covariances use the centred built-in aggregate
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +18,10 @@ from pyspark.sql import types as T
 from quadrat.functions.tails import LAST_WEIGHT, NEXT_WEIGHT, f_tail, f_two_sided, normal_quantile, shapiro, t_tail
 from quadrat.operators.grouping import with_group
 from quadrat.operators.joins import beside
+from quadrat.operators.pairs import CommunityPairs
 from quadrat.operators.quantiles import with_group_median
 from quadrat.operators.rank import number_rows
+from quadrat.session import written
 
 def two_groups(df: DataFrame, keys: Iterable[str], group: str, y: str, levels: tuple) -> DataFrame:
     """Size, mean and variance of two groups side by side."""
@@ -250,7 +254,7 @@ def benjamini_hochberg(tests: DataFrame, p: str, name: str = "p_adjusted") -> Da
     return tests.join(adjusted, p, "left")
 
 
-def centroid_distances(pairs: DataFrame, labels: DataFrame, key: str, group: str, distance: str) -> DataFrame:
+def centroid_distances(pairs: DataFrame | CommunityPairs, labels: DataFrame, key: str, group: str, distance: str) -> DataFrame:
     """Distance of every sample to the centroid of its group, from the pair table alone.
 
     The squared distance to the centroid is the mean squared distance to the members
@@ -258,11 +262,14 @@ def centroid_distances(pairs: DataFrame, labels: DataFrame, key: str, group: str
     """
     sizes = labels.groupBy(group).agg(F.count("*").alias("__n"))
     tagged = labels.select(key, group)
-    a = tagged.select(F.col(key).alias("id_a"), F.col(group).alias("__ga"))
-    b = tagged.select(F.col(key).alias("id_b"), F.col(group).alias("__gb"))
-    within = pairs.join(a, "id_a").join(b, "id_b").where("__ga = __gb")
-    squared = F.col(distance) * F.col(distance)
-    ends = within.select(F.explode(F.array("id_a", "id_b")).alias(key), squared.alias("__d2"))
+    if isinstance(pairs, CommunityPairs):
+        ends = _squares_within(pairs, tagged, key, group)
+    else:
+        a = tagged.select(F.col(key).alias("id_a"), F.col(group).alias("__ga"))
+        b = tagged.select(F.col(key).alias("id_b"), F.col(group).alias("__gb"))
+        within = pairs.join(a, "id_a").join(b, "id_b").where("__ga = __gb")
+        squared = F.col(distance) * F.col(distance)
+        ends = within.select(F.explode(F.array("id_a", "id_b")).alias(key), squared.alias("__d2"))
     rows = ends.groupBy(key).agg(F.sum("__d2").alias("__row"))
     per_sample = tagged.join(rows, key, "left").fillna(0.0, subset=["__row"]).join(sizes, group)
     per_sample = with_group(per_sample, [group], {"__half": F.sum("__row") / 2})
@@ -270,5 +277,19 @@ def centroid_distances(pairs: DataFrame, labels: DataFrame, key: str, group: str
     return per_sample.select(key, group, F.sqrt(F.abs(z2)).alias("z"))
 
 
+def _squares_within(pairs: CommunityPairs, tagged: DataFrame, key: str, group: str) -> DataFrame:
+    """``key`` and ``__d2``: of each tile, the sums of every sample's squared distances to members of its group."""
 
+    def sums(tile) -> Iterator[dict]:
+        if not tile.about:
+            return
+        (at_a, one), (at_b, two) = tile.about
+        codes = pd.factorize(np.concatenate([t.column(group).to_numpy(zero_copy_only=False) for t in (one, two)]))[0]
+        a, b = codes[: len(at_a)], codes[len(at_a) :]
+        within = tile.squares()[at_a][:, at_b] * ((a[:, None] == b) & (a >= 0)[:, None])
+        yield {key: tile.names[0].take(pa.array(at_a)), "__d2": within.sum(axis=1)}
+        yield {key: tile.names[1].take(pa.array(at_b)), "__d2": within.sum(axis=0)}
 
+    schema = T.StructType([T.StructField(key, pairs.id_type), T.StructField("__d2", T.DoubleType())])
+    # written, as it is read for the samples and for the groups
+    return written(pairs.visit(sums, schema, tagged, key).groupBy(key).agg(F.sum("__d2").alias("__d2")))

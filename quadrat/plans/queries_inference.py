@@ -9,7 +9,7 @@ from quadrat.operators import diversity, inference
 from quadrat.operators.reshape import to_long
 from quadrat.plans import views
 from quadrat.plans.queries_composition import _alpha
-from quadrat.plans.queries_distance import BRAY_SQL, bray
+from quadrat.plans.queries_distance import BRAY_SQL, bray_pairs
 from quadrat.plans.registry import query, rounded, rsql
 from quadrat.sources.tables import load
 
@@ -189,7 +189,7 @@ z as (select r.sample, r.species, sqrt(abs(s / n - sum(s) over (partition by r.s
 
 
 def _dispersion(spark, d):
-    return inference.centroid_distances(bray(spark, d), views.meta(spark, d), "sample", "species", "distance")
+    return inference.centroid_distances(bray_pairs(spark, d), views.meta(spark, d), "sample", "species", "distance")
 
 
 @query("centroid_distance", f"with {_DISPERSION} select sample, species, {rsql('z')} as z from z")
