@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.operators.pairs import BLOCK_SAMPLES, block_of
-from quadrat.session import cut_lineage
+from quadrat.operators.pairs import BLOCK_SAMPLES, CommunityPairs, block_of
+from quadrat.session import cut_lineage, remove, shared_folder, written
 
 #: Directions in which each group's extremes are taken.
 DIRECTIONS = 16
@@ -21,13 +24,16 @@ DIRECTIONS = 16
 HULL_POINTS = 100_000
 
 
-def gower_center(pairs: DataFrame, members: DataFrame, key: str, distance: str) -> DataFrame:
+def gower_center(pairs: DataFrame | CommunityPairs, members: DataFrame, key: str, distance: str) -> DataFrame:
     """Doubly centred inner products for ``id_a <= id_b``, the diagonal included.
 
     Row means come from one aggregate over the pair table; the centred value of a
     pair then needs only its two row means and the grand mean.  Members without any pair
     have no place among the others and are left out; a pair without a distance is an error.
+    Pairs that are no table yet are made twice, for the sums and for the result, instead of being written.
     """
+    if isinstance(pairs, CommunityPairs):
+        return _centred_in_tiles(pairs, members, key)
     known = F.when(F.col(distance).isNull(), F.raise_error(F.lit("a pair has no distance"))).otherwise(F.col(distance))
     squared = pairs.select("id_a", "id_b", (known * known).alias("d2"))
     ends = squared.select(F.explode(F.array("id_a", "id_b")).alias(key), "d2")
@@ -43,8 +49,31 @@ def gower_center(pairs: DataFrame, members: DataFrame, key: str, distance: str)
     return off.unionByName(own)
 
 
+def _centred_in_tiles(pairs: CommunityPairs, members: DataFrame, key: str) -> DataFrame:
+    """:func:`gower_center` tile by tile."""
+
+    def row_sums(tile) -> Iterator[dict]:
+        squares, known = tile.squares(), tile.known() > 0
+        for side in (0, 1):
+            some = np.flatnonzero(known.any(axis=1 - side))
+            yield {key: tile.names[side].take(pa.array(some)), "__d2": squares.sum(axis=1 - side)[some]}
+
+    ends = pairs.visit(row_sums, T.StructType([T.StructField(key, pairs.id_type), T.StructField("__d2", T.DoubleType())]))
+    sums = written(members.select(key).join(ends.groupBy(key).agg(F.sum("__d2").alias("__s")), key))
+    n, total = sums.agg(F.count("*"), F.sum("__s")).first()
+    if not n:
+        grand = 0.0
+    else:
+        grand = total / n / n
+    means = written(sums.select(key, (F.col("__s") / F.lit(float(max(n, 1)))).alias("__m")))
+    g = -0.5 * (F.col("__d") * F.col("__d") - F.col("__m_a") - F.col("__m_b") + F.lit(grand))
+    off = pairs.table("__d", means, key).select("id_a", "id_b", g.alias("g"))
+    own = means.select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), (-0.5 * (F.lit(grand) - 2 * F.col("__m"))).alias("g"))
+    return off.unionByName(own)
+
+
 def pcoa(
-    pairs: DataFrame, members: DataFrame, key: str, distance: str, axes: int = 2, rounds: int = 60, tolerance: float = 1e-7
+    pairs: DataFrame | CommunityPairs, members: DataFrame, key: str, distance: str, axes: int = 2, rounds: int = 60, tolerance: float = 1e-7
 ) -> tuple[DataFrame, list[float], float]:
     """Principal coordinates: scores per sample, eigenvalues, and the share of variance they hold.
 
@@ -53,8 +82,105 @@ def pcoa(
     axes and adds the products.  The driver only sees matrices as wide as the number
     of axes, never one as long as the number of samples.  Use a Euclidean distance
     (the square root of Bray-Curtis is one): axes with a negative eigenvalue are dropped.
+    Pairs that are no table yet are made once and kept as packed tiles, which no round shuffles.
     """
     width = axes + 4
+    if isinstance(pairs, CommunityPairs):
+        base, image, trace, done = _packed_tiles(pairs, members, key, width)
+    else:
+        base, image, trace = _tiles_of_table(pairs, members, key, distance, width)
+        done = None
+    inner_products = _inner_products(width)
+
+    def whitener(square: np.ndarray) -> np.ndarray:
+        """Matrix that makes axes with these inner products orthonormal."""
+        values, vectors = np.linalg.eigh((square + square.T) / 2)
+        keep = values > values.max() * 1e-14
+        return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
+
+    # the axes are always ``base @ matrix``; only the product with the table is written out
+    matrix = whitener(inner_products(base, base)[1])
+    previous = np.zeros(width)
+    for _ in range(rounds):
+        moved = cut_lineage(image(base, matrix))
+        cross, own = inner_products(base, moved)
+        projected = matrix.T @ cross
+        values, vectors = np.linalg.eigh((projected + projected.T) / 2)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        final, best = base, matrix @ vectors
+        settled = np.max(np.abs(values[:axes] - previous[:axes])) <= tolerance * max(abs(values[0]), 1e-300)
+        previous = values
+        if settled:
+            break
+        base, matrix = moved, whitener(own)
+    else:
+        warnings.warn(f"principal coordinates have not settled to {tolerance:g} in {rounds} rounds", RuntimeWarning, stacklevel=2)
+    if done is not None:
+        done()
+    kept = [i for i in range(axes) if previous[i] > 0]
+    scale = [float(np.sqrt(previous[i])) for i in kept]
+    score_schema = T.StructType([members.schema[key]] + [T.StructField(f"axis{i + 1}", T.DoubleType()) for i in kept])
+
+    def scores(frames):
+        for frame in frames:
+            for names, v in zip(frame["ids"], frame["v"], strict=True):
+                v = np.asarray(v).reshape(-1, width) @ best
+                columns = {f"axis{i + 1}": v[:, i] * s for i, s in zip(kept, scale, strict=True)}
+                yield pd.DataFrame({key: np.asarray(names), **columns})
+
+    return final.mapInPandas(scores, score_schema), [float(previous[i]) for i in kept], float(sum(previous[i] for i in kept) / trace)
+
+
+def _axis_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("__block", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+
+def _started(listed: DataFrame, width: int, schema: T.StructType) -> DataFrame:
+    """Random axes for blocks of ids; those of a block depend on its number only."""
+
+    def start(frames):
+        for frame in frames:
+            values = []
+            for block, names in zip(frame["__block"], frame["ids"], strict=True):
+                rng = np.random.default_rng(int(block))
+                values.append(rng.standard_normal((len(names), width)).ravel())
+            yield frame.assign(v=values)
+
+    return listed.mapInPandas(start, schema)
+
+
+def _hash_blocks(members: DataFrame, key: str) -> DataFrame:
+    """``__block`` and the sorted ``ids`` of hash blocks of the members."""
+    blocks = members.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SAMPLES)), F.lit(1)).alias("b")).scalar()
+    ids = members.select(key).withColumn("__block", block_of(F.col(key), blocks))
+    return ids.groupBy("__block").agg(F.sort_array(F.collect_list(key)).alias("ids"))
+
+
+def _inner_products(width: int):
+    def inner_products(base: DataFrame, moved: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """``base' moved`` and ``moved' moved``, two matrices as wide as the axes."""
+        met = base.select("__block", F.col("v").alias("a")).join(moved.select("__block", F.col("v").alias("b")), "__block")
+
+        def inner(frames):
+            for frame in frames:
+                total = np.zeros((2, width, width))
+                for a, b in zip(frame["a"], frame["b"], strict=True):
+                    a, b = np.asarray(a).reshape(-1, width), np.asarray(b).reshape(-1, width)
+                    total += np.stack([a.T @ b, b.T @ b])
+                yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
+
+        sums = met.select("a", "b").mapInPandas(inner, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        out = np.zeros(2 * width * width)
+        for r in sums.collect():
+            out[r["i"]] = r["x"]
+        cross, own = out.reshape(2, width, width)
+        return cross, own
+
+    return inner_products
+
+
+def _tiles_of_table(pairs: DataFrame, members: DataFrame, key: str, distance: str, width: int):
+    """First axes, the product of the centred table with axes, and its trace."""
     pairs = cut_lineage(pairs.select("id_a", "id_b", distance))
     paired = pairs.select(F.explode(F.array("id_a", "id_b")).alias(key)).distinct()
     members = members.select(key).join(paired, key, "left_semi")
@@ -67,8 +193,6 @@ def pcoa(
         "n", members.agg(F.count("*")).scalar()
     )
     trace = squares.select(F.col("s") / F.col("n")).first()[0]
-    ids = members.select(key).withColumn("__block", block_of(F.col(key), blocks))
-    listed = ids.groupBy("__block").agg(F.sort_array(F.collect_list(key)).alias("ids"))
     id_list = T.ArrayType(members.schema[key].dataType)
     numbers = T.ArrayType(T.DoubleType())
     tile_schema = T.StructType(
@@ -86,17 +210,7 @@ def pcoa(
     placed = both.withColumns({"p": block_of(F.col("id_a"), blocks), "q": block_of(F.col("id_b"), blocks)})
     tiles = cut_lineage(placed.groupBy("p", "q").applyInPandas(pack, tile_schema))
 
-    axis_schema = T.StructType(
-        [T.StructField("__block", T.IntegerType()), T.StructField("ids", id_list), T.StructField("v", numbers)]
-    )
-
-    def start(frames):
-        for frame in frames:
-            values = []
-            for block, names in zip(frame["__block"], frame["ids"], strict=True):
-                rng = np.random.default_rng(int(block))
-                values.append(rng.standard_normal((len(names), width)).ravel())
-            yield frame.assign(v=values)
+    axis_schema = _axis_schema(members.schema[key].dataType)
 
     def image(base: DataFrame, matrix: np.ndarray) -> DataFrame:
         """Product of the centred table with the axes ``base @ matrix``."""
@@ -116,61 +230,121 @@ def pcoa(
         met = tiles.join(base.select(F.col("__block").alias("q"), "v"), "q").select("p", "rows", "m", "v")
         return met.mapInPandas(multiply, axis_schema).groupBy("__block").applyInPandas(add, axis_schema)
 
-    def inner_products(base: DataFrame, moved: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """``base' moved`` and ``moved' moved``, two matrices as wide as the axes."""
-        met = base.select("__block", F.col("v").alias("a")).join(moved.select("__block", F.col("v").alias("b")), "__block")
+    return _started(_hash_blocks(members, key), width, axis_schema), image, trace
 
-        def inner(frames):
-            for frame in frames:
-                total = np.zeros((2, width, width))
-                for a, b in zip(frame["a"], frame["b"], strict=True):
-                    a, b = np.asarray(a).reshape(-1, width), np.asarray(b).reshape(-1, width)
-                    total += np.stack([a.T @ b, b.T @ b])
-                yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
 
-        sums = met.select("a", "b").mapInPandas(inner, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-        out = np.zeros(2 * width * width)
-        for r in sums.collect():
-            out[r["i"]] = r["x"]
-        cross, own = out.reshape(2, width, width)
-        return cross, own
+def _packed(values: np.ndarray) -> bytes:
+    """A matrix in few bytes: where it has at most 65,536 different values, these and two bytes a place."""
+    few, at = np.unique(values, return_inverse=True)
+    if len(few) > 1 << 16:
+        return np.zeros(1, np.int64).tobytes() + np.ascontiguousarray(values).tobytes()
+    return np.array([len(few)], np.int64).tobytes() + few.tobytes() + at.astype(np.uint16).tobytes()
 
-    def whitener(square: np.ndarray) -> np.ndarray:
-        """Matrix that makes axes with these inner products orthonormal."""
-        values, vectors = np.linalg.eigh((square + square.T) / 2)
-        keep = values > values.max() * 1e-14
-        return vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
-    # the axes are always ``base @ matrix``; only the product with the table is written out
-    base = listed.mapInPandas(start, axis_schema)
-    matrix = whitener(inner_products(base, base)[1])
-    previous = np.zeros(width)
-    for _ in range(rounds):
-        moved = cut_lineage(image(base, matrix))
-        cross, own = inner_products(base, moved)
-        projected = matrix.T @ cross
-        values, vectors = np.linalg.eigh((projected + projected.T) / 2)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        final, best = base, matrix @ vectors
-        settled = np.max(np.abs(values[:axes] - previous[:axes])) <= tolerance * max(abs(values[0]), 1e-300)
-        previous = values
-        if settled:
-            break
-        base, matrix = moved, whitener(own)
-    else:
-        warnings.warn(f"principal coordinates have not settled to {tolerance:g} in {rounds} rounds", RuntimeWarning, stacklevel=2)
-    kept = [i for i in range(axes) if previous[i] > 0]
-    scale = [float(np.sqrt(previous[i])) for i in kept]
-    score_schema = T.StructType([members.schema[key]] + [T.StructField(f"axis{i + 1}", T.DoubleType()) for i in kept])
+def _unpacked(data: bytes, rows: int) -> np.ndarray:
+    few = int(np.frombuffer(data, np.int64, 1)[0])
+    if not few:
+        return np.frombuffer(data, np.float64, offset=8).reshape(rows, -1)
+    return np.frombuffer(data, np.float64, few, 8)[np.frombuffer(data, np.uint16, offset=8 + 8 * few)].reshape(rows, -1)
 
-    def scores(frames):
-        for frame in frames:
-            for names, v in zip(frame["ids"], frame["v"], strict=True):
-                v = np.asarray(v).reshape(-1, width) @ best
-                columns = {f"axis{i + 1}": v[:, i] * s for i, s in zip(kept, scale, strict=True)}
-                yield pd.DataFrame({key: np.asarray(names), **columns})
 
-    return final.mapInPandas(scores, score_schema), [float(previous[i]) for i in kept], float(sum(previous[i] for i in kept) / trace)
+def _packed_tiles(pairs: CommunityPairs, members: DataFrame, key: str, width: int):
+    """First axes, the product of the centred table with axes, its trace, and how to remove the tiles.
+
+    The squared distances of the members are written as packed tiles, in buckets by tile, so each round sends the axes to
+    them and never them.  Row and grand means are taken off the product instead of every place of the table.
+    """
+    spark, known = pairs.spark, pairs.prepared()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paired = known["samples"] if known["count"] > 1 else known["samples"].limit(0)
+    own = members.select(F.col(key).alias("__sample")).distinct().withColumn("__own", F.lit(True))
+    every = written(paired.join(own, "__sample", "left").select(F.col("__sample").alias(key), F.col("s").alias("__s"), F.coalesce("__own", F.lit(False)).alias("__own")))
+    inside = every.where("__own")
+    n = inside.count()
+    whole = T.IntegerType()
+    tile_schema = T.StructType([T.StructField("p", whole), T.StructField("q", whole), *(T.StructField(c, T.BinaryType()) for c in ("m", "sums_p", "sums_q")), T.StructField("total", T.DoubleType())])
+
+    def pack(tile) -> Iterator[dict]:
+        if not tile.about:
+            return
+        squares = tile.squares()
+        a, b = (table.column("__own").to_numpy() for _, table in tile.about)
+        sums = [squares.sum(axis=1 - side)[some].tobytes() for side, some in ((0, a), (1, b))]
+        yield {"p": [tile.key[0]], "q": [tile.key[1]], "m": [_packed(squares[a][:, b])], "sums_p": [sums[0]], "sums_q": [sums[1]], "total": [float(squares.sum())]}
+
+    name = f"tiles_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    made = pairs.visit(pack, tile_schema, every.select(key, "__own"), key)
+    made.write.bucketBy(tasks, "p", "q").option("path", path).format("parquet").saveAsTable(name)
+    tiles = spark.table(name)
+
+    block = F.floor(F.col("__s") / known["size"]).cast("int").alias("__block")
+    id_type = members.schema[key].dataType
+    schema = _axis_schema(id_type)
+    lone = _started(_hash_blocks(inside, key), width, schema)
+    numbers = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.struct(F.element_at("ids", i + 1).alias(key), F.slice("v", i * width + 1, width).alias("v")))
+    lone = lone.select(F.inline(numbers)).join(inside.select(key, "__s"), key)
+    ordered = F.array_sort(F.collect_list(F.struct("__s", key, "v")))
+    base = lone.groupBy(block).agg(ordered.alias("x")).select("__block", F.col(f"x.{key}").alias("ids"), F.flatten("x.v").alias("v"))
+    base = cut_lineage(base)
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
+        return pd.DataFrame({"__block": [rows["__block"].iloc[0]], "m": [total / n]})
+
+    ends = tiles.select(F.col("p").alias("__block"), F.col("sums_p").alias("sums")).unionByName(tiles.select(F.col("q").alias("__block"), F.col("sums_q").alias("sums")))
+    means = cut_lineage(ends.where(F.length("sums") > 0).groupBy("__block").applyInPandas(added, "__block int, m array<double>"))
+    # ``avg`` of the row means, and the sum of all squares over the number of members
+    grand = (means.agg(F.sum(F.aggregate("m", F.lit(0.0), lambda t, x: t + x))).first()[0] or 0.0) / max(n, 1)
+    trace = (tiles.agg(F.sum("total")).first()[0] or 0.0) / max(n, 1)
+
+    def image(base: DataFrame, matrix: np.ndarray) -> DataFrame:
+        """Product of the centred table with the axes ``base @ matrix``."""
+
+        def sums(frames):
+            for frame in frames:
+                out = np.zeros((2, width))
+                for v, m in zip(frame["v"], frame["m"], strict=True):
+                    v = np.asarray(v).reshape(-1, width)
+                    out += np.stack([v.sum(axis=0), np.asarray(m) @ v])
+                yield pd.DataFrame({"i": np.arange(out.size), "x": out.ravel()})
+
+        ones = np.zeros(2 * width)
+        for r in base.join(means, "__block").select("v", "m").mapInPandas(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            ones[r["i"]] = r["x"]
+        in_all, by_means = ones.reshape(2, width) @ matrix
+
+        partner = F.explode(F.sequence(F.lit(0), F.lit(known["blocks"] - 1))).alias("j")
+        sent = base.select("__block", "v", partner).select("v", F.least("__block", "j").alias("p"), F.greatest("__block", "j").alias("q"), "__block")
+        first = sent.where("__block = p").select("p", "q", F.col("v").alias("vp"))
+        second = sent.where("__block = q").select("p", "q", F.col("v").alias("vq"))
+
+        def multiply(frames):
+            for frame in frames:
+                blocks, out = [], []
+                for p, q, m, vp, vq in zip(frame["p"], frame["q"], frame["m"], frame["vp"], frame["vq"], strict=True):
+                    vp, vq = (np.asarray(v).reshape(-1, width) @ matrix for v in (vp, vq))
+                    m = _unpacked(m, len(vp))
+                    blocks += [p, q]
+                    out += [(m @ vq).ravel(), (m.T @ vp).ravel()]
+                yield pd.DataFrame({"__block": blocks, "v": out})
+
+        def centre(rows: pd.DataFrame) -> pd.DataFrame:
+            about = rows[rows["ids"].notna()].iloc[0]
+            total = np.sum(np.stack(rows.loc[rows["ids"].isna(), "v"].to_list()), axis=0).reshape(-1, width)
+            total = -0.5 * (total - np.outer(about["v"], in_all) - by_means + grand * in_all)
+            return pd.DataFrame({"__block": [rows["__block"].iloc[0]], "ids": [about["ids"]], "v": [total.ravel()]})
+
+        met = tiles.select("p", "q", "m").join(first.join(second, ["p", "q"]), ["p", "q"]).select("p", "q", "m", "vp", "vq")
+        parts = met.mapInPandas(multiply, "__block int, v array<double>").select("__block", F.lit(None).cast(T.ArrayType(id_type)).alias("ids"), "v")
+        about = base.select("__block", "ids").join(means, "__block").select("__block", "ids", F.col("m").alias("v"))
+        return parts.unionByName(about).groupBy("__block").applyInPandas(centre, schema)
+
+    def done() -> None:
+        spark.sql(f"drop table {name}")
+        remove(spark, path)
+
+    return base, image, trace, done
 
 
 def kmeans(points: DataFrame, columns: list[str], k: int = 2, restarts: int = 100, seed: int = 1, name: str = "cluster") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.names import across
 from quadrat.operators import ordination
 from quadrat.plans import views
-from quadrat.plans.queries_distance import BRAY_SQL, bray
+from quadrat.plans.queries_distance import BRAY_SQL, bray_pairs
 from quadrat.plans.queries_permutation import TERMS, _regressors
 from quadrat.plans.registry import query, rounded, rsql
 from quadrat.sources.tables import load
@@ -19,7 +19,7 @@ grand as (select avg(m) as g from means)"""
 
 
 def _root(spark, d):
-    return bray(spark, d).withColumn("root", F.sqrt("distance"))
+    return bray_pairs(spark, d).root()
 
 
 def _members(spark, d):
