@@ -332,7 +332,7 @@ def redundancy(
     )
     total = per_feature.agg(F.sum(F.col("__yy") - F.col("__y") * F.col("__y") / n)).scalar()
     # the sample table is one checkpointed row per sample, so its many uses below are cheap scans
-    perms = permutations(x, sample, terms, count, seed) if count else x.withColumn("perm", F.lit(0))
+    perms = permuted.Shuffled(x, count, seed) if count else x.withColumn("perm", F.lit(0))
     squares = permuted.gram(cells, sample, feature, "__v", perms, terms)
     norms = x.agg(F.struct(*[F.sum(F.col(t) * F.col(t)).alias(t) for t in terms])).scalar()
     explained = squares.select("perm", *[F.col("gram")[i * (len(terms) + 1)].alias(f"__{t}") for i, t in enumerate(terms)])
@@ -436,19 +436,10 @@ def axis_tests(
     axes = [f"__a{i}" for i in range(size)]
     scores = unit.select(sample, *[sum((F.col(t) * F.lit(float(turn[j, i])) for j, t in enumerate(used)), F.lit(0.0)).alias(a) for i, a in enumerate(axes)])
     scores = cut_lineage(scores)
-    drawn = cut_lineage(permutations(scores, sample, axes, count, seed))
-    parts = []
-    for i in range(size):
-        before = axes[:i]
-        design = drawn
-        if before:
-            own = scores.select(sample, *[F.col(a).alias(f"{a}_own") for a in before])
-            both = drawn.join(own, sample)
-            onto = both.groupBy("perm").agg(*[F.sum(F.col(f"{b}_own") * F.col(a)).alias(f"{b}{a}") for b in before for a in axes])
-            off = [(F.col(a) - sum((F.col(f"{b}_own") * F.col(f"{b}{a}") for b in before), F.lit(0.0))).alias(a) for a in axes]
-            design = both.join(onto, "perm").select("perm", sample, *off)
-        parts.append(_axis_statistics(permuted.gram(cells, sample, feature, "__v", design, axes), i, size, float(total - values[:i].sum()), n - 1 - size))
-    stats = cut_lineage(reduce(DataFrame.unionByName, parts))
+    # one pass for all axes: taking the conditions off a permuted design takes their sums off its sums
+    drawn = permuted.Shuffled(scores, count, seed)
+    squares = permuted.grams(cells, sample, feature, "__v", drawn, axes).join(permuted.own_products(drawn, sample, axes), "perm")
+    stats = cut_lineage(_axis_statistics(cut_lineage(squares), size, float(total), values.tolist(), n - 1 - size))
     tested = at_least_as_large(stats, ["axis"], "f")
     shares = values / values.sum() if values.sum() > 0 else values
     rows = [(i + 1, float(v / (n - 1)), float(s)) for i, (v, s) in enumerate(zip(values, shares, strict=True))]
@@ -456,17 +447,23 @@ def axis_tests(
     return about.join(tested.withColumnRenamed("observed", "f"), "axis")
 
 
-def _axis_statistics(squares: DataFrame, conditions: int, size: int, left: float, df: int) -> DataFrame:
-    """F of the first axis beyond the conditions, for each permutation, from the matrix of explained cross products."""
+def _axis_statistics(squares: DataFrame, size: int, total: float, values: list[float], df: int) -> DataFrame:
+    """F of the first axis beyond the conditions, for each permutation and number of conditions, from the cross products."""
+    first = squares.where("perm = 0").first()
+    start = np.array(first["gram"]).reshape(size, size) if first else np.zeros((size, size))
 
-    @F.pandas_udf(T.DoubleType())
-    def f_of(found: pd.Series) -> pd.Series:
-        out = []
-        for values in found:
-            square = np.array(values).reshape(size, size)
-            rest = left - np.trace(square)
-            largest = np.linalg.eigvalsh(square[conditions:, conditions:])[-1]
-            out.append(largest / (rest / df) if df > 0 and rest > 0 else None)
-        return pd.Series(out, dtype="float64")
-
-    return squares.select(F.lit(conditions + 1).alias("axis"), "perm", f_of("gram").alias("f"))
+    def f_of(frames):
+        for frame in frames:
+            out = []
+            for perm, gram, cross, own in zip(frame["perm"], frame["gram"], frame["cross"], frame["own"], strict=True):
+                gram, cross, own = (np.array(m).reshape(size, size) for m in (gram, cross, own))
+                for i in range(size):
+                    on = own[:i]
+                    taken = on.T @ cross[:i]
+                    square = gram - taken - taken.T + on.T @ start[:i, :i] @ on
+                    rest = total - sum(values[:i]) - np.trace(square)
+                    largest = np.linalg.eigvalsh(square[i:, i:])[-1]
+                    out.append((i + 1, perm, largest / (rest / df) if df > 0 and rest > 0 else None))
+            yield pd.DataFrame(out, columns=["axis", "perm", "f"]).astype({"axis": "int32", "perm": "int32", "f": "float64"})
+
+    return squares.select("perm", "gram", "cross", "own").mapInPandas(f_of, "axis int, perm int, f double")

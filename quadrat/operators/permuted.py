@@ -11,6 +11,7 @@ permutations never leave it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadrat.operators.rank import number_rows
+from quadrat.operators.resample import PACKED_KEYS, numbered_rows, permutations, permuted_chunks
 from quadrat.session import cut_lineage
 
 #: Samples and features of a block; design values (8 bytes each) of a block in one chunk.
@@ -29,6 +31,25 @@ BLOCK_SAMPLES, BLOCK_FEATURES, CHUNK_VALUES = 2048, 1024, 4_000_000
 Finish = Callable[[list, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
+@dataclass
+class Shuffled:
+    """The designs that :func:`~quadrat.operators.resample.permutations` makes of the rows of one, before they are a table.
+
+    What is sent to a task is the design itself and, for each permutation, the row whose values a sample receives.
+    """
+
+    rows: DataFrame
+    count: int
+    seed: int
+
+    def table(self, sample: str, columns: list[str]) -> DataFrame:
+        return permutations(self.rows, sample, columns, self.count, self.seed)
+
+    def packable(self, sample: str) -> bool:
+        rows, known = self.rows.agg(F.count("*"), F.count_distinct(sample)).first()
+        return rows == known <= PACKED_KEYS
+
+
 def _numbered(df: DataFrame, key: str) -> DataFrame:
     return cut_lineage(number_rows(df.select(key).distinct(), [key], "__i").select(key, (F.col("__i") - 1).alias("__i")))
 
@@ -38,7 +59,7 @@ def products(
     sample: str,
     feature: str,
     value: str,
-    designs: DataFrame,
+    designs: DataFrame | Shuffled,
     columns: list[str],
     finish: Finish,
     schema: T.StructType,
@@ -51,11 +72,16 @@ def products(
     with ``observed`` permutation 0 is the first of every chunk.  Its rows make the result.  Samples without a
     design and missing values take no part.
     """
-    designs = cut_lineage(designs.select("perm", sample, *columns))
+    shuffled = designs if isinstance(designs, Shuffled) and designs.packable(sample) else None
+    if shuffled:
+        numbered = numbered_rows(shuffled.rows.select(sample, *(F.col(c).cast("double").alias(c) for c in columns)), sample)
+    else:
+        designs = designs.table(sample, columns) if isinstance(designs, Shuffled) else designs
+        designs = cut_lineage(designs.select("perm", sample, *columns))
     cells = cut_lineage(cells.where(F.col(value).isNotNull()).select(sample, feature, F.col(value).cast("double").alias("__v")))
-    samples = _numbered(designs.where("perm = 0"), sample)
+    samples = numbered.select(sample, F.col("__i").cast("long").alias("__i")) if shuffled else _numbered(designs.where("perm = 0"), sample)
     features = _numbered(cells, feature)
-    count = designs.agg(F.coalesce(F.max("perm"), F.lit(0))).first()[0]
+    count = shuffled.count if shuffled else designs.agg(F.coalesce(F.max("perm"), F.lit(0))).first()[0]
     wide = len(columns)
     width = min(max(samples.count(), 1), BLOCK_SAMPLES)
     each = max(CHUNK_VALUES // (width * wide), 2)
@@ -92,25 +118,38 @@ def products(
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    placed = designs.join(samples.withColumnRenamed("__i", "__s"), sample).select(
-        "perm", F.floor(F.col("__s") / BLOCK_SAMPLES).cast("int").alias("sb"), (F.col("__s") % BLOCK_SAMPLES).cast("int").alias("s"),
-        *(F.col(c).cast("double").alias(f"__d{i}") for i, c in enumerate(columns)),
-    )
-    drawn = placed.where("perm > 0") if observed else placed
-    drawn = drawn.withColumn("chunk", chunk.cast("int")).withColumn("k", (F.col("perm") - F.col("chunk") * own).cast("int"))
-    if observed:
-        drawn = drawn.unionByName(placed.where("perm = 0").select("*", every(chunks).alias("chunk"), F.lit(0).alias("k")))
-    designs_packed = drawn.groupBy("chunk", "sb").applyInPandas(pack_designs, record)
+    def pack_moved(table: pa.Table, perms: np.ndarray, to: np.ndarray) -> pa.Table:
+        c = int(perms[shift] - shift) // own if len(perms) > shift else 0
+        values = np.column_stack([table.column(n).to_numpy() for n in columns])
+        begins = range(0, to.shape[1], BLOCK)
+        data = [values.tobytes(), *(to[:, b : b + BLOCK].tobytes() for b in begins)]
+        blocks_of = pa.array([-1, *range(len(begins))], pa.int32())
+        fixed = {n: pa.array([v] * len(data), pa.int32()) for n, v in (("fb", -1), ("chunk", c))}
+        return pa.table({**fixed, "sb": blocks_of, "kind": pa.array([-1] + [0] * len(begins), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    BLOCK = BLOCK_SAMPLES  # noqa: N806 - a task doesn't see a changed module
+    if shuffled:
+        designs_packed = permuted_chunks(numbered, sample, columns, count, each, shuffled.seed, pack_moved, record, observed)
+    else:
+        placed = designs.join(samples.withColumnRenamed("__i", "__s"), sample).select(
+            "perm", F.floor(F.col("__s") / BLOCK_SAMPLES).cast("int").alias("sb"), (F.col("__s") % BLOCK_SAMPLES).cast("int").alias("s"),
+            *(F.col(c).cast("double").alias(f"__d{i}") for i, c in enumerate(columns)),
+        )
+        drawn = placed.where("perm > 0") if observed else placed
+        drawn = drawn.withColumn("chunk", chunk.cast("int")).withColumn("k", (F.col("perm") - F.col("chunk") * own).cast("int"))
+        if observed:
+            drawn = drawn.unionByName(placed.where("perm = 0").select("*", every(chunks).alias("chunk"), F.lit(0).alias("k")))
+        designs_packed = drawn.groupBy("chunk", "sb").applyInPandas(pack_designs, record)
     cells_packed = located.groupBy("fb", "sb").applyInPandas(pack_cells, record)
     names = located.select("fb", "f", "name").distinct().groupBy("fb").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "name"))), lambda x: x["name"]).alias("names"))
     out = cells_packed.drop("chunk").select("fb", every(chunks).alias("chunk"), "sb", "kind", "data").unionByName(
         designs_packed.drop("fb").select(every(blocks).alias("fb"), "chunk", "sb", "kind", "data")
     )
     out = out.join(names, "fb")
-    arrow = to_arrow_schema(schema)
+    arrow, moved = to_arrow_schema(schema), shuffled is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sums, seen, matrix = None, None, None, None
+        held, sums, seen, matrix, values = None, None, None, None, None
 
         def done() -> pa.RecordBatch:
             (_, c), taxa = held
@@ -128,6 +167,15 @@ def products(
                         yield done()
                     held = ((fb, c), taxa)
                     sums, seen = np.zeros((2, wide, len(taxa), each))
+                if kind == -1:
+                    values = np.frombuffer(data).reshape(-1, wide)
+                    continue
+                if kind == 0 and moved:
+                    upto = min(own, count + 1 - shift - c * own) + shift
+                    at = np.frombuffer(data, np.int32).reshape(max(upto, 1), -1)
+                    matrix = np.zeros((wide, each, width))
+                    matrix[:, : len(at), : at.shape[1]] = np.moveaxis(values[at], 2, 0)
+                    continue
                 if kind == 0:
                     matrix = np.frombuffer(data).reshape(wide, each, width)
                     continue
@@ -147,7 +195,7 @@ def products(
     return out.repartition(tasks, "fb", "chunk").sortWithinPartitions(*order).select(*order, "data", "names").mapInArrow(run, schema)
 
 
-def gram(cells: DataFrame, sample: str, feature: str, value: str, designs: DataFrame, columns: list[str]) -> DataFrame:
+def gram(cells: DataFrame, sample: str, feature: str, value: str, designs: DataFrame | Shuffled, columns: list[str]) -> DataFrame:
     """``perm`` and the matrix (row by row) of sums over features of products of the design columns' sums with each feature."""
     wide = len(columns)
     schema = T.StructType([T.StructField("perm", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("v", T.DoubleType())])
@@ -159,3 +207,42 @@ def gram(cells: DataFrame, sample: str, feature: str, value: str, designs: DataF
     parts = products(cells, sample, feature, value, designs, columns, square, schema)
     added = parts.groupBy("perm", "cell").agg(F.sum("v").alias("v"))
     return added.groupBy("perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda x: x["v"]).alias("gram"))
+
+
+def grams(cells: DataFrame, sample: str, feature: str, value: str, designs: Shuffled, columns: list[str]) -> DataFrame:
+    """``perm``, the matrix of :func:`gram`, and ``cross``, that of products of permutation 0 with the permutation."""
+    wide = len(columns)
+    schema = T.StructType([T.StructField("perm", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("v", T.DoubleType())])
+
+    def square(taxa: list, sums: np.ndarray, seen: np.ndarray, perms: np.ndarray) -> pd.DataFrame:
+        found = np.stack([np.einsum("ifk,jfk->kij", sums, sums), np.einsum("if,jfk->kij", sums[:, :, 0], sums)], axis=1)
+        kept = slice(None) if len(perms) < 2 or perms[1] == 1 else slice(1, None)  # permutation 0 is in every chunk
+        found, perms = found[kept].reshape(-1), perms[kept]
+        size = 2 * wide * wide
+        return pd.DataFrame({"perm": np.repeat(perms, size).astype("int32"), "cell": np.tile(np.arange(size, dtype="int32"), len(perms)), "v": found})
+
+    parts = products(cells, sample, feature, value, designs, columns, square, schema, observed=True)
+    added = parts.groupBy("perm", "cell").agg(F.sum("v").alias("v"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda x: x["v"])
+    both = added.groupBy("perm").agg(every.alias("x"))
+    return both.select("perm", F.slice("x", 1, wide * wide).alias("gram"), F.slice("x", wide * wide + 1, wide * wide).alias("cross"))
+
+
+def own_products(designs: Shuffled, sample: str, columns: list[str]) -> DataFrame:
+    """``perm`` and ``own``, the products of the design itself with each permutation of it, row by row."""
+    wide = len(columns)
+    if not designs.packable(sample):
+        drawn = designs.table(sample, columns)
+        both = drawn.join(designs.rows.select(sample, *(F.col(c).alias(f"{c}_own") for c in columns)), sample)
+        return both.groupBy("perm").agg(F.array(*[F.sum(F.col(f"{a}_own") * F.col(b)) for a in columns for b in columns]).alias("own"))
+    numbered = numbered_rows(designs.rows.select(sample, *columns), sample)
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(min(-(-(designs.count + 1) // tasks), CHUNK_VALUES // max(numbered.count(), 1)), 1)
+
+    def run(table: pa.Table, perms: np.ndarray, to: np.ndarray) -> pa.Table:
+        values = np.column_stack([table.column(c).to_numpy() for c in columns])
+        found = [(values.T @ values[at]).ravel().tolist() for at in to]
+        return pa.table({"perm": pa.array(perms, pa.int32()), "own": pa.array(found, pa.list_(pa.float64()))})
+
+    schema = T.StructType([T.StructField("perm", T.IntegerType()), T.StructField("own", T.ArrayType(T.DoubleType()))])
+    return permuted_chunks(numbered, sample, columns, designs.count, each, designs.seed, run, schema)

@@ -288,22 +288,24 @@ def _by_digest(start: str, ends: list[bytes]) -> np.ndarray:
 
 
 def permuted_chunks(
-    rows: DataFrame, key: str, columns: list[str], count: int, each: int, seed: int, run: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: T.StructType
+    rows: DataFrame, key: str, columns: list[str], count: int, each: int, seed: int, run: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: T.StructType, observed: bool = False
 ) -> DataFrame:
     """The reshuffles of :func:`permutations`, a chunk of ``each`` in a task, as numbers of rows.
 
     ``rows`` come from :func:`numbered_rows`, at most ``PACKED_KEYS`` of them.  ``run`` gets their columns in the order of the numbers, the
     permutations of the chunk (0 is the table itself), and for each of them the row whose values each row receives.  So keys are
-    sent once to each chunk, and no row is multiplied by the permutations.
+    sent once to each chunk, and no row is multiplied by the permutations.  With ``observed`` permutation 0 is the first of every chunk.
     """
-    chunks = -(-(count + 1) // each)
+    own, shift = (each - 1, 1) if observed else (each, 0)
+    chunks = max(-(-(count + 1 - shift) // own), 1)
     end = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit(""))
     sent = rows.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__chunk"), "__i", end.alias("__end"), *columns)
 
     def chunk_of(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table.column("__i").to_numpy(), kind="stable")))
-        first = int(table.column("__chunk")[0].as_py()) * each
-        perms = np.arange(first, min(first + each, count + 1))
+        first = int(table.column("__chunk")[0].as_py()) * own + shift
+        perms = np.arange(first, min(first + own, count + 1))
+        perms = np.r_[0, perms] if observed else perms
         ends = [e.encode() for e in table.column("__end").to_pylist()]
         base = _by_digest(f"{seed}|0", ends).astype(np.int32)
         to = np.empty((len(perms), len(ends)), np.int32)
