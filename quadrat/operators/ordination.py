@@ -9,13 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.operators.pairs import BLOCK_SAMPLES, CommunityPairs, block_of
+from quadrat.operators.pairs import BLOCK_SAMPLES, CommunityPairs, _packed, _unpacked, block_of
 from quadrat.session import cut_lineage, remove, shared_folder, written
 
 #: Directions in which each group's extremes are taken.
@@ -233,21 +231,6 @@ def _tiles_of_table(pairs: DataFrame, members: DataFrame, key: str, distance: st
     return _started(_hash_blocks(members, key), width, axis_schema), image, trace
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """A matrix in few bytes: where it has at most 65,536 different values, these and two bytes a place."""
-    few, at = np.unique(values, return_inverse=True)
-    if len(few) > 1 << 16:
-        return np.zeros(1, np.int64).tobytes() + np.ascontiguousarray(values).tobytes()
-    return np.array([len(few)], np.int64).tobytes() + few.tobytes() + at.astype(np.uint16).tobytes()
-
-
-def _unpacked(data: bytes, rows: int) -> np.ndarray:
-    few = int(np.frombuffer(data, np.int64, 1)[0])
-    if not few:
-        return np.frombuffer(data, np.float64, offset=8).reshape(rows, -1)
-    return np.frombuffer(data, np.float64, few, 8)[np.frombuffer(data, np.uint16, offset=8 + 8 * few)].reshape(rows, -1)
-
-
 def _packed_tiles(pairs: CommunityPairs, members: DataFrame, key: str, width: int):
     """First axes, the product of the centred table with axes, its trace, and how to remove the tiles.
 
@@ -347,17 +330,94 @@ def _packed_tiles(pairs: CommunityPairs, members: DataFrame, key: str, width: in
     return base, image, trace, done
 
 
-def kmeans(points: DataFrame, columns: list[str], k: int = 2, restarts: int = 100, seed: int = 1, name: str = "cluster") -> DataFrame:
-    """The best of several k-means runs by within-cluster sum of squares."""
-    data = VectorAssembler(inputCols=columns, outputCol="__x").transform(points)
-    data = data.persist()
-    fits = [
-        KMeans(k=k, seed=seed + i, featuresCol="__x", predictionCol=name, maxIter=50, tol=1e-8).fit(data)
-        for i in range(restarts)
-    ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    data.unpersist()
-    return best.transform(data).drop("__x")
+def _draws(rows: np.ndarray, restarts: int, seed: int, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each row, by its hash, and restart."""
+    with np.errstate(over="ignore"):
+        salt = np.arange(1, restarts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + turn)
+        x = rows.view(np.uint64)[:, None] + salt * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+
+
+def kmeans(
+    points: DataFrame, columns: list[str], k: int = 2, restarts: int = 100, seed: int = 1, name: str = "cluster", rounds: int = 50, tolerance: float = 1e-8
+) -> DataFrame:
+    """The best of several k-means runs by within-cluster sum of squares.
+
+    All restarts go through the points together: a pass finds the next centre of each (in proportion to the squared
+    distance from those it has, by a hash of the row), or moves the centres of those that haven't settled.  The driver
+    sees a few numbers per restart and centre.
+    """
+    data = cut_lineage(points)
+    if data.where(" or ".join(f"`{c}` is null or isnan(`{c}`)" for c in columns)).limit(1).count():
+        raise ValueError("a point has no place")
+    wide, each = len(columns), max(1_000_000 // (restarts * k), 1)
+    hashed = data.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), F.xxhash64(*data.columns).alias("row"))
+
+    def squared(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Squared distances: points x restarts x centres."""
+        return sum((x[:, i, None, None] - at[:, :, i]) ** 2 for i in range(wide))
+
+    def portions(frames) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for frame in frames:
+            x, row = frame[[f"x{i}" for i in range(wide)]].to_numpy(), frame["row"].to_numpy(np.int64)
+            for begin in range(0, len(x), each):
+                yield x[begin : begin + each], row[begin : begin + each]
+
+    def next_centres(known: np.ndarray, turn: int) -> np.ndarray:
+        def best(frames):
+            for x, row in portions(frames):
+                far = squared(x, known).min(axis=2) if turn else np.ones((len(x), restarts))
+                with np.errstate(divide="ignore"):
+                    late = np.where(far > 0, -np.log(_draws(row, restarts, seed, turn)) / far, np.inf)
+                first = late.argmin(axis=0)
+                yield pd.DataFrame({"r": np.arange(restarts), "late": late[first, np.arange(restarts)], "x": list(x[first])})
+
+        found = hashed.mapInPandas(best, "r int, late double, x array<double>").groupBy("r").agg(F.min(F.struct("late", "x")).alias("m")).collect()
+        return np.array([r["m"]["x"] for r in sorted(found, key=lambda r: r["r"])]).reshape(len(found), 1, wide)
+
+    def passed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and sums of the clusters around these centres, restarts x centres x (1 + columns), and the costs."""
+        runs = len(at)
+
+        def add(frames):
+            total = np.zeros((runs * k, wide + 2))
+            for x, _ in portions(frames):
+                far = squared(x, at)
+                near = far.argmin(axis=2)
+                place = (near + np.arange(runs) * k).ravel()
+                parts = [np.ones(near.size), *(np.repeat(x[:, i], runs) for i in range(wide)), far.min(axis=2).ravel()]
+                total += np.stack([np.bincount(place, p, runs * k) for p in parts], axis=1)
+            yield pd.DataFrame({"i": np.arange(runs * k), "s": list(total)})
+
+        sums = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(wide + 2)]
+        out = np.zeros((runs * k, wide + 2))
+        for r in hashed.mapInPandas(add, "i int, s array<double>").groupBy("i").agg(*sums).collect():
+            out[r["i"]] = r[1:]
+        out = out.reshape(runs, k, wide + 2)
+        return out[:, :, :-1], out[:, :, -1].sum(axis=1)
+
+    centres = next_centres(np.zeros((restarts, 0, wide)), 0)
+    if not len(centres):
+        return data.withColumn(name, F.lit(None).cast("int"))
+    for turn in range(1, k):
+        centres = np.concatenate([centres, next_centres(centres, turn)], axis=1)
+    moving = np.arange(restarts)
+    for _ in range(rounds):
+        sums, _ = passed(centres[moving])
+        size = sums[:, :, :1]
+        new = np.where(size > 0, sums[:, :, 1:] / np.maximum(size, 1), centres[moving])
+        moved = ((new - centres[moving]) ** 2).sum(axis=2).max(axis=1) > tolerance**2
+        centres[moving] = new
+        moving = moving[moved]
+        if not len(moving):
+            break
+    best = centres[passed(centres)[1].argmin()]
+    far = [sum(((F.col(c).cast("double") - float(x)) * (F.col(c).cast("double") - float(x)) for c, x in zip(columns, at, strict=True)), F.lit(0.0)) for at in best]
+    near = F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far))))
+    return data.withColumn(name, near["i"])
 
 
 def nearest_center(points: DataFrame, key: str, vector: str, centers: DataFrame, center_id: str) -> DataFrame:
