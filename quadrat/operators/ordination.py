@@ -250,8 +250,11 @@ def _packed_tiles(pairs: CommunityPairs, members: DataFrame, key: str, width: in
     def pack(tile) -> Iterator[dict]:
         if not tile.about:
             return
-        squares = tile.squares()
-        a, b = (table.column("__own").to_numpy() for _, table in tile.about)
+        squares, sides = tile.squares(), []
+        for (at, table), size in zip(tile.about, squares.shape, strict=True):
+            sides.append(np.zeros(size, bool))  # a sample without a name has no row
+            sides[-1][at] = table.column("__own").to_numpy()
+        a, b = sides
         sums = [squares.sum(axis=1 - side)[some].tobytes() for side, some in ((0, a), (1, b))]
         yield {"p": [tile.key[0]], "q": [tile.key[1]], "m": [_packed(squares[a][:, b])], "sums_p": [sums[0]], "sums_q": [sums[1]], "total": [float(squares.sum())]}
 

@@ -438,15 +438,41 @@ def axis_tests(
     scores = cut_lineage(scores)
     # one pass for all axes: taking the conditions off a permuted design takes their sums off its sums
     drawn = permuted.Shuffled(scores, count, seed)
+    if not drawn.packable(sample):
+        return _axes_beside(_statistics_by_axis(cells, drawn, sample, feature, axes, total, values, n), values, n)
     squares = permuted.grams(cells, sample, feature, "__v", drawn, axes).join(permuted.own_products(drawn, sample, axes), "perm")
     stats = cut_lineage(_axis_statistics(cut_lineage(squares), size, float(total), values.tolist(), n - 1 - size))
+    return _axes_beside(stats, values, n)
+
+
+def _axes_beside(stats: DataFrame, values: np.ndarray, n: int) -> DataFrame:
+    """The tests next to the axes' eigenvalues."""
     tested = at_least_as_large(stats, ["axis"], "f")
     shares = values / values.sum() if values.sum() > 0 else values
     rows = [(i + 1, float(v / (n - 1)), float(s)) for i, (v, s) in enumerate(zip(values, shares, strict=True))]
-    about = response.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")
+    about = stats.sparkSession.createDataFrame(rows, "axis int, eigenvalue double, share double")
     return about.join(tested.withColumnRenamed("observed", "f"), "axis")
 
 
+def _statistics_by_axis(cells: DataFrame, drawn: permuted.Shuffled, sample: str, feature: str, axes: list[str], total: float, values: np.ndarray, n: int) -> DataFrame:
+    """The same where samples repeat or are too many to order whole permutations: a table of permutations, a pass for each axis."""
+    scores, drawn = drawn.rows, cut_lineage(drawn.table(sample, axes))
+    size, parts = len(axes), []
+    for i in range(size):
+        before = axes[:i]
+        design = drawn
+        if before:
+            own = scores.select(sample, *[F.col(a).alias(f"{a}_own") for a in before])
+            both = drawn.join(own, sample)
+            onto = both.groupBy("perm").agg(*[F.sum(F.col(f"{b}_own") * F.col(a)).alias(f"{b}{a}") for b in before for a in axes])
+            off = [(F.col(a) - sum((F.col(f"{b}_own") * F.col(f"{b}{a}") for b in before), F.lit(0.0))).alias(a) for a in axes]
+            design = both.join(onto, "perm").select("perm", sample, *off)
+        zeros = F.array_repeat(F.lit(0.0), size * size)
+        squares = permuted.gram(cells, sample, feature, "__v", design, axes).select("perm", "gram", zeros.alias("cross"), zeros.alias("own"))
+        parts.append(_axis_statistics(squares, size, float(total), values.tolist(), n - 1 - size).where(F.col("axis") == i + 1))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
 def _axis_statistics(squares: DataFrame, size: int, total: float, values: list[float], df: int) -> DataFrame:
     """F of the first axis beyond the conditions, for each permutation and number of conditions, from the cross products."""
     first = squares.where("perm = 0").first()

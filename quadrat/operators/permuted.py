@@ -229,12 +229,8 @@ def grams(cells: DataFrame, sample: str, feature: str, value: str, designs: Shuf
 
 
 def own_products(designs: Shuffled, sample: str, columns: list[str]) -> DataFrame:
-    """``perm`` and ``own``, the products of the design itself with each permutation of it, row by row."""
+    """``perm`` and ``own``, the products of the design itself with each permutation of it, row by row; for designs that are packable."""
     wide = len(columns)
-    if not designs.packable(sample):
-        drawn = designs.table(sample, columns)
-        both = drawn.join(designs.rows.select(sample, *(F.col(c).alias(f"{c}_own") for c in columns)), sample)
-        return both.groupBy("perm").agg(F.array(*[F.sum(F.col(f"{a}_own") * F.col(b)) for a in columns for b in columns]).alias("own"))
     numbered = numbered_rows(designs.rows.select(sample, *columns), sample)
     tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = max(min(-(-(designs.count + 1) // tasks), CHUNK_VALUES // max(numbered.count(), 1)), 1)

@@ -11,6 +11,7 @@ from quadrat.operators import inference, ordination, pairs, permutation, quantil
 def counts(spark):
     rng = np.random.default_rng(2)
     data = [(i, f"f{j:02d}", float(rng.integers(1, 5))) for i in range(23) for j in range(40) if rng.random() < 0.4]
+    data += [(None, "f00", 2.0)]  # a sample without a name is in no pair
     members = [(i, "abc"[i % 3] if i % 7 else None, float(i)) for i in range(25) if i != 4] + [(None, "a", 0.0)]
     return spark.createDataFrame(data, "s long, f string, n double").persist(), spark.createDataFrame(members, "s long, g string, x double").persist()
 

@@ -38,3 +38,17 @@ def test_redundancy_makes_no_table_of_permutations(spark, monkeypatch):
     monkeypatch.setattr(permutation, "permutations", None)
     assert permutation.redundancy(cells, members, "id", "f", "v", ["g", "x"], 9).count() == 3
     assert permutation.axis_tests(cells, members, "id", "f", "v", ["g", "x"], 9).count() == 2
+
+
+def test_axes_of_repeated_samples(spark):
+    """Samples that repeat go through a table of permutations; the statistics of the table itself are the same."""
+    from quadrat.operators import permutation
+
+    rng = np.random.default_rng(7)
+    rows = [(i, float(i % 2), float(rng.normal())) for i in range(12)]
+    cells = spark.createDataFrame([(i, f"f{j}", float(rng.random())) for i in range(12) for j in range(5)], "id long, f string, v double")
+    members = spark.createDataFrame(rows, "id long, g double, x double")
+    (one, two) = (permutation.axis_tests(cells, m, "id", "f", "v", ["g", "x"], 9).orderBy("axis").collect() for m in (members, members.unionByName(members.where("id = 3"))))
+    assert [r["axis"] for r in one] == [r["axis"] for r in two] == [1, 2]
+    designs = permuted.Shuffled(members, 9, 1)
+    assert designs.packable("id") and not permuted.Shuffled(members.unionByName(members), 9, 1).packable("id")
