@@ -100,7 +100,7 @@ def pcoa(
     matrix = whitener(inner_products(base, base)[1])
     previous = np.zeros(width)
     for _ in range(rounds):
-        moved = cut_lineage(image(base, matrix))
+        moved = written(image(base, matrix))  # a checkpoint would make it twice
         cross, own = inner_products(base, moved)
         projected = matrix.T @ cross
         values, vectors = np.linalg.eigh((projected + projected.T) / 2)
